@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, packing, sharding, token_output, urls
 
-MODULES = [sharding, mixing]
+MODULES = [token_output, packing, sharding, mixing, urls]
 
 
 def queries() -> dict:
