@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, token_output, urls
+from . import licenses, mixing, packing, quality, sharding, token_output, urls
 
-MODULES = [token_output, packing, sharding, mixing, urls]
+MODULES = [token_output, packing, licenses, sharding, mixing, urls, quality]
 
 
 def queries() -> dict:
