@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, quality, sharding, token_output, urls
+from . import ann, licenses, mixing, packing, pii, quality, sharding, token_output, urls
 
-MODULES = [token_output, packing, licenses, sharding, mixing, urls, quality]
+MODULES = [token_output, packing, licenses, pii, sharding, mixing, urls, ann, quality]
 
 
 def queries() -> dict:
