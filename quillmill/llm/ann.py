@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, written
 
-FIT_ROWS, LISTS, PARTS, CODEWORDS, PROBES, RERANK, BLOCK, EVERY, K = 20_000, 64, 16, 64, 24, 200, 4096, 100, 10
+FIT_ROWS, LISTS, PARTS, CODEWORDS, PROBES, RERANK, BLOCK, EVERY, K = 20_000, 64, 16, 64, 48, 100, 4096, 100, 10
 RESULT = "query_id long, vec_id long, score double"
 
 

@@ -1,15 +1,20 @@
-"""Queries and SQL of the training-data operators."""
+"""Queries and SQL of the training-data operators and of the pipeline."""
 
 from __future__ import annotations
 
-from . import ann, licenses, mixing, packing, pii, quality, sharding, token_output, urls
+from . import ann, licenses, mixing, near_dedup, packing, pii, quality, sharding, token_output, urls
 
-MODULES = [token_output, packing, licenses, pii, sharding, mixing, urls, ann, quality]
+MODULES = [token_output, packing, licenses, near_dedup, pii, sharding, mixing, urls, ann, quality]
 
 
 def queries() -> dict:
-    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict:
-    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+    import corpus_pipeline
+
+    found = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
