@@ -39,11 +39,12 @@ def segments(rows: DataFrame, size: int = SEGMENT, overlap: int = OVERLAP) -> Da
 
 
 def windows(rows: DataFrame, size: int = 900, stride: int = 450) -> DataFrame:
-    """rows(doc_id, words) -> doc_id, w, start_word, end_word, words; a document without words has one empty window."""
+    """rows(doc_id, words) -> doc_id, w, start_word, end_word, words, n_windows; a document without words has one empty window."""
     size = size if size > 0 else 900
     stride = stride if stride > 0 else size // 2
-    cut = rows.select("doc_id", F.col("words").alias("all"), F.posexplode(T.starts(F.size("words"), size, stride)).alias("w", "start_word"))
-    return cut.select("doc_id", "w", "start_word", F.least(F.col("start_word") + size, F.size("all")).alias("end_word"), F.slice("all", F.col("start_word") + 1, F.lit(size)).alias("words"))
+    begun = rows.select("doc_id", F.col("words").alias("all"), T.starts(F.size("words"), size, stride).alias("begins"))
+    cut = begun.select("doc_id", "all", F.size("begins").alias("n_windows"), F.posexplode("begins").alias("w", "start_word"))
+    return cut.select("doc_id", "w", "start_word", F.least(F.col("start_word") + size, F.size("all")).alias("end_word"), F.slice("all", F.col("start_word") + 1, F.lit(size)).alias("words"), "n_windows")
 
 
 def is_header(line: Column) -> Column:
@@ -125,7 +126,7 @@ def text_segments_small(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detector_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).select("doc_id", T.detector_words(T.normal_text(F.col("text"))).alias("words"))
-    return windows(rows).withColumn("words", F.md5(F.array_join("words", " ")))
+    return windows(rows).drop("n_windows").withColumn("words", F.md5(F.array_join("words", " ")))
 
 
 def headed(rows: DataFrame) -> DataFrame:
