@@ -1,4 +1,8 @@
-"""Column functions for words, sentences, blanks and n-grams; all JVM-side."""
+"""Column functions for words, sentences, blanks and n-grams; all JVM-side.
+
+Arrays made by long expressions are unnested by the outer forms of explode: from the inner ones the optimiser infers a filter on the
+array's size, pushes it below the projections and so writes the whole expression out a second time, names replaced by what they stand for.
+"""
 
 from __future__ import annotations
 

@@ -65,7 +65,7 @@ def paragraphs(rows: DataFrame, least: int = PARAGRAPH) -> DataFrame:
     """rows(doc_id, normal) -> doc_id, p, start_word, end_word, hash of the paragraphs of `least` words or more."""
     parts = F.transform(F.split(F.regexp_replace("normal", r"\n{3,}", "\n\n"), "\n\n"), lambda p: T.find_all(p, "[a-z0-9']+"))
     sized = F.transform(parts, lambda p: F.struct(F.size(p).alias("n"), F.sha1(F.array_join(p, " ")).alias("hash")))
-    cut = rows.select("doc_id", F.posexplode(sized).alias("p", "x")).select("doc_id", "p", "x.n", "x.hash")
+    cut = rows.select("doc_id", F.posexplode_outer(sized).alias("p", "x")).select("doc_id", "p", "x.n", "x.hash")
     before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("p")) - F.col("n")
     placed = cut.withColumn("start_word", before.cast("int")).where(F.col("n") >= least)
     return placed.select("doc_id", "p", "start_word", (F.col("start_word") + F.col("n")).cast("int").alias("end_word"), "hash")
@@ -89,7 +89,7 @@ def window_overlap(wins: DataFrame, n: int = 10) -> DataFrame:
     far = wins.where((F.size("words") >= n) & (F.col("n_windows") >= 3))
     grams = far.select("doc_id", "w", F.array_distinct(F.transform(T.grams(F.col("words"), n), lambda g: F.xxhash64(g))).alias("grams"))
     sizes = grams.select("doc_id", "w", F.size("grams").alias("size"))
-    shared = grams.select("doc_id", "w", F.explode("grams").alias("gram")).groupBy("doc_id", "gram").agg(F.collect_list("w").alias("ws")).where("size(ws) > 1")
+    shared = grams.select("doc_id", "w", F.explode_outer("grams").alias("gram")).groupBy("doc_id", "gram").agg(F.collect_list("w").alias("ws")).where("size(ws) > 1")
     pairs = shared.select("doc_id", F.explode("ws").alias("w"), "ws").select("doc_id", "w", F.explode("ws").alias("other")).where("abs(w - other) >= 2")
     counts = pairs.groupBy("doc_id", "w", "other").agg(F.count("*").alias("both"))
     rated = counts.join(sizes, ["doc_id", "w"]).join(sizes.select("doc_id", F.col("w").alias("other"), F.col("size").alias("other_size")), ["doc_id", "other"])

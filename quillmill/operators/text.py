@@ -33,7 +33,7 @@ def segments(rows: DataFrame, size: int = SEGMENT, overlap: int = OVERLAP) -> Da
         return rows.select("doc_id", F.lit(0).alias("idx"), F.lit(0).alias("start_token"), F.lit(0).alias("end_token"), "text").where("false")
     step = size - min(max(overlap, 0), size - 1)
     words = rows.select("doc_id", T.fields(F.col("text")).alias("words")).where("size(words) > 0")
-    cut = words.select("doc_id", "words", F.posexplode(T.starts(F.size("words"), size, step)).alias("idx", "start_token"))
+    cut = words.select("doc_id", "words", F.posexplode_outer(T.starts(F.size("words"), size, step)).alias("idx", "start_token"))
     end = F.least(F.col("start_token") + size, F.size("words"))
     return cut.select("doc_id", "idx", "start_token", end.alias("end_token"), F.array_join(F.slice("words", F.col("start_token") + 1, F.lit(size)), " ").alias("text"))
 
@@ -43,7 +43,7 @@ def windows(rows: DataFrame, size: int = 900, stride: int = 450) -> DataFrame:
     size = size if size > 0 else 900
     stride = stride if stride > 0 else size // 2
     begun = rows.select("doc_id", F.col("words").alias("all"), T.starts(F.size("words"), size, stride).alias("begins"))
-    cut = begun.select("doc_id", "all", F.size("begins").alias("n_windows"), F.posexplode("begins").alias("w", "start_word"))
+    cut = begun.select("doc_id", "all", F.size("begins").alias("n_windows"), F.posexplode_outer("begins").alias("w", "start_word"))
     return cut.select("doc_id", "w", "start_word", F.least(F.col("start_word") + size, F.size("all")).alias("end_word"), F.slice("all", F.col("start_word") + 1, F.lit(size)).alias("words"), "n_windows")
 
 
@@ -76,7 +76,7 @@ def chapters(rows: DataFrame) -> DataFrame:
     chunked = F.transform(T.starts(F.size(words), CHUNK, CHUNK), lambda s, i: F.struct(F.concat(F.lit("Chapter "), i + 1).alias("title"), F.array_join(F.slice(words, s + 1, F.lit(CHUNK)), " ").alias("text")))
     rows = rows.select("doc_id", numbered.alias("inline"), F.size(pieces).alias("n"), by_line.alias("lines"), text)
     chosen = F.when(F.col("n") >= 4, F.col("inline")).when(F.size("lines") > 0, F.col("lines")).otherwise(chunked)
-    return rows.select("doc_id", F.posexplode(chosen).alias("chapter", "c")).select("doc_id", (F.col("chapter") + 1).alias("chapter"), "c.title", "c.text")
+    return rows.select("doc_id", F.posexplode_outer(chosen).alias("chapter", "c")).select("doc_id", (F.col("chapter") + 1).alias("chapter"), "c.title", "c.text")
 
 
 def genre_sample(t: Column) -> Column:
@@ -111,8 +111,8 @@ def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir)
-    split = rows.select("doc_id", F.lit("split").alias("kind"), F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
-    kept = rows.select("doc_id", F.lit("kept").alias("kind"), F.posexplode(T.kept_sentences(F.col("text"))).alias("pos", "sentence"))
+    split = rows.select("doc_id", F.lit("split").alias("kind"), F.posexplode_outer(T.split_sentences(F.col("text"))).alias("pos", "sentence")).where("pos IS NOT NULL")
+    kept = rows.select("doc_id", F.lit("kept").alias("kind"), F.posexplode_outer(T.kept_sentences(F.col("text"))).alias("pos", "sentence")).where("pos IS NOT NULL")
     return split.unionByName(kept)
 
 
