@@ -138,7 +138,7 @@ def document_report(rows: DataFrame, signals: DataFrame, c: DetectorConfig = Det
     ranked = signals.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(score.desc(), "w")))
     top = F.col("rank") <= 10
     per = ranked.groupBy("doc_id").agg(
-        (F.sum(score * length) / F.sum(length)).alias("coverage"), F.avg(F.when(top, F.col("p"))).alias("top_mean"), F.max("p").alias("p_max"), F.avg(F.when(top, F.col("conf"))).alias("conf"),
+        (F.sum(score * length) / F.sum(length)).alias("coverage"), F.avg(F.when(top, score)).alias("top_mean"), F.max("p").alias("p_max"), F.avg(F.when(top, F.col("conf"))).alias("conf"),
         F.max(F.col("evidence") > 0).alias("dup"), F.count("*").cast("int").alias("n_windows"), F.max("end_word").alias("word_count"), F.sum(F.col("overridden").cast("int")).cast("int").alias("n_overridden"), F.max("lm").isNull().alias("no_lm"),
     )
     cov, trig = F.col("coverage"), c.coverage_trigger
@@ -240,7 +240,7 @@ sig AS (SELECT doc_id, w, s AS start_word, e AS end_word, n, style, polish, long
 def sql_report(source: str, c: DetectorConfig) -> str:
     return f"""WITH {sql_signals(source, c)},
 rk AS (SELECT *, greatest(1, end_word - start_word) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY p * conf DESC, w) AS rank FROM sig),
-per AS (SELECT doc_id, sum(p * conf * len) / sum(len) AS cov, avg(p) FILTER (rank <= 10) AS tm, max(p) AS pm, avg(conf) FILTER (rank <= 10) AS cf, bool_or(evidence > 0) AS dup, count(*) AS nw, max(end_word) AS wc, count(*) FILTER (overridden) AS no FROM rk GROUP BY doc_id),
+per AS (SELECT doc_id, sum(p * conf * len) / sum(len) AS cov, avg(p * conf) FILTER (rank <= 10) AS tm, max(p) AS pm, avg(conf) FILTER (rank <= 10) AS cf, bool_or(evidence > 0) AS dup, count(*) AS nw, max(end_word) AS wc, count(*) FILTER (overridden) AS no FROM rk GROUP BY doc_id),
 q AS (SELECT *, {_clamp(f"0.50::DOUBLE * tm + 0.35::DOUBLE * pm + CASE WHEN cov > {c.coverage_trigger} THEN 0.15::DOUBLE * least(1, (cov - {c.coverage_trigger}::DOUBLE) / {max(0.01, 0.35 - c.coverage_trigger)}::DOUBLE) ELSE 0 END")} AS pd FROM per)
 SELECT d0.doc_id, round(pd, 6) AS p_ai_doc, round(cov, 6) AS ai_coverage_est, round(pm, 6) AS p_ai_max, round(cf, 6) AS confidence_doc,
   CASE WHEN nw IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN pm >= 0.85 THEN 'ai_chunk_detected' END, CASE WHEN cov >= 0.35 THEN 'widespread_ai_signal' END, CASE WHEN dup THEN 'possible_stitching' END, CASE WHEN cov >= {c.coverage_trigger} THEN 'coverage_trigger_exceeded' END], lambda f: f IS NOT NULL), '|') END AS flags,

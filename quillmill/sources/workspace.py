@@ -50,7 +50,7 @@ def create_project(root: str, title: str, name: str, content: bytes) -> Path:
     folder = Path(root, "projects", hashlib.sha256(title.strip().lower().encode()).hexdigest()[:12])
     folder.mkdir(parents=True, exist_ok=True)
     base = Path(name.strip()).name
-    (folder / (SOURCE if base in ("", ".") else base.replace("..", ""))).write_bytes(content)
+    (folder / (("" if base == "." else base.replace("..", "")) or SOURCE)).write_bytes(content)
     report = folder / "report.json"
     if not report.exists():
         report.write_text(json.dumps({"title": title, "analysis": None}, indent=2))
