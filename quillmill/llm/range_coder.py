@@ -156,7 +156,7 @@ def _decode_lanes(blocks: list[bytes], steps: int) -> np.ndarray:
             a, r = low[todo], rng[todo]
             r = np.where((a >> LOW) != ((a + r - U(1)) >> LOW), U(1 << 40) - (a & LOW_MASK), r)
             low[todo], rng[todo] = (a & LOW_MASK) << WORD, r << WORD
-            word = source[pos[todo]]
+            word = source.take(pos[todo], mode="clip")  # damaged blocks may ask for more
             code[todo] = ((code[todo] & LOW_MASK) << WORD) | (spare[todo] << U(8)) | (word >> U(8))
             spare[todo] = word & U(0xFF)
             pos[todo] += 1
