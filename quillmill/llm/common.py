@@ -30,7 +30,16 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     path = shared_dir(df.sparkSession)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a written() table that nothing will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, written
+from .common import discard, documents, partitions, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -295,6 +295,7 @@ def links(table: DataFrame) -> DataFrame:
     shared = shared.where(F.col("turn") < ANCHORS).drop("turn")
     found = written(confirmed(members.unionByName(shared), ["cluster", "block"]))
     if large.isEmpty():
+        discard(members)
         return found
     # classes outside their cluster's main component meet every block
     roots = components(found)
@@ -308,7 +309,11 @@ def links(table: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept, sid: one row per document."""
-    table = written(sets(docs))
+    return grouped(written(sets(docs)))
+
+
+def grouped(table: DataFrame) -> DataFrame:
+    """The same from a written sets() table."""
     classes = table.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
     roots = components(links(table)).withColumnRenamed("node", "sid")
     own = classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -320,9 +325,14 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the smallest doc_id's (documents without words stay; null doc_ids stay alone)."""
-    marks = groups(docs)
-    stays = marks.where(F.col("kept") | F.col("component_id").isNull()).select("doc_id").distinct()
+    """docs with one document of each group: the smallest doc_id's (documents without words stay; null doc_ids stay alone).
+
+    Which documents stay is written, and the sets, the bulk of what this leaves in the shared folder, are removed at once.
+    """
+    table = written(sets(docs))
+    marks = grouped(table)
+    stays = written(marks.where(F.col("kept") | F.col("component_id").isNull()).select("doc_id").distinct())
+    discard(table)
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi").select(*docs.columns)
 
 
