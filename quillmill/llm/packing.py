@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, written
 from .token_output import with_end
-from .tokens import encoder
+from .tokens import encoder, slices
 
 VOCABULARY, END_ID, WINDOW = "word_bpe_49k.json", 1, 2048
 #: Ids take two bytes: vocabularies have fewer than 65,536.
@@ -38,8 +38,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch):
                 values, offsets = with_end(*encoder(vocabulary).ids(some.column("text")), end_id)
                 ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), some.num_rows, [None, pa.py_buffer(offsets * 2), pa.py_buffer(np.ascontiguousarray(values))])
                 n = np.diff(offsets)

@@ -167,8 +167,8 @@ def _decode_lanes(blocks: list[bytes], steps: int) -> np.ndarray:
 
 
 def block_length(n: int) -> int:
-    """Ids to a block: about 1,024 blocks a frame, of 512 to 4,096 ids."""
-    return int(min(4096, max(512, -(-n // 1024))))
+    """Ids to a block: about 2,048 blocks a frame, of 512 to 4,096 ids."""
+    return int(min(4096, max(512, -(-n // 2048))))
 
 
 def encode(ids: np.ndarray) -> bytes:

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from . import range_coder
 from .common import documents, partitions, shared_dir
-from .tokens import encoder
+from .tokens import encoder, slices
 
-VOCABULARY, END_ID, FRAME_IDS = "byte_bpe_50k.json", 0, 2_000_000
+VOCABULARY, END_ID, FRAME_IDS = "byte_bpe_50k.json", 0, 4_000_000
 FRAME = "part int, frame int, n_ids long, doc_ids array<long>, counts array<long>, blocks binary"
 
 
@@ -49,8 +49,7 @@ def frames(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(row, kinds)], names=["part", "frame", "n_ids", "doc_ids", "counts", "blocks"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in slices(batch):
                 v, o = with_end(*encoder(vocabulary).ids(some.column("text")), end_id)
                 ids.append(some.column("doc_id").to_pylist())
                 values.append(v)
@@ -62,8 +61,8 @@ def frames(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
         if held:
             yield frame()
 
-    order = ["doc_id", "text"]
-    ranged = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    # ranges of doc_id alone, for the keys sampled to find them go to the driver; equal ids are in one range and then in order of text
+    ranged = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return ranged.mapInArrow(task, FRAME)
 
 

@@ -8,19 +8,33 @@ gathered by chunk number. Texts in which runs of white space could make a piece
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks whose ids one worker remembers at most; then it starts anew.
-REMEMBERED = 500_000
+#: Chunks whose ids one worker remembers in each of two generations; those still in use move on from the old one.
+REMEMBERED = 300_000
+#: Bytes of text that are encoded in one go, and rows at most.
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 4000
 #: Texts that are encoded whole, for RE2: long runs of white space, runs of two at the end, white space beyond ASCII.
 WHOLE = r"\x00|[\t-\r ]{3}|[\t-\r ]{2}\z|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 _encoders: dict[str, "Encoder"] = {}
 
 
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SLICE_BYTES of text; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def encoder(path: str) -> "Encoder":
     """One per worker process and file."""
     if path not in _encoders:
@@ -43,6 +57,7 @@ class Encoder:
         self.between = "\t" if self.keeps_space else " \x01 "
         self.mark = self._one(self.between)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -81,10 +96,17 @@ class Encoder:
         bounds = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         codes, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        got = [self.known.get(c) for c in chunks]
-        missing = [i for i, g in enumerate(got) if g is None]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
+        got = list(map(self.known.get, chunks))
+        unknown = [i for i, g in enumerate(got) if g is None]
+        if len(self.known) + len(unknown) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        missing = []
+        for i in unknown:
+            b = self.older.get(chunks[i])
+            if b is None:
+                missing.append(i)
+            else:
+                got[i] = self.known[chunks[i]] = b
         for i, b in zip(missing, self._encode_chunks([chunks[i] for i in missing])):
             got[i] = self.known[chunks[i]] = b
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 2
@@ -92,7 +114,8 @@ class Encoder:
         table = np.frombuffer(b"".join(got), dtype="<u2")
         per_chunk = size[codes]
         ends = np.concatenate([[0], np.cumsum(per_chunk)])
-        at = np.arange(ends[-1], dtype=np.int64) + np.repeat(first[codes] - ends[:-1], per_chunk)
+        kind = np.int32 if max(ends[-1], len(table)) < 1 << 31 else np.int64
+        at = np.arange(ends[-1], dtype=kind) + np.repeat((first[codes] - ends[:-1]).astype(kind), per_chunk)
         values, offsets = table[at], ends[bounds - bounds[0]]
         if whole is not None and pc.any(whole).as_py():
             values, offsets = self._with_whole(texts, whole.to_numpy(zero_copy_only=False), values, offsets)
