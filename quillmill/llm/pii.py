@@ -34,7 +34,7 @@ LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
     "email": ("@", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     "ip": (".", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
-    "card": ("", r"[0-9](?:[ -]?[0-9])++"),
+    "card": ("", r"[0-9](?:[ -]?[0-9]){11,}+"),  # runs of fewer digits would all be dropped
     "phone": ("+", r"\+[0-9][ ().0-9-]+[0-9]"),
 }
 CONTEXT, SAMPLE, PRECISION, SEED = 24, 4000, 0.95, 7
