@@ -15,9 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks whose ids one worker remembers in each of two generations; those still in use move on from the old one.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Bytes of text that are encoded in one go, and rows at most.
-SLICE_BYTES, SLICE_ROWS = 8 << 20, 4000
+SLICE_BYTES, SLICE_ROWS = 3 << 20, 4000
 #: Texts that are encoded whole, for RE2: long runs of white space, runs of two at the end, white space beyond ASCII.
 WHOLE = r"\x00|[\t-\r ]{3}|[\t-\r ]{2}\z|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
