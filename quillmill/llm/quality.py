@@ -2,8 +2,9 @@
 
 One pass over the texts counts words, symbols and repeats, and hashes each text's normalised lines (lower case, runs of white
 space as one space). Lines are then counted by host: in how many distinct documents of the host a line stands. Copies must not
-count, or a large group of near copies would make all its own lines frequent: documents count once per *signature*, the
-smallest line hash of the text, which copies with a few edits share. A line above the host's limit (`MIN_DOCUMENTS` and
+count, or a large group of near copies would make all its own lines frequent: lines above the limit over distinct texts are
+counted again over groups of near copies (`near_dedup`, on the whole texts that hold such lines), so that no shared line decides
+what a copy is. A line above the host's limit (`MIN_DOCUMENTS` and
 `HOST_SHARE` of the host's documents) is removed; a document that keeps fewer than `LEFT_WORDS` words, or less than `LEFT_SHARE`
 of its words, is depleted and rejected.
 
@@ -24,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from . import near_dedup
+from .common import discard, documents, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_DOCUMENTS, HOST_SHARE, LEFT_WORDS, LEFT_SHARE = 20, 0.01, 10, 0.2
@@ -108,18 +110,42 @@ def host():
     return F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
 
 
-def frequent_lines(table: DataFrame, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
-    """(host, hash) of the lines above their host's limit, over distinct documents."""
+def frequent_lines(table: DataFrame, docs: DataFrame | None = None, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
+    """(host, hash) of the lines above their host's limit, over distinct documents; without `docs` every distinct text is one."""
     hosts = table.groupBy("host").agg(F.count("*").alias("documents"))
     real = F.array_distinct(F.filter("line_hash", lambda h: h != 0))
-    lines = table.select("host", real.alias("lines")).withColumn("signature", F.array_min("lines")).select("host", "signature", F.explode("lines").alias("hash"))
-    counts = lines.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
-    return counts.join(hosts, "host").where(F.col("n") > F.col("documents") * host_share).select("host", "hash")
-
-
-def lost_words(table: DataFrame, **limits) -> DataFrame:
+    lines = table.select("host", "text_key", F.explode(real).alias("hash")).distinct()
+
+    def above(counts: DataFrame) -> DataFrame:
+        counts = counts.where(F.col("n") > min_documents).join(hosts, "host")
+        return counts.where(F.col("n") > F.col("documents") * host_share).select("host", "hash")
+
+    suspects = above(lines.groupBy("host", "hash").agg(F.count("*").alias("n")))
+    if docs is None:
+        return suspects
+    suspects = written(suspects)
+    if not (n := suspects.count()):
+        return suspects
+    held = written(lines.join(F.broadcast(suspects) if n <= BROADCAST_LINES else suspects, ["host", "hash"]))
+    originals = held.join(copies(table, held, docs), "text_key").select("host", "hash", "original").distinct()
+    return above(originals.groupBy("host", "hash").agg(F.count("*").alias("n")))
+
+
+def copies(table: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
+    """(text_key, original) for the texts of `held`: near copies have one original, found on whole texts, whatever single lines they share."""
+    keys = held.select("text_key").distinct()
+    rows = written(table.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.min("doc_id").alias("row_id")))
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_LINES else rows
+    texts = docs.select("doc_id", "text", text_key().alias("text_key")).join(rows, "text_key").where(F.col("doc_id").eqNullSafe(F.col("row_id")))
+    sets = written(near_dedup.sets(texts.select(F.col("text_key").alias("doc_id"), "text")))
+    groups = written(near_dedup.grouped(sets).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("original")).distinct())
+    discard(sets)
+    return groups
+
+
+def lost_words(table: DataFrame, docs: DataFrame | None = None, **limits) -> DataFrame:
     """(host, text_key) -> lost (words in removed lines), lines (numbers of removed lines, from 0); only texts that lose any."""
-    frequent = written(frequent_lines(table, **limits))
+    frequent = written(frequent_lines(table, docs, **limits))
     if frequent.count() <= BROADCAST_LINES:
         frequent = F.broadcast(frequent)
     zipped = F.arrays_zip("line_hash", "line_words")
@@ -141,7 +167,7 @@ def verdicts(table: DataFrame, lost: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The documents that are kept, without their removed lines; columns are those of docs, n_chars is renewed."""
     table = written(measured(docs))
-    lost = written(lost_words(table, **limits))
+    lost = written(lost_words(table, docs, **limits))
     judged = verdicts(table, lost)
     rejected = judged.where(~F.col("kept")).select("host", "text_key").distinct().withColumn("rejected", F.lit(True))
     marks = written(lost.select("host", "text_key", "lines").join(rejected, ["host", "text_key"], "full"))
@@ -154,8 +180,9 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = written(measured(documents(spark, sf_dir)))
-    judged = verdicts(table, lost_words(table))
+    docs = documents(spark, sf_dir)
+    table = written(measured(docs))
+    judged = verdicts(table, lost_words(table, docs))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -294,6 +294,13 @@ def test_frequent_lines_go_and_copies_do_not_count(spark):
     assert all(got[i] == own(i) for i in range(30)) and all(got[30 + i] == texts[30 + i] for i in range(30)) and 60 not in got
 
 
+def test_a_shared_line_does_not_make_documents_copies(spark):
+    own = lambda i: " ".join(f"d{i}n{k}" for k in range(60))
+    low = sorted((f"shared line {i} of all pages" for i in range(400)), key=lambda x: quality.line_key(x.encode()))[:3]
+    frame = spark.createDataFrame([(i, "\n".join([own(i), *low]), "en", "h", 0) for i in range(30)], SCHEMA)
+    assert {r.doc_id: r.text for r in quality.clean(frame).collect()} == {i: own(i) for i in range(30)}
+
+
 def test_pipeline_equals_its_parts(spark, tmp_path):
     texts = near_texts()[:20] + [" ".join(f"q{i}z{k}" for k in range(80)) + " call +1 555 123 4567" for i in range(6)]
     spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
