@@ -4,10 +4,10 @@
    cost nothing further. A class has a signature of `COORDINATES` minwise tokens, read off its sorted hashes (the smallest hash
    of each range of the hash space; an empty range borrows another's).
 2. In each of `TREES` independent trees a class walks down from the root: at every node it picks, by a hash that depends on the
-   node and the token, about `BRANCH` of its tokens and goes on to a child for each. After `LEVELS` levels the nodes are small:
+   node and the token, about `width` of its tokens and goes on to a child for each. After `LEVELS` levels the nodes are small:
    classes that differ rarely meet, similar ones meet in some tree with a probability near one.
 3. Nodes are compared exhaustively on signatures; nodes above `SMALL` branch further down first. What looks similar
-   (`LOOKS` of the tokens, about four standard deviations below the limit) forms clusters.
+   (`looks` of the tokens, about four standard deviations below the limit) forms clusters.
 4. In each cluster full sets confirm links, exactly; pairs already joined by confirmed links are skipped, so a group of copies
    costs about one comparison each and no group's pairs are ever emitted. A cluster above `BLOCK` classes is dealt to blocks
    that share a few anchors; afterwards the classes outside its main component meet every block, so no pair goes unseen.
@@ -31,14 +31,25 @@ from pyspark.sql import functions as F
 from .common import discard, documents, partitions, written
 from .components import components
 
-SHINGLE, PERCENT = 5, 85
-COORDINATES, TREES, LEVELS, BRANCH, SMALL, LOOKS = 64, 12, 3, 1.45, 256, 0.66
+#: PERCENT is the limit of op4, STAGE_PERCENT that of the pipeline's stage; all functions take either.
+SHINGLE, PERCENT, STAGE_PERCENT = 5, 85, 80
+COORDINATES, TREES, LEVELS, MEET, SMALL = 64, 12, 3, 1.2325, 256
 BLOCK, ANCHORS, NODE_BLOCK, BROADCAST_MEMBERS = 1000, 4, 20_000, 2_000_000
 U = np.uint64
 MASK48 = U((1 << 48) - 1)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
+def looks(percent: int) -> float:
+    """Share of equal tokens from which classes look similar: 4.25 standard deviations below the limit."""
+    return percent / 100 - 4.25 * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
+
+
+def width(percent: int) -> float:
+    """Tokens picked at a node: classes at the limit share MEET of its children on average, whatever the limit."""
+    return MEET * 100 / percent
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -105,9 +116,9 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, sid long, sig binary, hashes binary")
 
 
-def branch(paths: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def branch(paths: np.ndarray, owner: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """One level down: for every (path, row of tokens) the children it picks, as (path, owner)."""
-    limit = U(int(BRANCH / COORDINATES * 2**64))
+    limit = U(int(width(percent) / COORDINATES * 2**64))
     out_path, out_owner = [], []
     for at in range(0, len(paths), 4096):
         p, o = paths[at : at + 4096], owner[at : at + 4096]
@@ -123,7 +134,7 @@ def _tokens(sigs: np.ndarray) -> np.ndarray:
     return mix(sigs.astype(np.uint64) + (np.arange(COORDINATES, dtype=np.uint64) << U(16)))
 
 
-def nodes(classes: DataFrame) -> DataFrame:
+def nodes(classes: DataFrame, percent: int) -> DataFrame:
     """classes(sid, sig) -> (node, sid) after LEVELS levels of every tree."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +145,7 @@ def nodes(classes: DataFrame) -> DataFrame:
                     owner = np.arange(batch.num_rows)
                     paths = np.full(batch.num_rows, mix(np.array([tree + 1], dtype=np.uint64))[0])
                     for _ in range(LEVELS):
-                        paths, owner = branch(paths, owner, tokens)
+                        paths, owner = branch(paths, owner, tokens, percent)
                     yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), batch.column("sid").take(pa.array(owner))], names=["node", "sid"])
 
     return classes.select("sid", "sig").mapInArrow(task, "node long, sid long")
@@ -167,7 +178,7 @@ def shared_nodes(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(task, "node long, part long, sid long")
 
 
-def alike(sigs: np.ndarray) -> list[tuple[int, int]]:
+def alike(sigs: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs that join the rows into the components of looking similar."""
     n = len(sigs)
     label = np.arange(n)
@@ -175,7 +186,7 @@ def alike(sigs: np.ndarray) -> list[tuple[int, int]]:
     for i in range(n - 1):
         rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         if len(rest):
-            near = rest[(sigs[rest] == sigs[i]).sum(1) >= LOOKS * COORDINATES]
+            near = rest[(sigs[rest] == sigs[i]).sum(1) >= looks(percent) * COORDINATES]
             for j in near:
                 if label[j] != label[i]:
                     joins.append((i, int(j)))
@@ -183,7 +194,7 @@ def alike(sigs: np.ndarray) -> list[tuple[int, int]]:
     return joins
 
 
-def candidates(members: DataFrame) -> DataFrame:
+def candidates(members: DataFrame, percent: int) -> DataFrame:
     """(node, part, sid, sig) -> (a, b): classes that look similar, a spanning set per node."""
 
     def compare(ids: np.ndarray, sigs: np.ndarray, depth: int, path: int) -> set[tuple[int, int]]:
@@ -192,16 +203,16 @@ def candidates(members: DataFrame) -> DataFrame:
             paths, owner = start, np.arange(len(ids))
             found: set[tuple[int, int]] = set()
             for _ in range(2):
-                paths, owner = branch(paths, owner, _tokens(sigs))
+                paths, owner = branch(paths, owner, _tokens(sigs), percent)
             order = np.argsort(paths, kind="stable")
             for own in np.split(owner[order], np.flatnonzero(np.diff(paths[order])) + 1):
                 own = np.unique(own)
                 if len(own) > 1:
                     found |= compare(ids[own], sigs[own], depth + 1 if len(own) < len(ids) else 3, path + 1)
             # a node of copies does not thin out: everything also meets the first class
-            near = np.flatnonzero((sigs == sigs[0]).sum(1) >= LOOKS * COORDINATES)
+            near = np.flatnonzero((sigs == sigs[0]).sum(1) >= looks(percent) * COORDINATES)
             return found | {(int(ids[0]), int(ids[j])) for j in near if j}
-        return {(int(ids[i]), int(ids[j])) for i, j in alike(sigs)}
+        return {(int(ids[i]), int(ids[j])) for i, j in alike(sigs, percent)}
 
     def node(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("sid")
@@ -231,17 +242,17 @@ def candidates(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(task, "a long, b long").distinct()
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 * shared >= PERCENT * united, on sorted hashes."""
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * shared >= percent * united, on sorted hashes."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < PERCENT * len(large):
+    if 100 * len(small) < percent * len(large):
         return False
     at = np.searchsorted(large, small)
     shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def confirm(ids: list[int], hashes: list[np.ndarray], sigs: np.ndarray, outside: np.ndarray | None = None) -> list[tuple[int, int]]:
+def confirm(ids: list[int], hashes: list[np.ndarray], sigs: np.ndarray, percent: int, outside: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Confirmed links that join the rows into their exact components; with `outside`, only pairs with such a row are asked."""
     n = len(ids)
     label, size, links = np.arange(n), np.array([len(h) for h in hashes]), []
@@ -249,35 +260,35 @@ def confirm(ids: list[int], hashes: list[np.ndarray], sigs: np.ndarray, outside:
         rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         if outside is not None and not outside[i]:
             rest = rest[outside[rest]]
-        rest = rest[(100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i]))]
+        rest = rest[(100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
         if len(rest):
-            rest = rest[(sigs[rest] == sigs[i]).sum(1) >= (LOOKS - 0.06) * COORDINATES]
+            rest = rest[(sigs[rest] == sigs[i]).sum(1) >= (looks(percent) - 0.06) * COORDINATES]
         for j in rest:
-            if label[j] != label[i] and similar(hashes[i], hashes[j]):
+            if label[j] != label[i] and similar(hashes[i], hashes[j], percent):
                 links.append((ids[i], ids[j]))
                 label[label == label[j]] = label[i]
     return links
 
 
-def confirmed(members: DataFrame, keys: list[str]) -> DataFrame:
+def confirmed(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """members(keys, sid, sig, hashes, outside) -> (a, b), group by group; groups are bounded by BLOCK."""
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("sid").sort_values("sid")
         sigs = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(-1, COORDINATES)
         outside = frame["outside"].to_numpy() if frame["outside"].notna().all() else None
-        links = confirm(frame["sid"].tolist(), [unpack(h) for h in frame["hashes"]], sigs, outside)
+        links = confirm(frame["sid"].tolist(), [unpack(h) for h in frame["hashes"]], sigs, percent, outside)
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return members.groupBy(*keys).applyInPandas(group, "a long, b long")
 
 
-def links(table: DataFrame) -> DataFrame:
+def links(table: DataFrame, percent: int = PERCENT) -> DataFrame:
     """sets() rows -> confirmed links (a, b) between classes that join each component."""
     classes = table.where("sid IS NOT NULL").groupBy("sid").agg(F.first("sig").alias("sig"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("least"))
     classes = written(classes)
-    met = written(shared_nodes(nodes(classes)))
-    edges = candidates(met.join(classes.select("sid", "sig"), "sid"))
+    met = written(shared_nodes(nodes(classes, percent)))
+    edges = candidates(met.join(classes.select("sid", "sig"), "sid"), percent)
     clusters = written(components(edges).select(F.col("node").alias("sid"), F.col("root").alias("cluster")))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -293,7 +304,7 @@ def links(table: DataFrame) -> DataFrame:
     anchors = large.where(F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(BLOCK)) < ANCHORS)  # about ANCHORS to a block's worth, spread over all blocks below
     shared = anchors.withColumn("turn", F.pmod(F.xxhash64("sid", F.lit(2)), F.col("blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     shared = shared.where(F.col("turn") < ANCHORS).drop("turn")
-    found = written(confirmed(members.unionByName(shared), ["cluster", "block"]))
+    found = written(confirmed(members.unionByName(shared), ["cluster", "block"], percent))
     if large.isEmpty():
         discard(members)
         return found
@@ -304,18 +315,18 @@ def links(table: DataFrame) -> DataFrame:
     main = counts.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
     labelled = written(labelled.join(main, "cluster").withColumn("outside", F.col("root") != F.col("main")).drop("root", "main"))
     visitors = labelled.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return found.unionByName(confirmed(labelled.where("NOT outside").unionByName(visitors), ["cluster", "block"]))
+    return found.unionByName(confirmed(labelled.where("NOT outside").unionByName(visitors), ["cluster", "block"], percent))
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept, sid: one row per document."""
-    return grouped(written(sets(docs)))
+    return grouped(written(sets(docs)), percent)
 
 
-def grouped(table: DataFrame) -> DataFrame:
+def grouped(table: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The same from a written sets() table."""
     classes = table.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    roots = components(links(table)).withColumnRenamed("node", "sid")
+    roots = components(links(table, percent)).withColumnRenamed("node", "sid")
     own = classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = own.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = own.select("sid", "root").join(named, "root").select("sid", "component_id")
@@ -324,13 +335,13 @@ def grouped(table: DataFrame) -> DataFrame:
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group: the smallest doc_id's (documents without words stay; null doc_ids stay alone).
 
     Which documents stay is written, and the sets, the bulk of what this leaves in the shared folder, are removed at once.
     """
     table = written(sets(docs))
-    marks = grouped(table)
+    marks = grouped(table, percent)
     stays = written(marks.where(F.col("kept") | F.col("component_id").isNull()).select("doc_id").distinct())
     discard(table)
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi").select(*docs.columns)

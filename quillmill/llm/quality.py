@@ -138,7 +138,7 @@ def copies(table: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_LINES else rows
     texts = docs.select("doc_id", "text", text_key().alias("text_key")).join(rows, "text_key").where(F.col("doc_id").eqNullSafe(F.col("row_id")))
     sets = written(near_dedup.sets(texts.select(F.col("text_key").alias("doc_id"), "text")))
-    groups = written(near_dedup.grouped(sets).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("original")).distinct())
+    groups = written(near_dedup.grouped(sets, near_dedup.STAGE_PERCENT).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("original")).distinct())
     discard(sets)
     return groups
 

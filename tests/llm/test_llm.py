@@ -152,6 +152,16 @@ def test_near_dedup_equals_brute_force(spark, none):
     assert near_dedup.groups(none).count() == 0
 
 
+def test_the_stage_links_from_80_percent_on(spark):
+    words = [f"v{i}" for i in range(110)]
+    copy = [f"e{i}" if i in (30, 70) else w for i, w in enumerate(words)]
+    a, b = shingle_set(" ".join(words)), shingle_set(" ".join(copy))
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    frame = spark.createDataFrame([(1, " ".join(words), "en", "s", 0), (2, " ".join(copy), "en", "s", 0)], SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, frame, "").collect()] == [1]
+    assert {r.component_id for r in near_dedup.groups(frame).collect()} == {1, 2}
+
+
 def test_near_dedup_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     texts = near_texts()
