@@ -1,8 +1,8 @@
 """Licence scans by ordered signature rules (native: DataFrame functions only).
 
 A text's words are joined by single blanks and searched with signature rules: for each licence its SPDX tag, a grant ("licensed
-under ...") and its bare name, and for many a sentence of its text or its address. A rule is tried only where its keyword is
-among the text's words, and rules at all only in texts with one of a few general terms. Detections are resolved in order of
+under ...") and its bare name, and for many a sentence of its text or its address. A rule is tried only where its keyword, a
+word of all that it matches and rare in prose, is among the text's words. Detections are resolved in order of
 start, then length, then priority: one that lies within a detection kept before it, of its own priority or higher, is suppressed.
 
 Every step is a projection of the row: no shuffle, and the rules are one constant array.
@@ -22,13 +22,13 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrase -> label of the base scan: fixed values.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: A text without any of these is not searched.
-TERMS = ("licen", "spdx", "copyright", "copyleft", "public domain", "permission is hereby", "redistribution", "creative commons", "unlicense", "warranty")
 V = r"(?: v| version)?"
 #: (label, keyword, name as a regular expression over words joined by blanks)
 NAMES = (
-    ("mit", "mit", r"(?:the )?mit(?: x11)? licen[sc]e"),
-    ("mit-0", "0", r"mit(?: no attribution| 0)(?: licen[sc]e)?"),
+    ("mit", "license", r"(?:the )?mit(?: x11)? license"),
+    ("mit", "licence", r"(?:the )?mit(?: x11)? licence"),
+    ("mit-0", "attribution", r"mit no attribution(?: licen[sc]e)?"),
+    ("mit-0", "0", r"mit 0(?: licen[sc]e)?"),
     ("x11", "x11", r"x11 licen[sc]e"),
     ("apache-1.0", "apache", rf"apache(?: software)? licen[sc]e{V} 1 0"),
     ("apache-1.1", "apache", rf"apache(?: software)? licen[sc]e{V} 1 1"),
@@ -69,7 +69,8 @@ NAMES = (
     ("ipl-1.0", "ibm", rf"ibm public licen[sc]e(?:{V} 1(?: 0)?)?"),
     ("isc", "isc", r"isc licen[sc]e"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e"),
-    ("libpng", "libpng", r"(?:libpng|png reference library) licen[sc]e"),
+    ("libpng", "libpng", r"libpng licen[sc]e"),
+    ("libpng", "png", r"png reference library licen[sc]e"),
     ("boost-1.0", "boost", rf"boost software licen[sc]e(?:{V} 1(?: 0)?)?"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
@@ -99,17 +100,28 @@ NAMES = (
     ("odc-by-1.0", "commons", rf"open data commons attribution licen[sc]e(?:{V} 1(?: 0)?)?"),
     ("pddl-1.0", "dedication", r"(?:open data commons )?public domain dedication and licen[sc]e"),
     ("cc0-1.0", "cc0", rf"(?:creative commons )?cc0(?:{V} 1(?: 0)?)?"),
-    ("cc-by-2.0", "by", r"(?:cc|creative commons) by 2 0"),
-    ("cc-by-2.5", "by", r"(?:cc|creative commons) by 2 5"),
-    ("cc-by-3.0", "by", r"(?:cc|creative commons) by 3 0"),
-    ("cc-by-4.0", "by", r"(?:cc|creative commons) by 4 0"),
-    ("cc-by-sa-3.0", "sa", r"(?:cc|creative commons) by sa 3 0"),
-    ("cc-by-sa-4.0", "sa", r"(?:cc|creative commons) by sa 4 0"),
-    ("cc-by-nd-4.0", "nd", r"(?:cc|creative commons) by nd(?: 4 0)?"),
-    ("cc-by-nc-3.0", "nc", r"(?:cc|creative commons) by nc 3 0"),
-    ("cc-by-nc-4.0", "nc", r"(?:cc|creative commons) by nc 4 0"),
-    ("cc-by-nc-sa-4.0", "nc", r"(?:cc|creative commons) by nc sa(?: 4 0)?"),
-    ("cc-by-nc-nd-4.0", "nc", r"(?:cc|creative commons) by nc nd(?: 4 0)?"),
+    ("cc-by-2.0", "cc", r"cc by 2 0"),
+    ("cc-by-2.0", "creative", r"creative commons by 2 0"),
+    ("cc-by-2.5", "cc", r"cc by 2 5"),
+    ("cc-by-2.5", "creative", r"creative commons by 2 5"),
+    ("cc-by-3.0", "cc", r"cc by 3 0"),
+    ("cc-by-3.0", "creative", r"creative commons by 3 0"),
+    ("cc-by-4.0", "cc", r"cc by 4 0"),
+    ("cc-by-4.0", "creative", r"creative commons by 4 0"),
+    ("cc-by-sa-3.0", "cc", r"cc by sa 3 0"),
+    ("cc-by-sa-3.0", "creative", r"creative commons by sa 3 0"),
+    ("cc-by-sa-4.0", "cc", r"cc by sa 4 0"),
+    ("cc-by-sa-4.0", "creative", r"creative commons by sa 4 0"),
+    ("cc-by-nd-4.0", "cc", r"cc by nd(?: 4 0)?"),
+    ("cc-by-nd-4.0", "creative", r"creative commons by nd(?: 4 0)?"),
+    ("cc-by-nc-3.0", "cc", r"cc by nc 3 0"),
+    ("cc-by-nc-3.0", "creative", r"creative commons by nc 3 0"),
+    ("cc-by-nc-4.0", "cc", r"cc by nc 4 0"),
+    ("cc-by-nc-4.0", "creative", r"creative commons by nc 4 0"),
+    ("cc-by-nc-sa-4.0", "cc", r"cc by nc sa(?: 4 0)?"),
+    ("cc-by-nc-sa-4.0", "creative", r"creative commons by nc sa(?: 4 0)?"),
+    ("cc-by-nc-nd-4.0", "cc", r"cc by nc nd(?: 4 0)?"),
+    ("cc-by-nc-nd-4.0", "creative", r"creative commons by nc nd(?: 4 0)?"),
     ("cc-by-4.0", "attribution", r"creative commons attribution 4 0(?: international)?(?: licen[sc]e)?"),
     ("cc-by-sa-4.0", "attribution", r"creative commons attribution share ?alike 4 0(?: international)?(?: licen[sc]e)?"),
     ("cc-by-nc-4.0", "attribution", r"creative commons attribution non ?commercial 4 0(?: international)?(?: licen[sc]e)?"),
@@ -127,7 +139,7 @@ TEXTS = (
     ("bsd", "redistribution", 85, 0.9, r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse", 86, 0.95, r"neither the names? of .{1,80}? nor the names of its contributors may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising", 86, 0.95, r"all advertising materials mentioning features or use of this software must display"),
-    ("apache-2.0", "apache", 85, 0.95, r"you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "compliance", 85, 0.95, r"you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("apache-2.0", "apache", 75, 0.85, r"apache org licenses license 2 0"),
     ("gpl", "redistribute", 85, 0.9, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("lgpl", "redistribute", 86, 0.95, r"you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
@@ -166,7 +178,7 @@ def rules() -> list[tuple[str, str, int, float, str]]:
 
 #: All spans of one rule in `joined`: running lengths of what stands between the matches and of the matches.
 SPANS = """
-transform(filter({rules}, r -> array_contains(words, r.keyword)), r -> aggregate(
+transform(filter({rules}, r -> array_contains(present, r.keyword)), r -> aggregate(
   arrays_zip(split(joined, r.pattern, -1), regexp_extract_all(joined, r.pattern, 0)),
   named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,back:int,down:int,label:string,weight:double>>)),
   (a, x) -> if(x.`1` is null, a, named_struct('at', a.at + length(x.`0`) + length(x.`1`), 'spans',
@@ -184,14 +196,12 @@ aggregate(array_sort(flatten(found)), named_struct('reach', -1, 'rank', 0, 'labe
 def scan(docs: DataFrame) -> DataFrame:
     """docs + n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections."""
     rows = docs.withColumn("lowered", F.translate(text_or_empty(), UPPER, LOWER))
-    searched = F.lit(False)
-    for term in TERMS:
-        searched = searched | F.col("lowered").contains(term)
-    rows = rows.withColumn("words", F.regexp_extract_all("lowered", F.lit(WORD), F.lit(0))).withColumn("searched", searched).drop("lowered")
+    rows = rows.withColumn("words", F.regexp_extract_all("lowered", F.lit(WORD), F.lit(0))).drop("lowered")
+    rows = rows.withColumn("present", F.array_intersect("words", F.array(*map(F.lit, sorted({keyword for _, keyword, *_ in rules()})))))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    rows = rows.withColumn("words", F.when(F.col("searched"), F.col("words"))).withColumn("joined", F.array_join("words", " "))
+    rows = rows.withColumn("words", F.when(F.size("present") > 0, F.col("words"))).withColumn("joined", F.array_join("words", " "))
     at = {p: " and ".join(f"get(words, i + {k}) = '{w}'" for k, w in enumerate(p.split())) for p, _ in BASE}
-    rows = rows.withColumn("places", F.expr(f"if(size(words) > 1, filter(sequence(0, size(words) - 2), i -> {' or '.join(f'({x})' for x in at.values())}), array())"))
+    rows = rows.withColumn("places", F.expr(f"if(array_contains(present, 'license') and size(words) > 1, filter(sequence(0, size(words) - 2), i -> {' or '.join(f'({x})' for x in at.values())}), array())"))
     label = " ".join(f"when get(words, i) = '{p.split()[0]}' then '{name}'" for p, name in BASE)
     rows = rows.withColumn("base_set", F.expr(f"coalesce(array_sort(array_distinct(transform(places, i -> case {label} end))), array())"))
     rows = rows.withColumn("found", _found()).withColumn("resolved", F.expr(RESOLVED))

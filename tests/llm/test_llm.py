@@ -105,6 +105,16 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_every_licence_rule_runs_where_it_matches(spark):
+    want = {
+        "Released under the GPLv3": "gpl-3.0", "GNU GPL": "gpl", "WTFPL": "wtfpl", "CDDL 1.0": "cddl-1.0", "EUPL": "eupl", "CC0 1.0": "cc0-1.0", "CC-BY-SA 4.0": "cc-by-sa-4.0", "CC BY-NC-ND": "cc-by-nc-nd-4.0", "BSD 3-Clause": "bsd-3-clause", "MIT-0": "mit-0",
+        "MIT No Attribution": "mit-0", "PNG Reference Library License": "libpng", "see mozilla.org/MPL/2.0": "mpl-2.0", "All rights reserved": "proprietary", "into the public\ndomain": "public-domain", "Creative\nCommons BY 4.0": "cc-by-4.0",
+        "you may not use this file except in compliance with the license. You may obtain a copy of the license at": "apache-2.0",
+    }
+    got = {r.text: r for r in licenses.scan(spark.createDataFrame([(t,) for t in want], "text string")).collect()}
+    assert {t for t, label in want.items() if label not in got[t].labels.split(",") or not got[t].score} == set()
+
+
 def reach(sets):
     """Components by brute force."""
     label = list(range(len(sets)))
