@@ -4,8 +4,8 @@ One pass over the texts counts words, symbols and repeats, and hashes each text'
 space as one space). Lines are then counted by host: in how many distinct documents of the host a line stands. Copies must not
 count, or a large group of near copies would make all its own lines frequent: lines above the limit over distinct texts are
 counted again over groups of near copies (`near_dedup`, on the whole texts that hold such lines), so that no shared line decides
-what a copy is. A line above the host's limit (`MIN_DOCUMENTS` and
-`HOST_SHARE` of the host's documents) is removed; a document that keeps fewer than `LEFT_WORDS` words, or less than `LEFT_SHARE`
+what a copy is. A line in more than `MIN_DOCUMENTS` documents of a host is
+removed, however large the host is; a document that keeps fewer than `LEFT_WORDS` words, or less than `LEFT_SHARE`
 of its words, is depleted and rejected.
 
 The host of a document is its source. Counts are pre-aggregated; lines travel as (host, hash), once to be counted and once to
@@ -29,7 +29,7 @@ from . import near_dedup
 from .common import discard, documents, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_DOCUMENTS, HOST_SHARE, LEFT_WORDS, LEFT_SHARE = 20, 0.01, 10, 0.2
+MIN_DOCUMENTS, LEFT_WORDS, LEFT_SHARE = 20, 10, 0.2
 BROADCAST_LINES = 500_000
 SYMBOLS = b"#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<int>"
@@ -110,17 +110,15 @@ def host():
     return F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
 
 
-def frequent_lines(table: DataFrame, docs: DataFrame | None = None, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
-    """(host, hash) of the lines above their host's limit, over distinct documents; without `docs` every distinct text is one."""
-    hosts = table.groupBy("host").agg(F.count("*").alias("documents"))
+def frequent_lines(table: DataFrame, docs: DataFrame | None = None, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """(host, hash) of the lines in more than min_documents distinct documents of their host; without `docs` every distinct text is one."""
     real = F.array_distinct(F.filter("line_hash", lambda h: h != 0))
     lines = table.select("host", "text_key", F.explode(real).alias("hash")).distinct()
 
-    def above(counts: DataFrame) -> DataFrame:
-        counts = counts.where(F.col("n") > min_documents).join(hosts, "host")
-        return counts.where(F.col("n") > F.col("documents") * host_share).select("host", "hash")
+    def above(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > min_documents).select("host", "hash")
 
-    suspects = above(lines.groupBy("host", "hash").agg(F.count("*").alias("n")))
+    suspects = above(lines)
     if docs is None:
         return suspects
     suspects = written(suspects)
@@ -128,7 +126,7 @@ def frequent_lines(table: DataFrame, docs: DataFrame | None = None, min_document
         return suspects
     held = written(lines.join(F.broadcast(suspects) if n <= BROADCAST_LINES else suspects, ["host", "hash"]))
     originals = held.join(copies(table, held, docs), "text_key").select("host", "hash", "original").distinct()
-    return above(originals.groupBy("host", "hash").agg(F.count("*").alias("n")))
+    return above(originals)
 
 
 def copies(table: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:

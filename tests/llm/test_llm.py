@@ -321,6 +321,13 @@ def test_a_shared_line_does_not_make_documents_copies(spark):
     assert {r.doc_id: r.text for r in quality.clean(frame).collect()} == {i: own(i) for i in range(30)}
 
 
+def test_the_limit_of_lines_does_not_follow_the_size_of_the_host(spark):
+    own = lambda i: " ".join(f"d{i}n{k}" for k in range(60))
+    texts = [own(i) + "\nshared footer" * (i < 25) for i in range(3000)]
+    table = quality.measured(spark.createDataFrame([(i, t, "en", "h", 0) for i, t in enumerate(texts)], SCHEMA))
+    assert quality.lost_words(table).count() == 25
+
+
 def test_pipeline_equals_its_parts(spark, tmp_path):
     texts = near_texts()[:20] + [" ".join(f"q{i}z{k}" for k in range(80)) + " call +1 555 123 4567" for i in range(6)]
     spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
