@@ -203,6 +203,14 @@ def test_pii(docs, none):
     assert pii.find(none).count() == 0
 
 
+def test_secrets_of_any_length_and_of_letters_only(spark):
+    r = np.random.default_rng(4)
+    long = "".join(r.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 342))
+    letters = "".join(r.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"), 40))
+    frame = spark.createDataFrame([(i, f'api token = "{s}" end') for i, s in enumerate([long, letters])], "doc_id long, text string")
+    assert {x.doc_id: x.text for x in pii.redact(frame).collect()} == {i: 'api token = "[SECRET]" end' for i in range(2)}
+
+
 def test_boosting_on_held_out_cases():
     r = np.random.default_rng(1)
     x = r.integers(0, 20, (2000, 4)).astype(float)
