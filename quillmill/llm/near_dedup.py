@@ -25,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, partitions, written
+from .common import discard, documents, partitions, text_or_empty, written
 from .components import components
 
 #: PERCENT is the limit of op4, STAGE_PERCENT that of the pipeline's stage; all functions take either.
@@ -101,8 +101,12 @@ def unpack(raw: bytes) -> np.ndarray:
     return (np.frombuffer(raw, "<u4", n).astype(np.uint64) << U(16)) | np.frombuffer(raw, "<u2", n, 4 * n)
 
 
+def text_key() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, sid (class of equal sets; null if empty), sig, hashes."""
+    """docs(doc_id, text) -> doc_id, text_key, n_shingles, sid (class of equal sets; null if empty), sig, hashes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,10 +114,10 @@ def sets(docs: DataFrame) -> DataFrame:
                 some = batch.slice(at, 1000)
                 found = [shingles(t) for t in some.column("text").to_pylist()]
                 raw = [pack(h) if len(h) else None for h in found]
-                columns = [some.column("doc_id").cast(pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array([r and xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], pa.int64()), pa.array([signature(h).tobytes() if len(h) else None for h in found], pa.binary()), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "sid", "sig", "hashes"])
+                columns = [some.column("doc_id").cast(pa.int64()), some.column("text_key"), pa.array([len(h) for h in found], pa.int64()), pa.array([r and xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], pa.int64()), pa.array([signature(h).tobytes() if len(h) else None for h in found], pa.binary()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "sid", "sig", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, sid long, sig binary, hashes binary")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(task, "doc_id long, text_key long, n_shingles long, sid long, sig binary, hashes binary")
 
 
 def branch(paths: np.ndarray, owner: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +323,7 @@ def links(table: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept, sid: one row per document."""
+    """docs(doc_id, text) -> doc_id, text_key, n_shingles, component_id, kept, sid, root: one row per document."""
     return grouped(written(sets(docs)), percent)
 
 
@@ -329,22 +333,30 @@ def grouped(table: DataFrame, percent: int = PERCENT) -> DataFrame:
     roots = components(links(table, percent)).withColumnRenamed("node", "sid")
     own = classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = own.select("sid", "root").join(named, "root").select("sid", "component_id")
-    rows = table.select("doc_id", "n_shingles", "sid").join(labels, "sid", "left")
+    labels = own.select("sid", "root").join(named, "root").select("sid", "root", "component_id")
+    rows = table.select("doc_id", "text_key", "n_shingles", "sid").join(labels, "sid", "left")
     rows = rows.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group: the smallest doc_id's (documents without words stay; null doc_ids stay alone).
+    """docs with one row of each group: the smallest doc_id's, a null one's only if all are null (rows without words all stay).
 
-    Which documents stay is written, and the sets, the bulk of what this leaves in the shared folder, are removed at once.
+    A row is known by doc_id and text; of a surviving row that is repeated one stays. Which rows stay is written, and the sets, the bulk of what this leaves in the shared folder, are removed at once.
     """
     table = written(sets(docs))
     marks = grouped(table, percent)
-    stays = written(marks.where(F.col("kept") | F.col("component_id").isNull()).select("doc_id").distinct())
+    rows = marks.where("sid IS NOT NULL").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("times"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("times"))
+    named = rows.groupBy("root").agg(F.min(first).alias("s")).select(F.col("s.doc_id").alias("_stay_id"), F.col("s.text_key").alias("_stay_key"), F.col("s.times").alias("_times"))
+    wordless = marks.where("sid IS NULL").select(F.col("doc_id").alias("_stay_id"), F.col("text_key").alias("_stay_key"), F.lit(1).cast("long").alias("_times")).distinct()
+    stays = written(named.unionByName(wordless))
     discard(table)
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi").select(*docs.columns)
+    found = docs.withColumn("_key", text_key()).join(stays, F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("_key") == F.col("_stay_key")))
+    once = found.where("_times = 1")
+    if not stays.where("_times > 1").isEmpty():
+        once = once.unionByName(found.where("_times > 1").dropDuplicates(["doc_id", "_key"]))
+    return once.select(*docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,14 @@ def test_the_stage_links_from_80_percent_on(spark):
     assert {r.component_id for r in near_dedup.groups(frame).collect()} == {1, 2}
 
 
+def test_one_row_of_each_group_stays(spark):
+    one, other, third, near = (" ".join(f"{c}{i}" for i in range(90)) for c in "abcd")
+    table = [(1, one), (1, one), (2, one), (3, other), (1, other), (None, third), (None, third + " end"), (4, near), (None, near + " end"), (None, near), (9, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in table], SCHEMA)
+    got = Counter((r.doc_id, (r.text or "-")[0]) for r in near_dedup.deduplicate(frame).collect())
+    assert got == Counter({(1, "a"): 1, (1, "b"): 1, (None, "c"): 1, (4, "d"): 1, (9, "-"): 1})
+
+
 def test_near_dedup_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     texts = near_texts()
