@@ -11,7 +11,9 @@
 4. In each cluster full sets confirm links, exactly; pairs already joined by confirmed links are skipped, so a group of copies
    costs about one comparison each and no group's pairs are ever emitted. A cluster above `BLOCK` classes is dealt to blocks
    that share a few anchors; afterwards the classes outside its main component meet every block, so no pair goes unseen.
-5. Components of the confirmed links are the groups.
+5. Signatures of sets below `COORDINATES` shingles scatter too widely: such classes also join clusters by an exact prefix filter
+   and are compared on full sets alone.
+6. Components of the confirmed links are the groups.
 
 Defined cases: fewer than five words: one shingle of them all; no words or null text: empty set, linked with nothing; null doc_id:
 takes part, but names a component only if all are null; repeated rows: same class; empty table: no rows.
@@ -25,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, documents, partitions, text_or_empty, written
@@ -246,6 +248,35 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(task, "a long, b long").distinct()
 
 
+def short_edges(table: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes that share a shingle of their prefixes, to the least of each shingle's; no pair with a set below COORDINATES is missed.
+
+    Sets that reach the limit share a shingle among the n - ceil(limit * n) + 1 first of either, in any fixed order: here the rarest first.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [unpack(h) for h in batch.column("hashes").to_pylist()]
+            sizes = np.array([len(h) for h in found], dtype=np.int64)
+            token = np.concatenate([np.zeros(0, dtype=np.uint64), *found]).astype(np.int64)
+            columns = [batch.column("sid").take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(token)]
+            yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "token"])
+
+    least = 100 * (COORDINATES - 1) // percent
+    own = table.where(F.col("sid").isNotNull() & (F.col("n_shingles") <= least)).select("sid", "hashes").mapInArrow(task, "sid long, n long, token long")
+    own = written(own.distinct())
+    held = own.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    common = own.join(held, "token")
+    w = Window.partitionBy("sid")
+    common = common.withColumn("place", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("held", "token")))
+    prefix = written(common.where(F.col("place") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).select("sid", "token"))
+    firsts = prefix.groupBy("token").agg(F.min("sid").alias("a"))
+    edges = written(prefix.join(firsts, "token").where("sid <> a").select("a", F.col("sid").alias("b")).distinct())
+    discard(own)
+    discard(prefix)
+    return edges
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * shared >= percent * united, on sorted hashes."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -265,8 +296,9 @@ def confirm(ids: list[int], hashes: list[np.ndarray], sigs: np.ndarray, percent:
         if outside is not None and not outside[i]:
             rest = rest[outside[rest]]
         rest = rest[(100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
-        if len(rest):
-            rest = rest[(sigs[rest] == sigs[i]).sum(1) >= (looks(percent) - 0.06) * COORDINATES]
+        if len(rest):  # signatures of short sets scatter too widely to judge by
+            short = np.minimum(size[rest], size[i]) < COORDINATES
+            rest = rest[short | ((sigs[rest] == sigs[i]).sum(1) >= (looks(percent) - 0.06) * COORDINATES)]
         for j in rest:
             if label[j] != label[i] and similar(hashes[i], hashes[j], percent):
                 links.append((ids[i], ids[j]))
@@ -292,7 +324,7 @@ def links(table: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = table.where("sid IS NOT NULL").groupBy("sid").agg(F.first("sig").alias("sig"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("least"))
     classes = written(classes)
     met = written(shared_nodes(nodes(classes, percent)))
-    edges = candidates(met.join(classes.select("sid", "sig"), "sid"), percent)
+    edges = candidates(met.join(classes.select("sid", "sig"), "sid"), percent).unionByName(short_edges(table, percent)).distinct()
     clusters = written(components(edges).select(F.col("node").alias("sid"), F.col("root").alias("cluster")))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))

@@ -180,6 +180,12 @@ def test_one_row_of_each_group_stays(spark):
     assert got == Counter({(1, "a"): 1, (1, "b"): 1, (None, "c"): 1, (4, "d"): 1, (9, "-"): 1})
 
 
+def test_no_link_of_short_texts_is_missed(spark):
+    texts = [t for i in range(300) for t in (" ".join(f"p{i}x{k}" for k in range(10)), " ".join(f"p{i}x{k}" for k in range(11)))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in near_dedup.groups(frame).collect())
+
+
 def test_near_dedup_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     texts = near_texts()
