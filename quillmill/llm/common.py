@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separator of `[^\x20\x09-\x0D]+` words.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Items to a run of scanned().
+RUN = 64
 
 _own: dict[str, str] = {}
 
@@ -18,14 +22,25 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (one-process tests) a temporary folder stands in.
+    Where that setting is missing a temporary folder stands in, if driver and executors are one process; else it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault("dir", tempfile.mkdtemp(prefix="quillmill-"))
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that all of them share")
+        base = _own.get("dir") or _own.setdefault("dir", tempfile.mkdtemp(prefix="quillmill-"))
     return f"{base.rstrip('/')}/quillmill-{uuid.uuid4().hex}"
 
 
+def tidy() -> None:
+    """Give back memory that this worker no longer uses: idle workers stay with their executor and count towards its limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     path = shared_dir(df.sparkSession)
@@ -57,3 +72,25 @@ def text_or_empty(column: str = "text") -> Column:
 def n_words(column: str = "text") -> Column:
     """Words between ASCII white space; a null text has none."""
     return F.regexp_count(text_or_empty(column), F.lit(WORD)).cast("long")
+
+
+def scanned(items: str, state: str, kind: str, keep: str, value: str, after: str) -> str:
+    """SQL of a running pass over the array `items`: an array<kind> of `value` for the items that `keep`, with the state before each.
+
+    In keep, value and after, `s` is the state and `x` the item; the state begins as `state` and goes on as `after`. Results are
+    gathered in runs of RUN items, so appending to immutable arrays does not cost the square of their length.
+    """
+    run = f"""aggregate(slice(_items, _run * {RUN} + 1, {RUN}), named_struct('s', _all.s, 'own', cast(array() as array<{kind}>)),
+      (_one, x) -> transform(array(_one.s), s -> named_struct('s', {after}, 'own', if({keep}, concat(_one.own, array({value})), _one.own)))[0])"""
+    return f"""transform(array({items}), _items -> flatten(aggregate(
+      if(size(_items) > 0, sequence(0, (size(_items) - 1) div {RUN}), cast(array() as array<int>)),
+      named_struct('s', {state}, 'out', cast(array() as array<array<{kind}>>)),
+      (_all, _run) -> transform(array({run}), _done -> named_struct('s', _done.s, 'out', concat(_all.out, array(_done.own))))[0],
+      _all -> _all.out)))[0]"""
+
+
+def matches(text: str, pattern: str) -> str:
+    """SQL: array<struct<start, stop, value>> of a pattern's matches; the lengths of what stands between them give their places."""
+    pieces = f"transform(arrays_zip(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0)), _z -> named_struct('gap', _z.`0`, 'hit', _z.`1`))"
+    value = "named_struct('start', s + length(x.gap), 'stop', s + length(x.gap) + length(x.hit), 'value', x.hit)"
+    return scanned(pieces, "0", "struct<start:int,stop:int,value:string>", "x.hit is not null", value, "s + length(x.gap) + coalesce(length(x.hit), 0)")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, tidy, written
 from .token_output import with_end
 from .tokens import encoder, slices
 
@@ -45,6 +45,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame
                 columns = [pa.array([part] * some.num_rows, pa.int32()), pa.array(offsets[:-1] + before), some.column("doc_id").cast(pa.int64()), pa.array(n), ids.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "inner", "doc_id", "n", "ids"])
                 before += int(offsets[-1])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(task, ENCODED)
 
@@ -77,6 +78,7 @@ def cut(table: DataFrame, window: int = WINDOW, with_ids: bool = True) -> DataFr
                 columns.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        tidy()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return table.join(F.broadcast(offsets(table)), "part").select("doc_id", "inner", "base", "n", "ids").mapInArrow(task, schema)

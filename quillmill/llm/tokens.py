@@ -1,8 +1,12 @@
 """Whole texts to token ids with a public vocabulary, many texts at a time.
 
 Byte-level and word-level BPE never merge across certain boundaries, so equal chunks of text between two boundaries have equal
-ids wherever they stand. Texts are cut there, a batch's distinct chunks are encoded once by the tokenizers library, and ids are
-gathered by chunk number. Texts in which runs of white space could make a piece reach over a cut are encoded whole.
+ids wherever they stand. Texts are cut there, a slice's distinct chunks are encoded once by the tokenizers library, and ids are
+gathered by chunk number. Chunks of plain letters, with or without a run of punctuation behind them, need no normaliser and no
+splitting by regular expression: they go to a tokenizer of the same vocabulary without these, many to a call. All other chunks go
+to the full tokenizer. Texts in which runs of white space could make a piece reach over a cut are encoded whole.
+
+Nothing is remembered between slices, so a worker holds one slice and its ids.
 """
 
 from __future__ import annotations
@@ -14,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks whose ids one worker remembers in each of two generations; those still in use move on from the old one.
-REMEMBERED = 400_000
-#: Bytes of text that are encoded in one go, and rows at most.
-SLICE_BYTES, SLICE_ROWS = 3 << 20, 4000
+#: Bytes of text that are encoded in one go, and rows at most; chunks to a call.
+SLICE_BYTES, SLICE_ROWS, CALL = 8 << 20, 8000, 50
 #: Texts that are encoded whole, for RE2: long runs of white space, runs of two at the end, white space beyond ASCII.
 WHOLE = r"\x00|[\t-\r ]{3}|[\t-\r ]{2}\z|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Letters that stay as they are under normalisation, and are lowered alike everywhere; punctuation is one piece of its own.
+LETTERS, MARKS = r"A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+BARE, MARKED = rf"^ ?[{LETTERS}]+[{MARKS}]*$", rf"([{LETTERS}])([{MARKS}]+)$"
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -42,46 +47,88 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def byte_symbols() -> np.ndarray:
+    """The character that stands for each byte in byte-level vocabularies: visible Latin-1 for itself, others from 256 on."""
+    itself = np.zeros(256, dtype=bool)
+    for a, b in ((33, 127), (161, 173), (174, 256)):
+        itself[a:b] = True
+    return np.where(itself, np.arange(256), 255 + np.cumsum(~itself)).astype("<u4")
+
+
 class Encoder:
     """ids(texts) for vocabularies of fewer than 65,536 ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        assert self.tokenizer.get_vocab_size() <= 1 << 16
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.bare):
+            t.encode_special_tokens = True
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        size = self.tokenizer.get_vocab_size()
+        assert size <= 1 << 16
         self.keeps_space = self._one(" a") != self._one("a")
-        # what stands between chunks that are encoded in one call: a piece of its own, with an id that no other text has
-        self.between = "\t" if self.keeps_space else " \x01 "
-        self.mark = self._one(self.between)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.symbols = byte_symbols()
+        self.symbols[ord("\n")] = ord("\n")  # between chunks
+        self.space, self.tab = chr(self.symbols[ord(" ")]), chr(self.symbols[ord("\t")])
+        self.mark = self._one("\t")[:1] if self.keeps_space else []
+        # ids that begin a chunk with a space before it, or end a piece
+        self.edge = np.zeros(1 << 16, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.startswith(self.space) if self.keeps_space else token.endswith("</w>")
 
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk as bytes; many chunks to a call, alone where a chunk could touch its neighbour."""
-        out: list[bytes] = [b""] * len(chunks)
-        sep = self.between.strip() or self.between
-        alone = [i for i, c in enumerate(chunks) if sep in c or not c or (self.keeps_space and (c[-1].isspace() or c[:2].isspace()))]
-        lone = set(alone)
-        together = [i for i in range(len(chunks)) if i not in lone] if alone else list(range(len(chunks)))
-        for at in range(0, len(together), 5000):
-            part = together[at : at + 5000]
-            ids = np.array(self._one(self.between.join([chunks[i] for i in part])), dtype="<u2")
-            cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else ids[:0]
-            if len(cuts) != len(part) - 1:
-                alone += part
-                continue
-            raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            for k, i in enumerate(part):
-                out[i] = raw[2 * edges[k] + 2 : 2 * edges[k + 1]]
-        for i in alone:
-            out[i] = np.array(self._one(chunks[i]), dtype="<u2").tobytes()
-        return out
+    def _call(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u2") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of BARE chunks, which begin with a space where spaces are kept; `edge` tells where each begins or ends."""
+        cut = pc.replace_substring_regex(chunks, MARKED, "\\1\n\\2")
+        own = (cut if self.keeps_space else pc.utf8_lower(cut)).to_numpy(zero_copy_only=False).tolist()
+        ids = np.concatenate([np.zeros(0, dtype="<u2"), *self._call(self.bare, [self._symbols("\n".join(own[i : i + CALL])) for i in range(0, len(own), CALL)])])
+        edges = np.flatnonzero(self.edge[ids])
+        if self.keeps_space:
+            bounds = np.append(edges, len(ids))
+        else:
+            pieces = 1 + (pc.find_substring(cut, "\n").to_numpy(zero_copy_only=False) >= 0)
+            last = np.cumsum(pieces) - 1
+            bounds = np.insert(edges[last] + 1, 0, 0) if len(own) and last[-1] + 1 == len(edges) else edges
+        return (ids, np.diff(bounds)) if len(bounds) == len(own) + 1 else self._alone(chunks)
+
+    def _marked(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of BARE chunks without a space before them, each followed by a tab's id, which no such chunk holds."""
+        own = pc.replace_substring_regex(chunks, MARKED, "\\1\n\\2").to_numpy(zero_copy_only=False).tolist()
+        found = self._call(self.bare, [self._symbols("\n\t\n".join(own[i : i + CALL]) + "\n\t") for i in range(0, len(own), CALL)])
+        ids = np.concatenate([np.zeros(0, dtype="<u2"), *found])
+        is_mark = ids == self.mark
+        sizes = np.diff(np.flatnonzero(is_mark), prepend=-1) - 1
+        return (ids[~is_mark], sizes) if len(sizes) == len(own) else self._alone(chunks)
+
+    def _symbols(self, text: str) -> str:
+        if text.isascii():
+            return text.replace(" ", self.space).replace("\t", self.tab)
+        return self.symbols[np.frombuffer(text.encode(), dtype=np.uint8)].tobytes().decode("utf-32-le")
+
+    def _alone(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes), chunk by chunk with the full tokenizer."""
+        found = self._call(self.tokenizer, chunks.to_numpy(zero_copy_only=False).tolist())
+        return np.concatenate([np.zeros(0, dtype="<u2"), *found]), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
+    def _table(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, size): the ids of each distinct chunk are ids[first : first + size]."""
+        bare = pc.match_substring_regex(chunks, BARE)
+        joined = pc.and_(bare, pc.starts_with(chunks, " ")) if self.keeps_space else bare
+        parts, order = [], []
+        for mask, encode in ((joined, self._joined), (pc.xor(bare, joined), self._marked), (pc.invert(bare), self._alone)):
+            parts.append(encode(chunks.filter(mask)))
+            order.append(np.flatnonzero(mask.to_numpy(zero_copy_only=False)))
+        at, sizes = np.concatenate(order), np.concatenate([s for _, s in parts])
+        first, size = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+        first[at], size[at] = np.cumsum(sizes) - sizes, sizes
+        return np.concatenate([ids for ids, _ in parts]), first, size
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's ids begin and the last ends); null is an empty text."""
@@ -95,23 +142,8 @@ class Encoder:
             lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         bounds = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        codes, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        got = list(map(self.known.get, chunks))
-        unknown = [i for i, g in enumerate(got) if g is None]
-        if len(self.known) + len(unknown) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        missing = []
-        for i in unknown:
-            b = self.older.get(chunks[i])
-            if b is None:
-                missing.append(i)
-            else:
-                got[i] = self.known[chunks[i]] = b
-        for i, b in zip(missing, self._encode_chunks([chunks[i] for i in missing])):
-            got[i] = self.known[chunks[i]] = b
-        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 2
-        first = np.cumsum(size) - size
-        table = np.frombuffer(b"".join(got), dtype="<u2")
+        table, first, size = self._table(coded.dictionary)
+        codes = coded.indices.to_numpy()
         per_chunk = size[codes]
         ends = np.concatenate([[0], np.cumsum(per_chunk)])
         kind = np.int32 if max(ends[-1], len(table)) < 1 << 31 else np.int64
