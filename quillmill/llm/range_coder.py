@@ -8,8 +8,9 @@ share the coder's interval of 2**24:
 * order 1: the id that last followed the id before it;
 * order 0: classes of ids by adaptive counts, even within a class (lower ids, which merges made earlier, have smaller classes).
 
-The shares of orders 2 and 1 follow how often each has been right in the block. The coder keeps 56 bits and gives out 16 at a
-time; where the bits are not settled it narrows the interval instead of carrying.
+The interval is dealt out in 256 slots: the shares of orders 2 and 1 follow how often each has lately been right in the block, the
+classes share the rest by their counts. Shares are dealt anew after 8, 16 and 32 ids and then every `REBUILD`. The coder keeps 64
+bits and gives out 32 at a time; where the upper 32 are not settled it narrows the interval instead of carrying.
 
 All blocks of a frame take one step at once, as lanes of NumPy arrays: a step codes one id of every block.
 """
@@ -22,147 +23,165 @@ import zlib
 import numpy as np
 
 U = np.uint64
-TOP, LOW, WORD = U(56), U(40), U(16)
-LOW_MASK = U((1 << 40) - 1)
-FULL = 1 << 24
-MAGIC = b"QMR1"
+HALF, SHARE_BITS, SLOT_BITS, SLOTS = U(32), U(24), U(16), 256
+LOW_MASK = U((1 << 32) - 1)
+MAGIC = b"QMR2"
 #: 16 classes of 64 ids, 12 of 256, 30 of 2,048: 65,536 ids.
 CLASS_BITS = np.array([6] * 16 + [8] * 12 + [11] * 30, dtype=np.uint64)
-CLASS_FROM = np.concatenate([[0], np.cumsum(1 << CLASS_BITS.astype(np.int64))[:-1]])
 CLASSES = len(CLASS_BITS)
-CLASS_OF = np.repeat(np.arange(CLASSES, dtype=np.uint8), 1 << CLASS_BITS.astype(np.int64))
-REBUILD, RATE, SLOTS = 64, 5, 2048
+#: A lane's cells are its classes and the guesses of orders 1 and 2, which begin at no id.
+GUESS1, GUESS2, CELLS = CLASSES, CLASSES + 1, CLASSES + 2
+CELL_FROM = np.concatenate([[0], np.cumsum(1 << CLASS_BITS.astype(np.int64))[:-1], [0, 0]]).astype(np.uint64)
+CELL_SHIFT = np.concatenate([SLOT_BITS - CLASS_BITS, [SLOT_BITS, SLOT_BITS]])
+CLASS_OF = np.repeat(np.arange(CLASSES, dtype=np.int64), 1 << CLASS_BITS.astype(np.int64))
+REBUILD, EARLY, CONTEXT_BITS = 64, (8, 16, 32), 8
 
 
 class Model:
     """Predictions and their shares for `lanes` blocks."""
 
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes)
-        self.base, self.row256, self.row_classes = self.row * SLOTS, self.row * 256, self.row * CLASSES
-        self.after1 = np.zeros(lanes * SLOTS, dtype=np.uint32)  # id + 1; 0: nothing seen
-        self.after2 = np.zeros(lanes * SLOTS, dtype=np.uint32)
-        self.hit1 = np.full(lanes, 1 << 13, dtype=np.int64)  # of 65,536
-        self.hit2 = np.full(lanes, 1 << 13, dtype=np.int64)
-        self.p1 = self.p2 = np.zeros(lanes, dtype=np.uint32)
+        self.row_cells = np.arange(lanes) * CELLS
+        self.base = np.arange(lanes, dtype=np.uint64) << U(CONTEXT_BITS)
+        self.after1 = np.zeros(lanes << CONTEXT_BITS, dtype=np.uint16)  # the last id after each context
+        self.after2 = np.zeros(lanes << CONTEXT_BITS, dtype=np.uint16)
+        self.hash = np.zeros(lanes, dtype=np.uint64)
+        self.at1 = self.at2 = self.base.view(np.int64)
+        self.hit1, self.hit2 = np.full(lanes, 1 << 13, dtype=np.int64), np.full(lanes, 1 << 13, dtype=np.int64)  # of 65,536
+        self.right1, self.right2 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
         self.counts = np.ones((lanes, CLASSES), dtype=np.int64)
-        self.steps = 0
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        """Class shares in 256ths from the counts; every class keeps one at least."""
-        total = self.counts.sum(axis=1, keepdims=True)
-        share = 1 + self.counts * (256 - CLASSES) // total
-        share[self.row, share.argmax(axis=1)] += 256 - share.sum(axis=1)
-        start = np.cumsum(share, axis=1) - share
-        marks = np.zeros((len(self.row), 256), dtype=np.int16)
-        marks[self.row[:, None], start[:, 1:]] = 1
-        self.slot = np.cumsum(marks, axis=1, dtype=np.int16).astype(np.uint8).ravel()
-        self.share, self.start = share.astype(np.uint64).ravel(), start.astype(np.uint64).ravel()
-        self.counts[total[:, 0] > 1024] >>= 1
+        self.seen = np.zeros((REBUILD, lanes), dtype=np.int64)
+        self.steps = self.dealt = 0
+        self.deal()
+
+    def deal(self) -> None:
+        """Slots for the guesses and, by counts, for the classes; every cell keeps one at least."""
+        part2 = 1 + (self.hit2 * 150 >> 16)
+        part1 = 1 + ((SLOTS - 80 - part2) * self.hit1 >> 17)
+        total = self.counts.sum(axis=1)
+        rest = SLOTS - part1 - part2
+        width = np.empty((len(total), CELLS), dtype=np.int64)
+        own = width[:, :CLASSES]
+        own[:] = 1 + self.counts * (rest - CLASSES)[:, None] // total[:, None]
+        own[np.arange(len(own)), self.counts.argmax(axis=1)] += rest - own.sum(axis=1)
+        width[:, GUESS1], width[:, GUESS2] = part1, part2
+        self.width = width
+        start = (np.cumsum(width, axis=1) - width).astype(np.uint64) << SLOT_BITS
+        self.parts = ((start << HALF) | (width.astype(np.uint64) << CELL_SHIFT)).ravel()  # where a cell starts, and an id's part of it
+
+    def owners(self) -> np.ndarray:
+        """The cell of each slot, for decoding."""
+        return np.repeat(np.tile(np.arange(CELLS, dtype=np.uint8), len(self.width)), self.width.ravel())
+
+    def guesses(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.after1.take(self.at1, mode="clip"), self.after2.take(self.at2, mode="clip")
+
+    def learn(self, ids: np.ndarray, plain: np.ndarray, cells: np.ndarray, by1: np.ndarray, by2: np.ndarray) -> bool:
+        """ids as uint64 and as uint16, cells by class, lanes that a guess got right; True if shares have been dealt anew."""
+        self.after1[self.at1] = plain
+        self.after2[self.at2] = plain
+        self.right1[by1] += 1
+        self.right2[by2] += 1
+        new = ids * U(0x9E3779B97F4A7C15)
+        self.at1 = ((new >> U(64 - CONTEXT_BITS)) | self.base).view(np.int64)
+        self.at2 = ((((new ^ (self.hash >> U(7))) * U(0xC2B2AE3D27D4EB4F)) >> U(64 - CONTEXT_BITS)) | self.base).view(np.int64)
+        self.hash = new
+        self.seen[self.steps - self.dealt] = cells
+        self.steps += 1
+        if self.steps % REBUILD and self.steps not in EARLY:
+            return False
+        n, lanes = self.steps - self.dealt, len(self.hash)
+        self.hit1 += ((self.right1 << 16) // n - self.hit1) >> 1
+        self.hit2 += ((self.right2 << 16) // n - self.hit2) >> 1
+        self.right1[:], self.right2[:] = 0, 0
+        self.counts += 8 * np.bincount(self.seen[:n].ravel(), minlength=lanes * CELLS).reshape(lanes, CELLS)[:, :CLASSES]
+        self.counts[self.counts.sum(axis=1) > 2048] >>= 1
         self.counts |= 1
+        self.dealt = self.steps
+        self.deal()
+        return True
 
-    def shares(self) -> None:
-        """The parts of the interval for this step: f2, f1 and, in 256ths, the unit of order 0."""
-        self.at1 = self.base + ((self.p1 * np.uint32(2654435761)) >> np.uint32(21)).astype(np.int64)
-        self.at2 = self.base + (((self.p1 * np.uint32(2246822519)) ^ (self.p2 * np.uint32(3266489917))) * np.uint32(668265263) >> np.uint32(21)).astype(np.int64)
-        self.guess2, self.guess1 = self.after2.take(self.at2, mode="clip"), self.after1.take(self.at1, mode="clip")
-        self.f2 = np.where(self.guess2 > 0, np.maximum(self.hit2, 64) * 224, 0).astype(np.uint64)
-        rest = U(FULL) - self.f2
-        self.f1 = np.where(self.guess1 > 0, ((rest >> U(16)) * np.maximum(self.hit1, 64).astype(np.uint64) * U(3)) >> U(2), U(0))
-        self.f21 = self.f2 + self.f1
-        self.unit = (rest - self.f1) >> U(8)
-
-    def learn(self, ids: np.ndarray, classes: np.ndarray) -> None:
-        stored = ids.astype(np.uint32) + np.uint32(1)
-        right2, right1 = self.guess2 == stored, self.guess1 == stored
-        self.hit2 += np.where(self.guess2 > 0, (np.where(right2, 65535, 0) - self.hit2) >> RATE, 0)
-        self.hit1 += np.where((self.guess1 > 0) & ~right2, (np.where(right1, 65535, 0) - self.hit1) >> RATE, 0)
-        self.after2[self.at2] = stored
-        self.after1[self.at1] = stored
-        self.p2, self.p1 = self.p1, stored
-        self.counts.reshape(-1)[self.row_classes + classes] += 8
-        self.steps += 1
-        if self.steps % REBUILD == 0:
-            self.rebuild()
+
+def _settled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """The lanes that give out 32 bits; their intervals are narrowed to one value of these."""
+    due = np.flatnonzero(rng <= LOW_MASK)
+    a, r = low[due], rng[due]
+    rng[due] = np.where((a >> HALF) != ((a + r - U(1)) >> HALF), U(1 << 32) - (a & LOW_MASK), r) << HALF
+    return due
 
 
 def _encode_lanes(grid: np.ndarray) -> list[bytes]:
     """grid: blocks x ids."""
     lanes, steps = grid.shape
-    m, low, rng = Model(lanes), np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 56) - 1, dtype=np.uint64)
-    words = 2 * steps + 16
-    out, pos = np.zeros(lanes * words, dtype="<u2"), np.arange(lanes) * words
-    for step in range(steps):
-        ids = grid[:, step].astype(np.int64)
-        classes = CLASS_OF.take(ids, mode="clip")
-        m.shares()
-        cell = m.row_classes + classes
-        bits = CLASS_BITS.take(classes, mode="clip")
-        freq = (m.unit * m.share.take(cell, mode="clip")) >> bits
-        start = m.f21 + m.unit * m.start.take(cell, mode="clip") + freq * (ids - CLASS_FROM.take(classes, mode="clip")).astype(np.uint64)
-        right1, right2 = m.guess1 == ids + 1, m.guess2 == ids + 1
-        freq = np.where(right2, m.f2, np.where(right1, m.f1, freq))
-        start = np.where(right2, U(0), np.where(right1, m.f2, start))
-        part = rng >> U(24)
-        low += part * start
-        rng = part * freq
-        todo = np.flatnonzero(rng <= LOW_MASK)
-        while len(todo):
-            a, r = low[todo], rng[todo]
-            r = np.where((a >> LOW) != ((a + r - U(1)) >> LOW), U(1 << 40) - (a & LOW_MASK), r)
-            out[pos[todo]] = (a >> LOW).astype("<u2")
-            pos[todo] += 1
-            low[todo], rng[todo] = (a & LOW_MASK) << WORD, r << WORD
-            todo = todo[(r << WORD) <= LOW_MASK]
-        m.learn(ids, classes)
-    for shift in (40, 24, 8):
-        out[pos] = ((low >> U(shift)) & U(0xFFFF)).astype("<u2")
+    m, low, rng = Model(lanes), np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+    words = steps + 4
+    out, pos = np.zeros(lanes * words, dtype="<u4"), np.arange(lanes) * words
+    for plain in np.ascontiguousarray(grid.T):
+        ids = plain.astype(np.uint64)
+        classes = CLASS_OF.take(ids.view(np.int64), mode="clip")
+        guess1, guess2 = m.guesses()
+        right2 = guess2 == plain
+        by1, by2 = np.flatnonzero((guess1 == plain) & ~right2), np.flatnonzero(right2)
+        cells = m.row_cells + classes
+        coded, off = cells, ids - CELL_FROM.take(classes, mode="clip")
+        if len(by1) or len(by2):
+            coded = cells.copy()  # `cells` counts for order 0
+            coded[by1], coded[by2] = m.row_cells[by1] + GUESS1, m.row_cells[by2] + GUESS2
+            off[by1] = off[by2] = 0
+        parts = m.parts.take(coded, mode="clip")
+        freq = parts & LOW_MASK
+        off *= freq
+        off += parts >> HALF
+        rng >>= SHARE_BITS
+        off *= rng
+        low += off
+        rng *= freq
+        due = _settled(low, rng)
+        a, p = low[due], pos[due]
+        out[p] = a >> HALF
+        pos[due] = p + 1
+        low[due] = a << HALF
+        m.learn(ids, plain, cells, by1, by2)
+    for shift in (HALF, U(0)):
+        out[pos] = (low >> shift) & LOW_MASK
         pos += 1
-    out[pos] = ((low << U(8)) & U(0xFFFF)).astype("<u2")
-    pos += 1
     return [out[i * words : pos[i]].tobytes() for i in range(lanes)]
 
 
 def _decode_lanes(blocks: list[bytes], steps: int) -> np.ndarray:
     lanes = len(blocks)
-    ends = np.cumsum([len(b) // 2 for b in blocks])
-    source = np.concatenate([np.frombuffer(b"".join(blocks), dtype="<u2").astype(np.uint64), np.zeros(8, dtype=np.uint64)])
+    ends = np.cumsum([len(b) // 4 for b in blocks])
+    source = np.concatenate([np.frombuffer(b"".join(b[: len(b) // 4 * 4] for b in blocks), dtype="<u4").astype(np.uint64), np.zeros(8, dtype=np.uint64)])
     pos = np.concatenate([[0], ends[:-1]])
-    m, low, rng = Model(lanes), np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 56) - 1, dtype=np.uint64)
-    code = (source[pos] << U(40)) | (source[pos + 1] << U(24)) | (source[pos + 2] << U(8)) | (source[pos + 3] >> U(8))
-    spare, pos = source[pos + 3] & U(0xFF), pos + 4  # 8 bits of the fourth word wait
+    m, low, rng = Model(lanes), np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+    code, pos = (source.take(pos, mode="clip") << HALF) | source.take(pos + 1, mode="clip"), pos + 2
+    row_slots, owner = np.arange(lanes, dtype=np.uint64) * U(SLOTS), m.owners()
     grid = np.zeros((steps, lanes), dtype="<u2")
     for step in range(steps):
-        m.shares()
-        part = rng >> U(24)
-        t = np.minimum((code - low) // part, U(FULL - 1))
-        above = np.maximum(t, m.f21) - m.f21
-        classes = m.slot.take(m.row256 + np.minimum(above // m.unit, U(255)).astype(np.int64), mode="clip")
-        cell = m.row_classes + classes
-        bits = CLASS_BITS.take(classes, mode="clip")
-        freq = (m.unit * m.share.take(cell, mode="clip")) >> bits
-        begin = m.unit * m.start.take(cell, mode="clip")
-        off = np.minimum((above - begin) // freq, (U(1) << bits) - U(1))
-        ids = CLASS_FROM.take(classes, mode="clip") + off.astype(np.int64)
-        in2, in1 = t < m.f2, t < m.f21
-        ids = np.where(in2, m.guess2.astype(np.int64) - 1, np.where(in1, m.guess1.astype(np.int64) - 1, ids))
-        freq = np.where(in2, m.f2, np.where(in1, m.f1, freq))
-        start = np.where(in2, U(0), np.where(in1, m.f2, m.f21 + begin + off * freq))
-        low += part * start
-        rng = part * freq
-        todo = np.flatnonzero(rng <= LOW_MASK)
-        while len(todo):
-            a, r = low[todo], rng[todo]
-            r = np.where((a >> LOW) != ((a + r - U(1)) >> LOW), U(1 << 40) - (a & LOW_MASK), r)
-            low[todo], rng[todo] = (a & LOW_MASK) << WORD, r << WORD
-            word = source.take(pos[todo], mode="clip")  # damaged blocks may ask for more
-            code[todo] = ((code[todo] & LOW_MASK) << WORD) | (spare[todo] << U(8)) | (word >> U(8))
-            spare[todo] = word & U(0xFF)
-            pos[todo] += 1
-            todo = todo[(r << WORD) <= LOW_MASK]
-        m.learn(ids, CLASS_OF.take(ids, mode="clip"))
+        guess1, guess2 = m.guesses()
+        rng >>= SHARE_BITS
+        t = np.minimum((code - low) // rng, U((1 << 24) - 1))
+        cell = owner.take(((t >> SLOT_BITS) + row_slots).view(np.int64), mode="clip").astype(np.int64)
+        coded = m.row_cells + cell
+        parts = m.parts.take(coded, mode="clip")
+        freq, start = parts & LOW_MASK, parts >> HALF
+        off = (t - start) // freq
+        ids = off + CELL_FROM.take(cell, mode="clip")
+        by1, by2 = np.flatnonzero(cell == GUESS1), np.flatnonzero(cell == GUESS2)
+        ids[by1], ids[by2] = guess1[by1], guess2[by2]
+        off *= freq
+        off += start
+        off *= rng
+        low += off
+        rng *= freq
+        due = _settled(low, rng)
+        low[due] <<= HALF
+        p = pos[due]
+        code[due] = (code[due] << HALF) | source.take(p, mode="clip")  # damaged blocks may ask for more
+        pos[due] = p + 1
         grid[step] = ids
+        if m.learn(ids, grid[step], m.row_cells + CLASS_OF.take(ids.view(np.int64), mode="clip"), by1, by2):
+            owner = m.owners()
     return np.ascontiguousarray(grid.T)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import range_coder
 from .common import documents, partitions, shared_dir
-from .tokens import encoder, slices
+from .tokens import SLICE_BYTES, encoder, slices
 
 VOCABULARY, END_ID, FRAME_IDS = "byte_bpe_50k.json", 0, 4_000_000
 FRAME = "part int, frame int, n_ids long, doc_ids array<long>, counts array<long>, blocks binary"
@@ -49,7 +49,7 @@ def frames(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(row, kinds)], names=["part", "frame", "n_ids", "doc_ids", "counts", "blocks"])
 
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, size=2 * SLICE_BYTES):
                 v, o = with_end(*encoder(vocabulary).ids(some.column("text")), end_id)
                 ids.append(some.column("doc_id").to_pylist())
                 values.append(v)

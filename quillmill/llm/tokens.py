@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded in one go, and rows at most; chunks to a call.
-SLICE_BYTES, SLICE_ROWS, CALL = 8 << 20, 8000, 50
+SLICE_BYTES, SLICE_ROWS, CALL = 8 << 20, 16000, 50
 #: Texts that are encoded whole, for RE2: long runs of white space, runs of two at the end, white space beyond ASCII.
 WHOLE = r"\x00|[\t-\r ]{3}|[\t-\r ]{2}\z|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Letters that stay as they are under normalisation, and are lowered alike everywhere; punctuation is one piece of its own.
@@ -29,13 +29,13 @@ BARE, MARKED = rf"^ ?[{LETTERS}]+[{MARKS}]*$", rf"([{LETTERS}])([{MARKS}]+)$"
 _encoders: dict[str, "Encoder"] = {}
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about SLICE_BYTES of text; a longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `size` bytes of text; a longer text is a part of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
-        to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+        to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
         yield batch.slice(at, to - at)
         at = to
 
@@ -118,14 +118,19 @@ class Encoder:
         return np.concatenate([np.zeros(0, dtype="<u2"), *found]), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
 
     def _table(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first, size): the ids of each distinct chunk are ids[first : first + size]."""
+        """(ids, first, size): the ids of each distinct chunk are ids[first : first + size].
+
+        Chunks are encoded in order of their text: neighbours need the same entries of the vocabulary, which then stay in the caches.
+        """
+        rank = pc.sort_indices(chunks)
+        chunks = chunks.take(rank)
         bare = pc.match_substring_regex(chunks, BARE)
         joined = pc.and_(bare, pc.starts_with(chunks, " ")) if self.keeps_space else bare
         parts, order = [], []
         for mask, encode in ((joined, self._joined), (pc.xor(bare, joined), self._marked), (pc.invert(bare), self._alone)):
             parts.append(encode(chunks.filter(mask)))
             order.append(np.flatnonzero(mask.to_numpy(zero_copy_only=False)))
-        at, sizes = np.concatenate(order), np.concatenate([s for _, s in parts])
+        at, sizes = rank.to_numpy()[np.concatenate(order)], np.concatenate([s for _, s in parts])
         first, size = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
         first[at], size[at] = np.cumsum(sizes) - sizes, sizes
         return np.concatenate([ids for ids, _ in parts]), first, size
