@@ -1,13 +1,17 @@
 """Approximate nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking.
 
-The index is fitted on a bounded sample (`FIT_ROWS` vectors, smallest hash first): coarse centroids by k-means, then for each of
-`PARTS` slices of the residual a codebook. Every vector is assigned to its centroid's list and coded. Equal vectors share one
-entry with their `k + 1` smallest ids: more can never be among a query's k nearest, for ties go to the smaller id.
+The index is fitted on a bounded sample (`FIT_ROWS` vectors, smallest hash first): coarse centroids by k-means, about half the
+square root of the entries (in two levels when they are many, `MAX_LISTS` at most), then for each of `PARTS` slices of the residual
+a codebook. Every vector is assigned to its centroid's list and coded. Equal vectors share one entry with their `k + 1` smallest
+ids: more can never be among a query's k nearest, for ties go to the smaller id.
 
-A query looks at its `PROBES` nearest lists. Lists are cut into blocks of about `BLOCK` entries by hash, so a list that holds
-much of the data is many tasks; queries are dealt to the blocks of their lists. In a block a query's table of distances to all
-codewords gives approximate distances of all entries; the `RERANK` best are measured exactly on their original vectors, and the
-k nearest of them leave the block. The k nearest of all blocks are the answer.
+A query looks at its nearest lists, as many as hold `TARGET` of the nearest neighbours of `TUNED` vectors within the sample: few
+where vectors form clusters, most where they do not. Lists are cut into blocks of about `BLOCK` entries by hash, so a list that
+holds much of the data is many tasks; queries are dealt to the blocks of their lists. In a block a query's table of distances to
+all codewords gives approximate distances of all entries; the `RERANK` best are measured exactly on their original vectors, and
+the k nearest of them leave the block. The k nearest of all blocks are the answer.
+
+The table that takes part, its sample and its coded entries are made at once (jobs), the search itself is lazy.
 
 Defined cases: vectors that are null, zero, or have null or non-finite components take no part, nor do null ids; vectors whose
 length is not the usual (most frequent) one neither; fewer than k candidates: all of them; repeated rows of one id count once
@@ -26,10 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import partitions, written
 
-FIT_ROWS, LISTS, PARTS, CODEWORDS, PROBES, RERANK, BLOCK, EVERY, K = 20_000, 64, 16, 64, 48, 100, 4096, 100, 10
+FIT_ROWS, MAX_LISTS, FLAT, PARTS, CODEWORDS, RERANK, BLOCK, EVERY, K = 20_000, 2048, 256, 16, 64, 100, 4096, 100, 10
+TUNED, TARGET = 200, 0.97
 RESULT = "query_id long, vec_id long, score double"
 
 
+def lists_for(entries: int) -> int:
+    return int(min(MAX_LISTS, max(8, round(entries**0.5 / 2))))
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """Lloyd's rounds from a seeded choice of rows; an empty cluster takes the row that lies worst."""
     k = min(k, len(x))
@@ -47,7 +56,10 @@ class Index:
     """Coarse centroids and codebooks; small, and sent to the tasks as part of their function."""
 
     def __init__(self, sample: np.ndarray, lists: int, parts: int, codewords: int):
-        self.centres = kmeans(sample, lists)
+        self.centres = kmeans(sample, lists if lists <= FLAT else round(lists**0.5))
+        if lists > FLAT:
+            near, n = self.nearest(sample, 1)[:, 0], len(sample)
+            self.centres = np.concatenate([kmeans(own, max(1, round(lists * len(own) / n))) for c in range(len(self.centres)) if len(own := sample[near == c])])
         width = sample.shape[1]
         self.cuts = np.linspace(0, width, min(parts, width) + 1).astype(int)
         rest = sample - self.centres[self.nearest(sample, 1)[:, 0]]
@@ -57,6 +69,18 @@ class Index:
         distance = (self.centres**2).sum(1) - 2 * x @ self.centres.T
         return np.argsort(distance, axis=1, kind="stable")[:, :n]
 
+    def probes(self, sample: np.ndarray, k: int, target: float) -> int:
+        """Lists to look at, in order of distance, for `target` of the k nearest within the sample."""
+        asked = sample[: min(TUNED, len(sample))]
+        distance = (sample**2).sum(1) - 2 * asked @ sample.T
+        distance[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return len(self.centres)
+        lists = self.nearest(sample, 1)[:, 0][np.argpartition(distance, k - 1, axis=1)[:, :k]]
+        place = np.argsort(self.nearest(asked, len(self.centres)), axis=1)
+        return int(np.ceil(np.quantile(np.take_along_axis(place, lists, axis=1), target))) + 1
+
     def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = x - self.centres[lists]
         slices = [rest[:, a:b] for a, b in zip(self.cuts, self.cuts[1:])]
@@ -69,18 +93,26 @@ class Index:
 
 
 def vectors(table: DataFrame) -> DataFrame:
-    """The rows that take part: vec_id, v (array of double)."""
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    """The rows that take part: vec_id, v (array of float, or of double for other kinds)."""
+    kind = dict(table.dtypes)["embedding"]
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     fine = "forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"
     return rows.where(fine)
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist() if isinstance(column, pa.Array) else list(column), dtype=np.float64)
+    """Vectors of one length as rows of doubles."""
+    if isinstance(column, pa.Array):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.stack(list(column)).astype(np.float64)
+
 
+def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int | None = None, probes: int | None = None, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score for each query: the rows whose vec_id is divisible by `every`.
 
-def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score for each query: the rows whose vec_id is divisible by `every`."""
+    lists and probes follow the table unless they are given.
+    """
     spark = table.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = vectors(table)
@@ -89,7 +121,10 @@ def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS,
         return empty
     rows = written(rows.where(F.size("v") == usual["n"]))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toPandas()
-    index = Index(_matrix(sample["v"]), lists, PARTS, CODEWORDS)
+    sample = np.random.default_rng(0).permutation(np.unique(_matrix(sample["v"]), axis=0))  # copies say nothing about how the others lie
+    index = Index(sample, lists or lists_for(rows.count()), PARTS, CODEWORDS)
+    probes = probes or index.probes(sample, k, TARGET)
+    kind = dict(rows.dtypes)["v"]
 
     # equal vectors: one entry, with the smallest ids (the limit is pushed below the shuffle)
     first = Window.partitionBy("v").orderBy("vec_id")
@@ -104,8 +139,8 @@ def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS,
                 codes = [c.tobytes() for c in index.codes(x, near)]
                 yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(codes, pa.binary()), batch.column("v"), batch.column("ids")], names=["list", "code", "v", "ids"])
 
-    coded = written(entries.mapInArrow(assigned, "list int, code binary, v array<double>, ids array<long>"))
-    sizes = coded.groupBy("list").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")  # one row per list
+    coded = written(entries.mapInArrow(assigned, f"list int, code binary, v {kind}, ids array<long>"))
+    sizes = coded.groupBy("list").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")  # a row per list, MAX_LISTS at most
     blocked = coded.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int")).drop("blocks")
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +151,7 @@ def search(table: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS,
                 who = np.repeat(np.arange(len(x)), near.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column("vec_id").take(pa.array(who)), batch.column("v").take(pa.array(who))], names=["list", "query_id", "v"])
 
-    queries = rows.where(F.col("vec_id") % every == 0).distinct().mapInArrow(probed, "list int, query_id long, v array<double>")
+    queries = rows.where(F.col("vec_id") % every == 0).distinct().mapInArrow(probed, f"list int, query_id long, v {kind}")
     queries = queries.join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def compared(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

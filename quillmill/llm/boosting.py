@@ -51,9 +51,14 @@ def predict_tree(tree: Tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= cut, predict_tree(a, x), predict_tree(b, x))
 
 
+def margins(model: tuple[float, list[Tree]], x: np.ndarray) -> np.ndarray:
+    """Log odds."""
+    return model[0] + sum(predict_tree(t, x) for t in model[1])
+
+
 def predict(model: tuple[float, list[Tree]], x: np.ndarray) -> np.ndarray:
     """Probabilities."""
-    return 1 / (1 + np.exp(-(model[0] + sum(predict_tree(t, x) for t in model[1]))))
+    return 1 / (1 + np.exp(-margins(model, x)))
 
 
 def to_sql(model: tuple[float, list[Tree]], names: list[str]) -> str:

@@ -89,8 +89,13 @@ def scanned(items: str, state: str, kind: str, keep: str, value: str, after: str
       _all -> _all.out)))[0]"""
 
 
-def matches(text: str, pattern: str) -> str:
-    """SQL: array<struct<start, stop, value>> of a pattern's matches; the lengths of what stands between them give their places."""
-    pieces = f"transform(arrays_zip(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0)), _z -> named_struct('gap', _z.`0`, 'hit', _z.`1`))"
-    value = "named_struct('start', s + length(x.gap), 'stop', s + length(x.gap) + length(x.hit), 'value', x.hit)"
-    return scanned(pieces, "0", "struct<start:int,stop:int,value:string>", "x.hit is not null", value, "s + length(x.gap) + coalesce(length(x.hit), 0)")
+def matches(text: str, pattern: str, context: int = 24) -> str:
+    """SQL: array<struct<start, stop, value, before, after>> of the matches of a pattern (SQL too); lengths of what stands between give their places.
+
+    before: up to `context` characters before the match, back to the last match but one at most; after: the character behind it,
+    empty if the next match or the end is there.
+    """
+    items = f"""transform(array(named_struct('g', split({text}, {pattern}, -1), 'h', regexp_extract_all({text}, {pattern}, 0))), z ->
+      transform(z.h, (v, i) -> named_struct('gap', length(z.g[i]), 'size', length(v), 'value', v, 'before', right(concat(if(i > 0, get(z.h, i - 1), ''), z.g[i]), {context}), 'after', left(z.g[i + 1], 1))))[0]"""
+    value = "named_struct('start', s + x.gap, 'stop', s + x.gap + x.size, 'value', x.value, 'before', x.before, 'after', x.after)"
+    return scanned(items, "0", "struct<start:int,stop:int,value:string,before:string,after:string>", "true", value, "s + x.gap + x.size")

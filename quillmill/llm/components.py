@@ -5,28 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
+
+#: Nodes with more links than STAR, and than one in HUBS of all, are hubs; so there are at most 2 * HUBS of them.
+STAR, HUBS = 200, 50_000
+
+
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """edges(x, y) + m, the least y of x and x itself. A hub's rows stay where they are and meet its least in a broadcast of hubs; those of other nodes are joined by shuffle."""
+    least = edges.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("links"))
+    hub = F.col("links") > max(STAR, n // HUBS)
+    hubs = F.broadcast(least.where(hub).drop("links"))
+    others = edges.join(hubs.select("x"), "x", "left_anti").join(least.where(~hub).drop("links"), "x")
+    return edges.join(hubs, "x").unionByName(others)
 
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) of longs -> (node, root) for every node that has a link to another; root is the smallest node reached.
 
     Large stars join every larger neighbour to the smallest, small stars every smaller one; after a few rounds, about the
-    logarithm of the longest path, each component is one star. A round's links are written, so lineage stays short; hubs are
-    met by sums before the shuffle and by skewed joins.
+    logarithm of the longest path, each component is one star. A round's links are written, so lineage stays short.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
-    mark = None
-    while True:
+    mark, n = None, edges.count()
+    while n:
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(low, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        edges = written(small.unionByName(low.select("x", F.col("m").alias("y"))).distinct())
+        starred = _with_least(both, n).select("x", "y", F.least("x", "m").alias("m"))
+        large = written(starred.where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct())
+        low = large.groupBy("x").agg(F.min("y").alias("y"))
+        small = _with_least(large, n).where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        before, edges = edges, written(small.unionByName(low).distinct())
+        discard(before)
+        discard(large)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first()
         if now == mark or now[0] == 0:
             break
-        mark = now
+        mark, n = now, now[0]
     roots = edges.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct()
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(roots)

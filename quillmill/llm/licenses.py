@@ -7,16 +7,16 @@ start, then length, then priority: one that lies within a detection kept before
 
 Every step is a projection of the row: no shuffle, and the rules are one constant array.
 
-Defined cases: null or empty text: no words, no labels, score 0; repeated rows: a row each; empty table: no rows; further columns
-are carried by `scan`.
+Defined cases: null or empty text: no words, no labels, score 0; very long texts: as any other; repeated rows: a row each; empty
+table: no rows. Further columns are carried by `scan`, which puts its own in the place of columns of the same names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, matches, scanned, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -176,56 +176,57 @@ def rules() -> list[tuple[str, str, int, float, str]]:
     return [(a, k, p, w, f"(?<![^ ])(?:{r})(?![^ ])") for a, k, p, w, r in dict.fromkeys(found)]
 
 
-#: All spans of one rule in `joined`: running lengths of what stands between the matches and of the matches.
-SPANS = """
-transform(filter({rules}, r -> array_contains(present, r.keyword)), r -> aggregate(
-  arrays_zip(split(joined, r.pattern, -1), regexp_extract_all(joined, r.pattern, 0)),
-  named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,back:int,down:int,label:string,weight:double>>)),
-  (a, x) -> if(x.`1` is null, a, named_struct('at', a.at + length(x.`0`) + length(x.`1`), 'spans',
-    concat(a.spans, array(named_struct('start', a.at + length(x.`0`), 'back', -(a.at + length(x.`0`) + length(x.`1`)), 'down', -r.priority, 'label', r.label, 'weight', r.weight))))),
-  a -> a.spans))
-"""
-#: In order of start, end downwards, priority downwards: what reaches beyond the last kept end, or outranks it, is kept.
-RESOLVED = """
-aggregate(array_sort(flatten(found)), named_struct('reach', -1, 'rank', 0, 'labels', cast(array() as array<string>), 'score', 0.0D, 'n', 0L),
-  (a, d) -> if(-d.back <= a.reach and -d.down <= a.rank, a, named_struct(
-    'reach', greatest(a.reach, -d.back), 'rank', if(-d.back >= a.reach, -d.down, a.rank), 'labels', array_union(a.labels, array(d.label)), 'score', greatest(a.score, d.weight), 'n', a.n + 1L)))
-"""
+#: Priorities of the rules, from the lowest; a detection's level is its place here.
+LEVELS = (20, 30, 50, 75, 80, 85, 86, 90)
+OWN = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detections")
+
+
+def found() -> str:
+    """SQL: detections of all rules whose keyword is among the words, in order of start, end downwards, priority downwards."""
+    table = ", ".join(f"named_struct('label', '{a}', 'keyword', '{k}', 'level', {LEVELS.index(p)}, 'weight', {w}D, 'pattern', r'{r}')" for a, k, p, w, r in rules())
+    spans = matches("_lic_joined", "r.pattern", 0)
+    each = "named_struct('start', m.start, 'back', -m.stop, 'down', -r.level, 'label', r.label, 'weight', r.weight)"
+    return f"array_sort(flatten(transform(filter(array({table}), r -> array_contains(_lic_present, r.keyword)), r -> transform({spans}, m -> {each}))))"
+
+
+def resolved(detections: str) -> str:
+    """SQL: the detections that lie in no other that is kept and has their priority or a higher one.
+
+    The state is, by level, the furthest end of kept detections of that level or a higher one: all of them began before.
+    """
+    keep = "get(s, -x.down) < -x.back"
+    after = f"if({keep}, transform(s, (e, l) -> if(l <= -x.down, greatest(e, -x.back), e)), s)"
+    return scanned(detections, f"array_repeat(-1, {len(LEVELS)})", "struct<label:string,weight:double>", keep, "named_struct('label', x.label, 'weight', x.weight)", after)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs + n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections."""
-    rows = docs.withColumn("lowered", F.translate(text_or_empty(), UPPER, LOWER))
-    rows = rows.withColumn("words", F.regexp_extract_all("lowered", F.lit(WORD), F.lit(0))).drop("lowered")
-    rows = rows.withColumn("present", F.array_intersect("words", F.array(*map(F.lit, sorted({keyword for _, keyword, *_ in rules()})))))
-    rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    rows = rows.withColumn("words", F.when(F.size("present") > 0, F.col("words"))).withColumn("joined", F.array_join("words", " "))
-    at = {p: " and ".join(f"get(words, i + {k}) = '{w}'" for k, w in enumerate(p.split())) for p, _ in BASE}
-    rows = rows.withColumn("places", F.expr(f"if(array_contains(present, 'license') and size(words) > 1, filter(sequence(0, size(words) - 2), i -> {' or '.join(f'({x})' for x in at.values())}), array())"))
-    label = " ".join(f"when get(words, i) = '{p.split()[0]}' then '{name}'" for p, name in BASE)
-    rows = rows.withColumn("base_set", F.expr(f"coalesce(array_sort(array_distinct(transform(places, i -> case {label} end))), array())"))
-    rows = rows.withColumn("found", _found()).withColumn("resolved", F.expr(RESOLVED))
-    labels = F.array_join(F.array_sort(F.array_union("base_set", F.coalesce("resolved.labels", F.array().cast("array<string>")))), ",")
-    n = F.coalesce(F.size("places"), F.lit(0))
-    n = F.when(F.col("places").isNull(), F.lit(0)).otherwise(n)
+    rows = docs.withColumn("_lic_lowered", F.translate(text_or_empty(), UPPER, LOWER))
+    rows = rows.withColumn("_lic_words", F.regexp_extract_all("_lic_lowered", F.lit(WORD), F.lit(0))).drop("_lic_lowered")
+    rows = rows.withColumn("_lic_present", F.array_intersect("_lic_words", F.array(*map(F.lit, sorted({keyword for _, keyword, *_ in rules()})))))
+    rows = rows.withColumn("_lic_n", F.size("_lic_words").cast("long"))
+    rows = rows.withColumn("_lic_words", F.when(F.size("_lic_present") > 0, F.col("_lic_words"))).withColumn("_lic_joined", F.array_join("_lic_words", " "))
+    at = " or ".join("(" + " and ".join(f"get(_lic_words, i + {k}) = '{w}'" for k, w in enumerate(p.split())) + ")" for p, _ in BASE)
+    rows = rows.withColumn("_lic_places", F.expr(f"if(array_contains(_lic_present, 'license') and size(_lic_words) > 1, filter(sequence(0, size(_lic_words) - 2), i -> {at}), array())"))
+    label = " ".join(f"when get(_lic_words, i) = '{p.split()[0]}' then '{name}'" for p, name in BASE)
+    rows = rows.withColumn("_lic_base", F.expr(f"coalesce(array_sort(array_distinct(transform(_lic_places, i -> case {label} end))), array())"))
+    rows = rows.withColumn("_lic_found", F.when(F.col("_lic_words").isNotNull(), F.expr(found())))
+    rows = rows.withColumn("_lic_kept", F.coalesce(F.expr(resolved("_lic_found")), F.expr("cast(array() as array<struct<label:string,weight:double>>)")))
+    labels = F.array_join(F.array_sort(F.array_union("_lic_base", "_lic_kept.label")), ",")
+    n = F.when(F.col("_lic_places").isNull(), F.lit(0)).otherwise(F.size("_lic_places"))
     return rows.select(
-        *docs.columns,
-        "n_words",
+        *[c for c in docs.columns if c not in OWN],
+        F.col("_lic_n").alias("n_words"),
         n.cast("long").alias("n_base"),
-        F.get("places", F.lit(0)).cast("long").alias("first_word"),
-        F.get("places", F.size("places") - 1).cast("long").alias("last_word"),
-        F.array_join("base_set", ",").alias("base_labels"),
+        F.get("_lic_places", F.lit(0)).cast("long").alias("first_word"),
+        F.get("_lic_places", F.size("_lic_places") - 1).cast("long").alias("last_word"),
+        F.array_join("_lic_base", ",").alias("base_labels"),
         labels.alias("labels"),
-        F.greatest(F.coalesce("resolved.score", F.lit(0.0)), F.when(n > 0, F.lit(0.9)).otherwise(F.lit(0.0))).alias("score"),
-        F.coalesce("resolved.n", F.lit(0).cast("long")).alias("n_detections"),
+        F.greatest(F.coalesce(F.array_max("_lic_kept.weight"), F.lit(0.0)), F.when(n > 0, F.lit(0.9)).otherwise(F.lit(0.0))).alias("score"),
+        F.size("_lic_kept").cast("long").alias("n_detections"),
     )
 
 
-def _found() -> Column:
-    table = ", ".join(f"named_struct('label', '{a}', 'keyword', '{k}', 'priority', {p}, 'weight', {w}D, 'pattern', r'{r}')" for a, k, p, w, r in rules())
-    return F.when(F.col("words").isNotNull(), F.expr(SPANS.format(rules=f"array({table})")))
-
-
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 

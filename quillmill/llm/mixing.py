@@ -9,8 +9,9 @@ No source is a task of its own. A source's line is cut into `2 ** bucket_bits` b
 pre-aggregated, and only these small sums are put in order per source; rows are ordered per (source, bucket).
 
 Defined cases: null source: a source of its own, last in order; null or empty text: size 0, never taken; empty table: no rows;
-rows with the same doc_id are rows of their own, in order of size; other columns are carried through unless they clash with
-the names made here.
+rows with the same doc_id are rows of their own, in order of size; very long texts: as any other, cut by words where the budget
+ends. Further columns are carried: `schedule` puts its own in the place of columns of the same names, `mixture` keeps those of the
+documents and then leaves out its own.
 """
 
 from __future__ import annotations
@@ -52,26 +53,40 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
     return ranked.select("skey", "source_size", target.alias("target"))
 
 
-def schedule(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = "mix", bucket_bits: int = BUCKET_BITS) -> DataFrame:
-    """docs + size, source_size, target, begin (words of its source before it), taken, finish (its first copy's virtual finish time)."""
-    sized = (docs if "size" in docs.columns else docs.withColumn("size", n_words())).withColumn("skey", source_key())
-    sized = sized.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
-    sized = sized.withColumn("bucket", F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long").bitwiseAND((1 << bucket_bits) - 1))
-    sums = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
+OWN = ("size", "source_size", "target", "begin", "taken", "finish")
+
+
+def schedule(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = "mix", bucket_bits: int = BUCKET_BITS, size: Column | None = None) -> DataFrame:
+    """docs + OWN: size, source_size, target, begin (words of its source before it), taken, finish (its first copy's virtual finish time).
+
+    size: the words of a row, if they are known already.
+    """
+    plan = _plan(docs, weights, share, max_epochs, seed, bucket_bits, size)
+    return plan.select(*[c for c in docs.columns if c not in OWN], *[F.col(f"_mix_{c}").alias(c) for c in OWN])
+
+
+def _plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = "mix", bucket_bits: int = BUCKET_BITS, size: Column | None = None) -> DataFrame:
+    """docs + OWN with _mix_ before each name."""
+    sized = docs.withColumn("_mix_size", n_words() if size is None else size).withColumn("_mix_skey", source_key())
+    sized = sized.withColumn("_mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
+    sized = sized.withColumn("_mix_bucket", F.conv(F.substring("_mix_key", 1, 8), 16, 10).cast("long").bitwiseAND((1 << bucket_bits) - 1))
+    sums = sized.groupBy(F.col("_mix_skey").alias("skey"), F.col("_mix_bucket").alias("bucket")).agg(F.sum("_mix_size").alias("bucket_size"))
     per_source = sums.groupBy("skey").agg(F.sum("bucket_size").alias("source_size"))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("base"))
     bases = bases.join(targets(per_source, weights, share, max_epochs), "skey")
-    within = Window.partitionBy("skey", "bucket").orderBy("shuffle_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["skey", "bucket"])
-    placed = placed.withColumn("begin", F.col("base") + F.col("inner"))
-    goal = F.floor(F.col("target"))
-    per_epoch = [F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), goal - F.col("source_size") * e - F.col("begin"))) for e in range(max_epochs)]
+    bases = bases.select(*[F.col(c).alias(f"_mix_{c}") for c in ("skey", "bucket", "base", "source_size", "target")])
+    within = Window.partitionBy("_mix_skey", "_mix_bucket").orderBy("_mix_key", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("_mix_inner", F.coalesce(F.sum("_mix_size").over(within), F.lit(0))).join(bases, ["_mix_skey", "_mix_bucket"])
+    begin = F.col("_mix_base") + F.col("_mix_inner")
+    goal = F.floor(F.col("_mix_target"))
+    per_epoch = [F.least(F.col("_mix_size"), F.greatest(F.lit(0).cast("long"), goal - F.col("_mix_source_size") * e - begin)) for e in range(max_epochs)]
     taken = per_epoch[0]
     for more in per_epoch[1:]:
         taken = taken + more
-    finish = F.when(F.col("target") > 0, (F.col("begin") + F.col("size")) / F.col("target"))
-    return placed.withColumn("taken", taken.cast("long")).withColumn("finish", finish).drop("skey", "bucket", "shuffle_key", "base", "inner")
+    finish = F.when(F.col("_mix_target") > 0, (begin + F.col("_mix_size")) / F.col("_mix_target"))
+    made = [begin.alias("_mix_begin"), taken.cast("long").alias("_mix_taken"), finish.alias("_mix_finish")]
+    return placed.select(*docs.columns, "_mix_size", "_mix_source_size", "_mix_target", *made)
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
@@ -79,21 +94,22 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of docs plus copy, words and finish; the order is by virtual finish time.
     """
-    plan = schedule(docs, **options)
-    whole = F.col("size")
-    copies = F.when(whole > 0, F.ceil(F.col("taken") / whole)).otherwise(F.lit(0))
-    rows = plan.where(F.col("taken") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    rows = rows.withColumn("words", F.least(whole, F.col("taken") - F.col("copy") * whole))
-    rows = rows.withColumn("finish", (F.col("begin") + F.col("copy") * F.col("source_size") + F.col("words")) / F.col("target"))
-    ends = F.expr(r"aggregate(slice(transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0), w -> length(w)), 1, cast(words as int)), 0L, (a, n) -> a + n)")
+    rows = _plan(docs, **options).where(F.col("_mix_taken") > 0)
+    whole = F.col("_mix_size")
+    copies = F.ceil(F.col("_mix_taken") / whole)
+    rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    rows = rows.withColumn("_mix_words", F.least(whole, F.col("_mix_taken") - F.col("_mix_copy") * whole))
+    rows = rows.withColumn("_mix_finish", (F.col("_mix_begin") + F.col("_mix_copy") * F.col("_mix_source_size") + F.col("_mix_words")) / F.col("_mix_target"))
+    ends = F.expr(r"aggregate(slice(transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0), w -> length(w)), 1, cast(_mix_words as int)), 0L, (a, n) -> a + n)")
     lead = F.length(F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0))
-    cut = F.when(F.col("words") < whole, F.substring(F.col("text"), F.lit(1), (lead + ends).cast("int"))).otherwise(F.col("text"))
-    return rows.withColumn("text", cut).select(*docs.columns, "copy", "words", "finish").orderBy("finish", "doc_id", "copy")
+    cut = F.when(F.col("_mix_words") < whole, F.substring(F.col("text"), F.lit(1), (lead + ends).cast("int"))).otherwise(F.col("text"))
+    ordered = rows.withColumn("text", cut).orderBy("_mix_finish", "doc_id", "_mix_copy")
+    return ordered.select(*docs.columns, *[F.col(f"_mix_{c}").alias(c) for c in ("copy", "words", "finish") if c not in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = written(documents(spark, sf_dir).select("doc_id", "source", n_words().alias("size")))  # texts are read once
-    plan = schedule(docs).select("doc_id", "size", "source_size", "target", "taken", "finish")
+    plan = schedule(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "finish")
     return plan.orderBy("finish", "doc_id")
 
 

@@ -7,10 +7,12 @@
    node and the token, about `width` of its tokens and goes on to a child for each. After `LEVELS` levels the nodes are small:
    classes that differ rarely meet, similar ones meet in some tree with a probability near one.
 3. Nodes are compared exhaustively on signatures; nodes above `SMALL` branch further down first. What looks similar
-   (`looks` of the tokens, about four standard deviations below the limit) forms clusters.
+   (`looks` of the tokens, about four standard deviations below the limit) forms clusters. A node above `NODE_BLOCK` classes is
+   no task's: all its classes meet its first one, and those that do not look like it meet every class of the node, block by block.
 4. In each cluster full sets confirm links, exactly; pairs already joined by confirmed links are skipped, so a group of copies
    costs about one comparison each and no group's pairs are ever emitted. A cluster above `BLOCK` classes is dealt to blocks
-   that share a few anchors; afterwards the classes outside its main component meet every block, so no pair goes unseen.
+   that share a few anchors; afterwards the classes outside its main component, in blocks of their own, meet every block, so no
+   pair goes unseen and no group exceeds two blocks.
 5. Signatures of sets below `COORDINATES` shingles scatter too widely: such classes also join clusters by an exact prefix filter
    and are compared on full sets alone.
 6. Components of the confirmed links are the groups.
@@ -30,13 +32,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, documents, partitions, text_or_empty, written
+from .common import discard, documents, partitions, text_or_empty, tidy, written
 from .components import components
 
 #: PERCENT is the limit of op4, STAGE_PERCENT that of the pipeline's stage; all functions take either.
 SHINGLE, PERCENT, STAGE_PERCENT = 5, 85, 80
 COORDINATES, TREES, LEVELS, MEET, SMALL = 64, 12, 3, 1.2325, 256
-BLOCK, ANCHORS, NODE_BLOCK, BROADCAST_MEMBERS = 1000, 4, 20_000, 2_000_000
+BLOCK, ANCHORS, NODE_BLOCK, BROADCAST_MEMBERS, BROADCAST_NODES = 1000, 4, 20_000, 2_000_000, 100_000
 U = np.uint64
 MASK48 = U((1 << 48) - 1)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -118,6 +120,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 raw = [pack(h) if len(h) else None for h in found]
                 columns = [some.column("doc_id").cast(pa.int64()), some.column("text_key"), pa.array([len(h) for h in found], pa.int64()), pa.array([r and xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], pa.int64()), pa.array([signature(h).tobytes() if len(h) else None for h in found], pa.binary()), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "sid", "sig", "hashes"])
+        tidy()
 
     return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(task, "doc_id long, text_key long, n_shingles long, sid long, sig binary, hashes binary")
 
@@ -157,8 +160,8 @@ def nodes(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("sid", "sig").mapInArrow(task, "node long, sid long")
 
 
-def shared_nodes(rows: DataFrame) -> DataFrame:
-    """(node, part, sid) of nodes with two classes or more; a node above NODE_BLOCK is cut into parts that share its first class.
+def shared_nodes(rows: DataFrame, block: int) -> DataFrame:
+    """(node, part, sid) of nodes with two classes or more; part: whole blocks of classes before it in the node.
 
     Rows arrive sorted by node and pass through, so memory does not follow a node's size.
     """
@@ -171,19 +174,65 @@ def shared_nodes(rows: DataFrame) -> DataFrame:
                 if k != node:
                     node, first, n, last = k, sid, 1, sid
                 elif sid != last:
-                    last, part = sid, n // NODE_BLOCK
-                    if n == 1 or n % NODE_BLOCK == 0:
-                        for column, v in zip(out, (node, part, first)):
+                    last = sid
+                    if n == 1:
+                        for column, v in zip(out, (node, 0, first)):
                             column.append(v)
-                    for column, v in zip(out, (node, part, sid)):
+                    for column, v in zip(out, (node, n // block, sid)):
                         column.append(v)
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["node", "part", "sid"])
+        tidy()
 
     dealt = rows.repartition(partitions(rows.sparkSession), "node").sortWithinPartitions("node", "sid")
     return dealt.mapInArrow(task, "node long, part long, sid long")
 
 
+def _resemble(a: pa.Array, b: pa.Array, percent: int) -> np.ndarray:
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, COORDINATES) for c in (a, b))
+    return (x == y).sum(1) >= looks(percent) * COORDINATES
+
+
+def large_nodes(members: DataFrame, percent: int, few: bool = True) -> DataFrame:
+    """members(node, sid, sig) of nodes above NODE_BLOCK -> (a, b): all pairs that look similar are joined, over others or directly.
+
+    Classes that look like the node's first are joined to it, so pairs of these need no look. Each of the others is compared with
+    every class of the node: groups of at most two blocks, as many as pairs of a block of others with a block of all. few: the nodes, a row each, may be broadcast.
+    """
+    spread = F.broadcast if few else lambda df: df
+    firsts = members.groupBy("node").agg(F.min_by("sig", "sid").alias("first_sig"), F.min("sid").alias("first"))
+
+    def against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = pa.array(_resemble(batch.column("sig"), batch.column("first_sig"), percent))
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "sid", "sig", "first")] + [near], names=["node", "sid", "sig", "first", "near"])
+
+    met = members.join(spread(firsts), "node").select("node", "sid", "sig", "first", "first_sig")
+    marked = written(met.mapInArrow(against_first, "node long, sid long, sig binary, first long, near boolean"))
+    edges = marked.where("near AND sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    sizes = marked.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.expr("int(NOT near)")).alias("others")).where("others > 0")
+    if sizes.isEmpty():
+        return edges
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sized = marked.join(spread(sizes.select("node", blocks("n").alias("n"), blocks("others").alias("others"))), "node")
+    place = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
+    asking = sized.where("NOT near").withColumn("i", place("others")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    asked = sized.withColumn("j", place("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    groups = asking.withColumn("asks", F.lit(True)).unionByName(asked.withColumn("asks", F.lit(False)))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        asks = frame["asks"].to_numpy()
+        sigs, ids = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(-1, COORDINATES), frame["sid"].to_numpy()
+        own, found = np.flatnonzero(~asks), []
+        for i in np.flatnonzero(asks):
+            near = own[((sigs[own] == sigs[i]).sum(1) >= looks(percent) * COORDINATES) & (ids[own] != ids[i])]
+            found += [(ids[i], ids[j]) for j in near]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return edges.unionByName(groups.select("node", "i", "j", "asks", "sid", "sig").groupBy("node", "i", "j").applyInPandas(compare, "a long, b long"))
+
+
 def alike(sigs: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs that join the rows into the components of looking similar."""
     n = len(sigs)
@@ -201,7 +250,7 @@ def alike(sigs: np.ndarray, percent: int) -> list[tuple[int, int]]:
 
 
 def candidates(members: DataFrame, percent: int) -> DataFrame:
-    """(node, part, sid, sig) -> (a, b): classes that look similar, a spanning set per node."""
+    """(node, sid, sig) -> (a, b): classes that look similar, a spanning set per node."""
 
     def compare(ids: np.ndarray, sigs: np.ndarray, depth: int, path: int) -> set[tuple[int, int]]:
         if len(ids) > SMALL and depth < 3:
@@ -227,7 +276,7 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(table: pd.DataFrame) -> pa.RecordBatch:
-            parts = [node(f) for _, f in table.groupby(["node", "part"], sort=False) if len(f) > 1]
+            parts = [node(f) for _, f in table.groupby("node", sort=False) if len(f) > 1]
             edges = pd.concat(parts).drop_duplicates() if parts else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
             return pa.RecordBatch.from_pandas(edges, preserve_index=False)
 
@@ -237,14 +286,15 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
             frame = frame if rest is None else pd.concat([rest, frame])
             if not len(frame):
                 continue
-            last = (frame["node"] == frame["node"].iloc[-1]) & (frame["part"] == frame["part"].iloc[-1])
+            last = frame["node"] == frame["node"].iloc[-1]
             rest = frame[last]
             if not last.all():
                 yield flush(frame[~last])
         if rest is not None:
             yield flush(rest)
+        tidy()
 
-    dealt = members.repartition(partitions(members.sparkSession), "node", "part").sortWithinPartitions("node", "part", "sid")
+    dealt = members.select("node", "sid", "sig").repartition(partitions(members.sparkSession), "node").sortWithinPartitions("node", "sid")
     return dealt.mapInArrow(task, "a long, b long").distinct()
 
 
@@ -323,8 +373,19 @@ def links(table: DataFrame, percent: int = PERCENT) -> DataFrame:
     """sets() rows -> confirmed links (a, b) between classes that join each component."""
     classes = table.where("sid IS NOT NULL").groupBy("sid").agg(F.first("sig").alias("sig"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("least"))
     classes = written(classes)
-    met = written(shared_nodes(nodes(classes, percent)))
-    edges = candidates(met.join(classes.select("sid", "sig"), "sid"), percent).unionByName(short_edges(table, percent)).distinct()
+    met = written(shared_nodes(nodes(classes, percent), NODE_BLOCK))
+    sigs = classes.select("sid", "sig")
+    large = met.where("part > 0").select("node").distinct()  # at most one in NODE_BLOCK rows of met
+    n_large = large.count()
+    few = n_large <= BROADCAST_NODES
+    if not n_large:
+        edges = candidates(met.join(sigs, "sid"), percent)
+    else:
+        large = F.broadcast(large) if few else large
+        edges = candidates(met.join(large, "node", "left_anti").join(sigs, "sid"), percent)
+        edges = edges.unionByName(large_nodes(met.join(large, "node", "left_semi").join(sigs, "sid"), percent, few))
+    edges = written(edges.unionByName(short_edges(table, percent)).distinct())
+    discard(met)
     clusters = written(components(edges).select(F.col("node").alias("sid"), F.col("root").alias("cluster")))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -344,14 +405,19 @@ def links(table: DataFrame, percent: int = PERCENT) -> DataFrame:
     if large.isEmpty():
         discard(members)
         return found
-    # classes outside their cluster's main component meet every block
+    # classes outside their cluster's main component meet every block, a block of them with a block of all
     roots = components(found)
     labelled = large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     counts = labelled.groupBy("cluster", "root").count()
-    main = counts.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    main = counts.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("inside"))
+    main = main.select("cluster", "main", F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int").alias("visits")).where("visits > 0")
     labelled = written(labelled.join(main, "cluster").withColumn("outside", F.col("root") != F.col("main")).drop("root", "main"))
-    visitors = labelled.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return found.unionByName(confirmed(labelled.where("NOT outside").unionByName(visitors), ["cluster", "block"], percent))
+    visit = F.pmod(F.xxhash64("sid", F.lit(3)), F.col("visits")).cast("int")
+    visitors = labelled.where("outside").withColumn("visit", visit).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a visitor is itself a row of its block: it is there once, as a visitor, where both are the same
+    hosts = labelled.withColumn("visit", F.explode(F.sequence(F.lit(0), F.col("visits") - 1))).where(~F.col("outside") | (F.col("visit") != visit)).withColumn("outside", F.lit(False))
+    more = confirmed(visitors.unionByName(hosts), ["cluster", "visit", "block"], percent)
+    return found.unionByName(more)
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

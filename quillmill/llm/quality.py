@@ -12,7 +12,8 @@ The host of a document is its source. Counts are pre-aggregated; lines travel as
 meet the frequent ones, which are few: a broadcast up to `BROADCAST_LINES` of them (16 MB), a shuffled join beyond.
 
 Defined cases: null or empty text: no words, fails the base rules; null source: a host of its own; repeated rows: a row each;
-lines without a word: never counted or removed; empty table: no rows; further columns are carried by `clean`.
+lines without a word: never counted or removed; very long texts: as any other; empty table: no rows; further columns are carried
+by `clean`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_dedup
-from .common import discard, documents, written
+from .common import discard, documents, tidy, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_DOCUMENTS, LEFT_WORDS, LEFT_SHARE = 20, 10, 0.2
@@ -96,6 +97,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 made = [pa.array(c, type=k) for c, k in zip(columns, kinds)]
                 kept = [some.column("doc_id").cast(pa.int64()), some.column("source"), some.column("text_key")]
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=["doc_id", "source", "text_key", *names])
+        tidy()
 
     rows = docs.select("doc_id", "source", text_key().alias("text_key"), "text").mapInArrow(task, schema)
     return rows.withColumn("host", host()).drop("source")
@@ -168,10 +170,16 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     lost = written(lost_words(table, docs, **limits))
     judged = verdicts(table, lost)
     rejected = judged.where(~F.col("kept")).select("host", "text_key").distinct().withColumn("rejected", F.lit(True))
-    marks = written(lost.select("host", "text_key", "lines").join(rejected, ["host", "text_key"], "full"))
-    rows = docs.withColumn("host", host()).withColumn("text_key", text_key()).join(marks, ["host", "text_key"], "left").where("rejected IS NULL")
-    kept_lines = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("lines", i))
-    rows = rows.withColumn("text", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")))
+    marks = lost.select("host", "text_key", "lines").join(rejected, ["host", "text_key"], "full")
+    marks = written(marks.select(*[F.col(c).alias(f"_quality_{c}") for c in ("host", "text_key", "lines", "rejected")]))
+    discard(table)
+    weight = marks.agg(F.count("*") + F.coalesce(F.sum(F.greatest(F.size("_quality_lines"), F.lit(0))), F.lit(0))).first()[0]
+    if weight <= BROADCAST_LINES:  # else equal texts meet in one task, which adaptive execution splits
+        marks = F.broadcast(marks)
+    rows = docs.withColumn("_quality_host", host()).withColumn("_quality_text_key", text_key())
+    rows = rows.join(marks, ["_quality_host", "_quality_text_key"], "left").where("_quality_rejected IS NULL")
+    kept_lines = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_quality_lines", i))
+    rows = rows.withColumn("text", F.when(F.col("_quality_lines").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     return rows.select(*docs.columns)

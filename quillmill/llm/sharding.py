@@ -4,24 +4,25 @@ Every shard owns `vnodes` points of a 64-bit ring; a document belongs to the fir
 takes rows up to its bound; rows that find it full go on clockwise to the next point whose shard has room. The bounds add up
 to the number of rows (two neighbouring sizes), so counts differ by one at most: the law is `rows`.
 
-Only counts per arc (shards x vnodes rows, whatever the input) reach the driver, which lays out how many rows of an arc go
-where. Rows need one shuffle without texts, to be ranked in their arc.
+Only counts per piece of an arc (shards x vnodes x pieces rows, whatever the input) reach the driver, which lays out how many rows
+of an arc go where. Rows need one shuffle, without texts if the caller has not selected them, to be ranked in their piece.
 
 Defined cases: null text: size 16 and crc of no bytes; null doc_id: hashed like any other key; repeated rows: ranked next to
-each other, each with a slot of its own; empty table: no rows; further columns are carried through.
+each other, each with a slot of its own; very long texts: as any other; empty table: no rows. Further columns are carried; what
+`assign` makes (size, text_crc32, shard, slot) takes the place of columns of these names.
 """
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, text_or_empty
 
-SHARDS, VNODES, SEED = 40, 64, "ring"
+#: Pieces of an arc; counts of (arc, piece) on the driver are SHARDS x VNODES x PIECES at most.
+SHARDS, VNODES, PIECES, SEED = 40, 64, 16, "ring"
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -60,30 +61,49 @@ def layout(counts: dict[int, int], owners: list[int], shards: int) -> list[tuple
     return runs
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFrame:
-    """docs + size, text_crc32, shard, slot; texts are not shuffled if the caller has not selected them."""
+OWN = ("size", "text_crc32", "shard", "slot")
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, digests: tuple[Column, Column] | None = None) -> DataFrame:
+    """docs + size, text_crc32, shard, slot. digests: size and crc, if they are known already and docs has no text.
+
+    Rows are ranked by hash in pieces of their arc: an arc that holds much of the data, as by one repeated doc_id, is many tasks.
+    Counts are taken at once (a job), the rest is lazy.
+    """
     spark = docs.sparkSession
     nodes = ring(spark, shards, vnodes)
-    points, owners = [p for p, _ in nodes], [s for _, s in nodes]
+    points, owners = np.array([p for p, _ in nodes], dtype=np.int64), [s for _, s in nodes]
 
     @F.pandas_udf("int")
     def arc_of(h: pd.Series) -> pd.Series:
-        return h.map(lambda x: bisect.bisect_left(points, x) % len(points))
+        return pd.Series((np.searchsorted(points, h.to_numpy()) % len(points)).astype(np.int32))
+
+    size, crc = digests or (octets(), checksum())
+    keyed = docs.withColumn("_ring_size", size).withColumn("_ring_crc", crc).withColumn("_ring_hash", F.xxhash64(F.lit(SEED), F.lit("key"), "doc_id"))
+    piece = F.pmod(F.xxhash64("doc_id", "_ring_crc", "_ring_size"), F.lit(PIECES)).cast("int")
+    keyed = keyed.withColumn("_ring_arc", arc_of("_ring_hash")).withColumn("_ring_piece", piece)
+    sums = sorted((r.a, r.p, r.n) for r in keyed.groupBy(F.col("_ring_arc").alias("a"), F.col("_ring_piece").alias("p")).agg(F.count("*").alias("n")).collect())
+    counts, before = {}, []
+    for arc, part, n in sums:
+        before.append((arc, part, counts.get(arc, 0)))
+        counts[arc] = counts.get(arc, 0) + n
+    plan = spark.createDataFrame(layout(counts, owners, shards) or [(-1, 0, 0, 0, 0)], "_ring_arc int, _ring_from long, _ring_to long, _ring_shard int, _ring_slot long")
+    bases = spark.createDataFrame(before or [(-1, 0, 0)], "_ring_arc int, _ring_piece int, _ring_base long")
+    within = Window.partitionBy("_ring_arc", "_ring_piece").orderBy("_ring_hash", "doc_id", "_ring_crc", "_ring_size")
+    ranked = keyed.withColumn("_ring_rank", F.row_number().over(within) - 1).join(F.broadcast(bases), ["_ring_arc", "_ring_piece"])
+    ranked = ranked.withColumn("_ring_rank", F.col("_ring_rank") + F.col("_ring_base"))
+    joined = ranked.alias("r").join(F.broadcast(plan).alias("p"), F.expr("r._ring_arc = p._ring_arc AND _ring_rank >= _ring_from AND _ring_rank < _ring_to"))
+    slot = F.col("_ring_slot") + F.col("_ring_rank") - F.col("_ring_from")
+    kept = [c for c in docs.columns if c not in OWN]
+    return joined.select(*[F.col(f"r.`{c}`") for c in kept], F.col("_ring_size").alias("size"), F.col("_ring_crc").alias("text_crc32"), F.col("_ring_shard").alias("shard"), slot.alias("slot"))
+
 
-    if "size" not in docs.columns:
-        docs = with_digests(docs)
-    keyed = docs.withColumn("ring_hash", F.xxhash64(F.lit(SEED), F.lit("key"), "doc_id")).withColumn("arc", arc_of("ring_hash"))
-    counts = {r.arc: r.n for r in keyed.groupBy("arc").agg(F.count("*").alias("n")).collect()}
-    runs = layout(counts, owners, shards) or [(-1, 0, 0, 0, 0)]
-    plan = spark.createDataFrame(runs, "arc int, rank_from long, rank_to long, shard int, slot_from long")
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("ring_hash", "doc_id", "text_crc32", "size")) - 1)
-    fits = (ranked["arc"] == plan["arc"]) & (ranked["rank"] >= plan["rank_from"]) & (ranked["rank"] < plan["rank_to"])
-    joined = ranked.join(F.broadcast(plan), fits).drop(plan["arc"])
-    return joined.withColumn("slot", F.col("slot_from") + F.col("rank") - F.col("rank_from")).drop("ring_hash", "arc", "rank", "rank_from", "rank_to", "slot_from")
+def octets() -> Column:
+    return (F.octet_length(text_or_empty()) + 16).cast("long")
 
 
-def with_digests(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", (F.octet_length(text_or_empty()) + 16).cast("long")).withColumn("text_crc32", F.crc32(F.encode(text_or_empty(), "UTF-8")))
+def checksum() -> Column:
+    return F.crc32(F.encode(text_or_empty(), "UTF-8"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, vnodes: int = VNODES) -> None:
@@ -92,8 +112,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, vnodes: int =
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_digests(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32")
-    return assign(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = documents(spark, sf_dir).select("doc_id", octets().alias("size"), checksum().alias("text_crc32"))
+    return assign(docs, digests=(F.col("size"), F.col("text_crc32"))).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {"op6_sharding": op6_sharding}
