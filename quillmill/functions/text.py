@@ -6,6 +6,8 @@ array's size, pushes it below the projections and so writes the whole expression
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,10 +84,47 @@ def substring_count(t: Column, needle: str) -> Column:
     return ((F.length(t) - F.length(F.replace(t, F.lit(needle)))) / len(needle)).cast("int")
 
 
-def grams(words: Column, n: int) -> Column:
-    """All runs of n words, as arrays; none if there are fewer words."""
-    count = F.size(words) - n + 1
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(words, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once although body names it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def gram_hash(words: list[Column]) -> Column:
+    """The 64-bit hash of one run of words that gram_hashes() gives it."""
+    hashes = [F.xxhash64(w) for w in words]
+    done, at, step = None, 0, 1
+    parts = hashes
+    while step <= len(words):
+        if len(words) & step:
+            done = parts[at] if done is None else F.xxhash64(done, parts[at])
+            at += step
+        parts = [F.xxhash64(parts[i], parts[i + step]) for i in range(len(parts) - step)]
+        step *= 2
+    return done
+
+
+def gram_hashes(words: Column, n: int) -> Column:
+    """A hash of every run of n words, in order; none if there are fewer words.
+
+    Words are hashed once; hashes of runs of 1, 2, 4 ... words make those of n, so no run is ever built.
+    """
+    later = lambda a, k: F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0)))
+    joined = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+
+    def go(parts: Column, done: Column | None, at: int, step: int) -> Column:
+        if n & step:
+            own = later(parts, at)
+            done, at = own if done is None else joined(done, own), at + step
+        if step * 2 > n:
+            return done
+        held = done if done is not None else F.array().cast("array<bigint>")
+        twice = lambda c: F.struct(joined(c["p"], later(c["p"], step)).alias("p"), c["d"].alias("d"))
+        some = done is not None
+        return let(let(F.struct(parts.alias("p"), held.alias("d")), twice), lambda c: go(c["p"], c["d"] if some else None, at, step * 2))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    count = F.greatest(F.size(words) - n + 1, F.lit(0))
+    return F.slice(let(hashes, lambda h: go(h, None, 0, 1)), F.lit(1), count)
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -1,8 +1,9 @@
 """The machine-drafted-prose detector: windows of words, five signals per window, one report per document.
 
 Windows are rows; a window's own signals are projections of it. Two signals look beyond a window: paragraphs that stand twice
-in a document, met by an interval join within the document, and near-duplicate windows, met through shared n-grams (cost
-follows the n-grams that windows share, not the square of the windows). Both join back on (doc_id, w).
+in a document, met by an interval join within the document, and near-duplicate windows, met through shared n-grams. Windows with
+equal n-grams are one class and n-grams that stand in the same classes are counted together, so a passage that repeats all through
+a text costs little more than once. Both signals join back on (doc_id, w); what they found is also given as rows of evidence.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from pyspark.sql import functions as F
 from ..config import DetectorConfig
 from ..functions import text as T
 from .slop import _in, repeating
-from .text import _D, B, docs, sql_detector, sql_normal, windows
+from .text import _D, B, docs, sql_detector, sql_normal, sql_trim, windows
 
 # Fixed values.
 INTENSIFIERS = ("very", "extremely", "utterly", "absolutely", "perfectly", "incredibly", "deeply", "completely", "terrifying", "chilling", "unmistakable", "frantic", "desperate", "inevitable", "unforgiving")
 FRAMES = ("the unmistakable", "the final", "the only", "the world", "a data point", "the protocol")
 WEIGHTS = {True: (0.35, 0.30, 0.20, 0.10, 0.05), False: (0.50, 0.0, 0.30, 0.15, 0.05)}  # with a smoothness score or without
-PARAGRAPH, MATTR, LOCAL_SPAN, LOCAL_P, LOCAL_CONF = 40, 200, 250, 0.90, 0.80
+PARAGRAPH, MATTR, LOCAL_SPAN, LOCAL_P, LOCAL_CONF, TOP = 40, 200, 250, 0.90, 0.80, 3
 
 
 def accepted(lang: Column) -> Column:
@@ -71,30 +72,45 @@ def paragraphs(rows: DataFrame, least: int = PARAGRAPH) -> DataFrame:
     return placed.select("doc_id", "p", "start_word", (F.col("start_word") + F.col("n")).cast("int").alias("end_word"), "hash")
 
 
-def paragraph_hits(wins: DataFrame, paras: DataFrame) -> DataFrame:
-    """doc_id, w, hits, longest: repeated paragraphs that a window overlaps, the first place of each."""
-    many = paras.withColumn("times", F.count("*").over(Window.partitionBy("doc_id", "hash"))).where("times > 1").drop("times", "p")
-    p = many.select(F.col("doc_id").alias("d"), F.col("start_word").alias("ps"), F.col("end_word").alias("pe"), "hash")
+def paragraph_places(wins: DataFrame, paras: DataFrame) -> DataFrame:
+    """doc_id, w, hash, start, end, other_start, other_end: repeated paragraphs that a window overlaps, at the first place of each; what of it lies in the window, and where the paragraph stands too."""
+    same = Window.partitionBy("doc_id", "hash")
+    first, second = F.min("start_word").over(same), F.lead("start_word").over(same.orderBy("start_word"))
+    many = paras.withColumn("times", F.count("*").over(same)).withColumn("other", F.when(F.col("start_word") == first, second).otherwise(first)).where("times > 1")
+    p = many.select(F.col("doc_id").alias("d"), F.col("start_word").alias("ps"), F.col("end_word").alias("pe"), "hash", "other")
     met = wins.select("doc_id", "w", "start_word", "end_word").join(p, (F.col("doc_id") == F.col("d")) & (F.col("start_word") < F.col("pe")) & (F.col("ps") < F.col("end_word")))
-    span = F.greatest(F.lit(0), F.least("end_word", "pe") - F.greatest("start_word", "ps"))
-    first = met.groupBy("doc_id", "w", "hash").agg(F.min_by(F.struct(span.alias("span")), "ps").alias("x"))
-    return first.groupBy("doc_id", "w").agg(F.count("*").cast("int").alias("hits"), F.max("x.span").alias("longest"))
+    place = F.struct(F.greatest("start_word", "ps").alias("start"), F.least("end_word", "pe").alias("end"), F.col("other").alias("other_start"), (F.col("other") + F.col("pe") - F.col("ps")).alias("other_end"))
+    return met.groupBy("doc_id", "w", "hash").agg(F.min_by(place, "ps").alias("x")).select("doc_id", "w", "hash", "x.*")
 
 
-def window_overlap(wins: DataFrame, n: int = 10) -> DataFrame:
-    """doc_id, w, jaccard, other: each window's most similar window at least two away (the first of equals).
+def paragraph_hits(places: DataFrame) -> DataFrame:
+    """doc_id, w, hits, longest."""
+    return places.groupBy("doc_id", "w").agg(F.count("*").cast("int").alias("hits"), F.max(F.greatest(F.lit(0), F.col("end") - F.col("start"))).alias("longest"))
 
-    Only documents of three windows have such pairs, so others send no n-grams through the shuffle.
+
+def window_overlap(rows: DataFrame, size: int, stride: int, n: int = 10) -> DataFrame:
+    """rows(doc_id, words) -> doc_id, w, jaccard, other: each window's most similar window at least two away (the first of equals).
+
+    Only documents of three windows have such pairs, so others send nothing through the shuffle. A class of windows with equal
+    n-grams is known by its key; of its windows the first four are enough, for at most three lie too near to any one.
     """
-    far = wins.where((F.size("words") >= n) & (F.col("n_windows") >= 3))
-    grams = far.select("doc_id", "w", F.array_distinct(F.transform(T.grams(F.col("words"), n), lambda g: F.xxhash64(g))).alias("grams"))
-    sizes = grams.select("doc_id", "w", F.size("grams").alias("size"))
-    shared = grams.select("doc_id", "w", F.explode_outer("grams").alias("gram")).groupBy("doc_id", "gram").agg(F.collect_list("w").alias("ws")).where("size(ws) > 1")
-    pairs = shared.select("doc_id", F.explode("ws").alias("w"), "ws").select("doc_id", "w", F.explode("ws").alias("other")).where("abs(w - other) >= 2")
-    counts = pairs.groupBy("doc_id", "w", "other").agg(F.count("*").alias("both"))
-    rated = counts.join(sizes, ["doc_id", "w"]).join(sizes.select("doc_id", F.col("w").alias("other"), F.col("size").alias("other_size")), ["doc_id", "other"])
-    rated = rated.withColumn("jaccard", F.col("both") / (F.col("size") + F.col("other_size") - F.col("both")))
-    return rated.groupBy("doc_id", "w").agg(F.max_by(F.struct("jaccard", "other"), F.struct("jaccard", -F.col("other"))).alias("x")).select("doc_id", "w", "x.jaccard", "x.other")
+    begins = T.starts(F.size("words"), size, stride)
+    far = rows.select("doc_id", F.size("words").alias("total"), begins.alias("begins"), T.gram_hashes(F.col("words"), n).alias("all")).where(F.size("begins") >= 3)
+    held = F.transform("begins", lambda b: F.sort_array(F.array_distinct(F.slice("all", b + 1, F.greatest(F.least(F.lit(size), F.col("total") - b) - n + 1, F.lit(0))))))
+    far = far.select("doc_id", held.alias("held")).withColumn("keys", F.transform("held", lambda h: F.xxhash64(h)))
+    placed = far.select("doc_id", F.posexplode_outer(F.arrays_zip("keys", F.transform("held", lambda h: F.size(h)).alias("sizes"))).alias("w", "x")).select("doc_id", "w", F.col("x.keys").alias("key"), F.col("x.sizes").alias("size")).where("size > 0")
+    classes = placed.groupBy("doc_id", "key").agg(F.first("size").alias("size"), F.slice(F.sort_array(F.collect_list("w")), 1, 4).alias("firsts"))
+    firsts = F.filter(F.transform("held", lambda h, i: F.struct(F.col("keys")[i].alias("key"), h.alias("grams"), i.alias("i"))), lambda x: F.array_position("keys", x["key"]) == x["i"] + 1)
+    grams = far.select("doc_id", F.explode_outer(firsts).alias("x")).select("doc_id", "x.key", F.explode_outer("x.grams").alias("gram")).where("gram IS NOT NULL")
+    shared = grams.groupBy("doc_id", "gram").agg(F.sort_array(F.collect_list("key")).alias("keys")).where("size(keys) > 1").groupBy("doc_id", "keys").agg(F.count("*").alias("n"))
+    pairs = shared.select("doc_id", "n", "keys", F.explode("keys").alias("key")).select("doc_id", "n", "key", F.explode("keys").alias("other_key")).where("key <> other_key")
+    both = pairs.groupBy("doc_id", "key", "other_key").agg(F.sum("n").alias("both"))
+    theirs = classes.select("doc_id", F.col("key").alias("other_key"), F.col("size").alias("other_size"), F.col("firsts").alias("others"))
+    rated = both.join(classes.select("doc_id", "key", "size"), ["doc_id", "key"]).join(theirs, ["doc_id", "other_key"])
+    rated = rated.select("doc_id", "key", (F.col("both") / (F.col("size") + F.col("other_size") - F.col("both"))).alias("jaccard"), "others")
+    rated = rated.unionByName(classes.where("size(firsts) > 1").select("doc_id", "key", F.lit(1.0).alias("jaccard"), F.col("firsts").alias("others")))
+    met = placed.join(rated, ["doc_id", "key"]).select("doc_id", "w", "jaccard", F.get(F.filter("others", lambda o: F.abs(o - F.col("w")) >= 2), F.lit(0)).alias("other")).where("other IS NOT NULL")
+    return met.groupBy("doc_id", "w").agg(F.max_by(F.struct("jaccard", "other"), F.struct("jaccard", -F.col("other"))).alias("x")).select("doc_id", "w", "x.jaccard", "x.other")
 
 
 def tokenised(rows: DataFrame) -> DataFrame:
@@ -104,13 +120,13 @@ def tokenised(rows: DataFrame) -> DataFrame:
 
 
 def window_signals(rows: DataFrame, c: DetectorConfig = DetectorConfig(), lt: DataFrame | None = None, lm: DataFrame | None = None) -> DataFrame:
-    """One row per window: dup, style, polish, lt and lm scores, p, conf, longest, evidence, and where it stands.
+    """One row per window: dup, style, polish, lt and lm scores, p, conf, longest, evidence (a count), jaccard and other (its most similar window), and where it stands.
 
     lt and lm are provider tables (doc_id, w, score); a window without a score counts as without that signal.
     """
     base = tokenised(rows)
     wins = windows(base, c.window_words, c.window_stride_words)
-    near, exact = window_overlap(wins, c.ngram), paragraph_hits(wins, paragraphs(base))
+    near, exact = window_overlap(base, *_sizes(c), c.ngram), paragraph_hits(paragraph_places(wins, paragraphs(base)))
     w = F.col("words")
     own = wins.select("doc_id", "w", "start_word", "end_word", F.size(w).alias("n"), style(w).alias("style"), polish(w).alias("polish"))
     all_ = own.join(exact, ["doc_id", "w"], "left").join(near, ["doc_id", "w"], "left")
@@ -128,7 +144,35 @@ def window_signals(rows: DataFrame, c: DetectorConfig = DetectorConfig(), lt: Da
     conf = F.lit(0.6) + F.when((F.col("dup") > 0) | (F.col("evidence") > 0), 0.15).otherwise(0.0) + F.when(strong >= 3, 0.10).otherwise(0.0) - F.when(has_lm, 0.0).otherwise(0.20) - F.when(F.col("n") < 600, 0.10).otherwise(0.0)
     long_ = F.col("longest") >= c.long_dup_override_words
     all_ = all_.withColumn("p", F.when(long_, F.greatest(p, F.lit(LOCAL_P))).otherwise(p)).withColumn("conf", F.when(long_, F.greatest(T.clamp(conf), F.lit(LOCAL_CONF))).otherwise(T.clamp(conf)))
-    return all_.withColumn("overridden", long_).drop("hits", "jaccard", "other")
+    return all_.withColumn("overridden", long_).drop("hits")
+
+
+def _sizes(c: DetectorConfig) -> tuple[int, int]:
+    """Window and stride as windows() takes them."""
+    size = c.window_words if c.window_words > 0 else 900
+    return size, c.window_stride_words if c.window_stride_words > 0 else size // 2
+
+
+def window_evidence(rows: DataFrame, signals: DataFrame, c: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """What each window's duplication signal rests on, a row each: doc_id, w, ord, type, summary, start_word, end_word, other_w, other_start, other_end, score, top.
+
+    Exact paragraphs come first, in order of place, then the most similar window, then what overrides p and conf. top: the first
+    three of a window, and the override's own entry whatever stands before it. rows and signals as in window_signals.
+    """
+    base = tokenised(rows)
+    places = paragraph_places(windows(base, c.window_words, c.window_stride_words), paragraphs(base))
+    null = lambda kind: F.lit(None).cast(kind)
+    exact = places.select("doc_id", "w", F.lit(0).alias("kind"), F.lit("exact duplicated paragraph hash").alias("summary"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), null("int").alias("other_w"), "other_start", "other_end", null("double").alias("score"), "hash")
+    size, stride = _sizes(c)
+    about = F.floor(F.col("jaccard") * float(c.window_words)).cast("int")
+    told = F.concat(F.lit("near-duplication with w-"), F.lpad(F.col("other").cast("string"), 3, "0"), F.lit(" (jaccard="), F.format_number("jaccard", 2), F.lit(")"))
+    begin = F.col("other") * stride
+    total = signals.groupBy("doc_id").agg(F.max("end_word").alias("total"))
+    near = signals.where(F.col("jaccard") >= c.near_dup_threshold).join(total, "doc_id")
+    near = near.select("doc_id", "w", F.lit(1).alias("kind"), told.alias("summary"), "start_word", F.least("end_word", F.col("start_word") + F.greatest(F.lit(1), about)).alias("end_word"), F.col("other").alias("other_w"), begin.alias("other_start"), F.least(begin + size, F.col("total")).alias("other_end"), F.col("jaccard").alias("score"), F.lit("").alias("hash"))
+    over = signals.where("overridden").select("doc_id", "w", F.lit(2).alias("kind"), F.lit("long duplicate span").alias("summary"), "start_word", F.least("end_word", F.col("start_word") + F.col("longest")).alias("end_word"), null("int").alias("other_w"), null("int").alias("other_start"), null("int").alias("other_end"), null("double").alias("score"), F.lit("").alias("hash"))
+    ordered = exact.unionByName(near).unionByName(over).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "w").orderBy("kind", "start_word", "hash")))
+    return ordered.select("doc_id", "w", "ord", F.lit("duplication").alias("type"), "summary", "start_word", "end_word", "other_w", "other_start", "other_end", "score", ((F.col("ord") <= TOP) | (F.col("kind") == 2)).alias("top"))
 
 
 def document_report(rows: DataFrame, signals: DataFrame, c: DetectorConfig = DetectorConfig()) -> DataFrame:
@@ -180,12 +224,26 @@ def ai_report_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ai_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(window_signals(docs(spark, sf_dir), SMALL)).drop("lt", "lm")
+    return flat(window_signals(docs(spark, sf_dir), SMALL)).drop("lt", "lm", "jaccard", "other")
 
 
 def near_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wins = windows(tokenised(docs(spark, sf_dir)), 100, 50)
-    return window_overlap(wins, 5).withColumn("jaccard", F.round("jaccard", 6))
+    return window_overlap(tokenised(docs(spark, sf_dir)), 100, 50, 5).withColumn("jaccard", F.round("jaccard", 6))
+
+
+def ai_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir)
+    return _shown(window_evidence(rows, window_signals(rows, SMALL), SMALL))
+
+
+def ai_evidence_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeating(docs(spark, sf_dir)).withColumn("lang", F.lit("en"))
+    return _shown(window_evidence(rows, window_signals(rows)))
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    """-1 for what an entry has not, and no text with rounded figures, for comparison."""
+    return found.withColumn("score", F.round("score", 6)).fillna(-1, ["other_w", "other_start", "other_end", "score"]).drop("summary")
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +282,7 @@ d0 AS (SELECT doc_id, text, lower(coalesce(lang, '')) IN ('', 'en') AS ok FROM {
 d AS (SELECT doc_id, {sql_normal('text')} AS normal, {sql_detector('text')} AS ws FROM d0 WHERE ok),
 win AS (SELECT doc_id, i::INT AS w, (i * {stride})::INT AS s, least(i * {stride} + {size}, len(ws))::INT AS e, ws[i * {stride} + 1:i * {stride} + {size}] AS ww FROM (SELECT doc_id, ws, unnest(range(0, CASE WHEN len(ws) <= {size} THEN 1 ELSE 1 + ceil((len(ws) - {size}) / {stride}.0)::BIGINT END)) AS i FROM d)),
 par AS (SELECT doc_id, p, len(pw) AS n, (sum(len(pw)) OVER (PARTITION BY doc_id ORDER BY p) - len(pw))::INT AS ps, sha1(array_to_string(pw, ' ')) AS h FROM (SELECT doc_id, p, regexp_extract_all(ps[p], '[a-z0-9'']+') AS pw FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS p FROM (SELECT doc_id, string_split(regexp_replace(normal, '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || chr(10)) AS ps FROM d)))),
-pl AS (SELECT doc_id, ps, ps + n AS pe, h, count(*) OVER (PARTITION BY doc_id, h) AS times FROM par WHERE n >= 40),
+pl AS (SELECT doc_id, ps, ps + n AS pe, h, count(*) OVER (PARTITION BY doc_id, h) AS times, min(ps) OVER (PARTITION BY doc_id, h) AS p1, lead(ps) OVER (PARTITION BY doc_id, h ORDER BY ps) AS p2 FROM par WHERE n >= 40),
 ex AS (SELECT doc_id, w, count(*) AS hits, max(span) AS longest FROM (SELECT win.doc_id, w, h, arg_min(greatest(0, least(e, pe) - greatest(s, ps)), ps) AS span FROM win JOIN pl ON win.doc_id = pl.doc_id AND times > 1 AND s < pe AND ps < e GROUP BY win.doc_id, w, h) GROUP BY doc_id, w),
 g AS (SELECT DISTINCT doc_id, w, array_to_string(ww[i:i + {n - 1}], ' ') AS g FROM (SELECT doc_id, w, ww, unnest(range(1, len(ww) - {n - 2})) AS i FROM win WHERE len(ww) >= {n})),
 gs AS (SELECT doc_id, w, count(*) AS size FROM g GROUP BY doc_id, w),
@@ -237,6 +295,16 @@ s3 AS (SELECT *, longest >= {c.long_dup_override_words} AS overridden, 1 / (1 +
 sig AS (SELECT doc_id, w, s AS start_word, e AS end_word, n, style, polish, longest, evidence, dup, CASE WHEN overridden THEN greatest(p0, 0.90::DOUBLE) ELSE p0 END AS p, CASE WHEN overridden THEN greatest({_clamp('c0')}, 0.80::DOUBLE) ELSE {_clamp('c0')} END AS conf, overridden FROM s3)"""
 
 
+def sql_evidence(source: str, c: DetectorConfig) -> str:
+    size, stride = c.window_words, c.window_stride_words
+    return f"""WITH {sql_signals(source, c)},
+ev AS (SELECT doc_id, w, 0 AS kind, x.a AS start_word, x.b AS end_word, NULL::INT AS other_w, x.o::INT AS other_start, x.q::INT AS other_end, NULL::DOUBLE AS score, h FROM (SELECT win.doc_id, w, h, arg_min({{'a': greatest(s, ps), 'b': least(e, pe), 'o': CASE WHEN ps = p1 THEN p2 ELSE p1 END, 'q': CASE WHEN ps = p1 THEN p2 ELSE p1 END + pe - ps}}, ps) AS x FROM win JOIN pl ON win.doc_id = pl.doc_id AND times > 1 AND s < pe AND ps < e GROUP BY win.doc_id, w, h)
+  UNION ALL SELECT s2.doc_id, s2.w, 1, s2.s, least(s2.e, s2.s + greatest(1, floor(s2.j * {size}.0::DOUBLE)::INT)), ne.other, (ne.other * {stride})::INT, least(ne.other * {stride} + {size}, max(s2.e) OVER (PARTITION BY s2.doc_id))::INT, CASE WHEN s2.j >= {c.near_dup_threshold} THEN s2.j END, '' FROM s2 LEFT JOIN ne USING (doc_id, w)
+  UNION ALL SELECT doc_id, w, 2, start_word, least(end_word, start_word + longest), NULL, NULL, NULL, NULL, '' FROM sig WHERE overridden)
+SELECT doc_id, w, ord::INT AS ord, 'duplication' AS type, start_word::INT AS start_word, end_word::INT AS end_word, coalesce(other_w, -1) AS other_w, coalesce(other_start, -1) AS other_start, coalesce(other_end, -1) AS other_end, coalesce(round(score, 6), -1)::DOUBLE AS score, ord <= 3 OR kind = 2 AS top
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY kind, start_word, h) AS ord FROM ev WHERE kind <> 1 OR score IS NOT NULL)"""
+
+
 def sql_report(source: str, c: DetectorConfig) -> str:
     return f"""WITH {sql_signals(source, c)},
 rk AS (SELECT *, greatest(1, end_word - start_word) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY p * conf DESC, w) AS rank FROM sig),
@@ -252,13 +320,21 @@ from .slop import _REPEATING  # noqa: E402
 
 _EN = f"(SELECT doc_id, 'en' AS lang, text FROM {_REPEATING})"
 _ROUNDED = "doc_id, w, start_word, end_word, n, round(style, 6) AS style, round(polish, 6)::DOUBLE AS polish, longest, evidence, round(dup, 6) AS dup, round(p, 6) AS p, round(conf, 6) AS conf, overridden"
-QUERIES = {"ai_report": ai_report, "ai_report_small": ai_report_small, "ai_report_repeats": ai_report_repeats, "ai_windows": ai_windows, "near_windows": near_windows, "vocabulary": vocabulary, "style_scores": style_scores, "repeated_paragraphs": repeated_paragraphs}
+SQL_STYLE = rf"""
+WITH d AS (SELECT doc_id, lower(text) AS t FROM {_D}),
+a AS (SELECT doc_id, t, regexp_extract_all(t, '[a-z0-9'']+') AS ws, list_transform(list_filter(list_transform(regexp_split_to_array(t, '[.!?]+'), lambda s: {sql_trim('s')}), lambda s: s <> ''), lambda s: len(regexp_extract_all(s, '[a-z0-9'']+'))) AS ls FROM d),
+b AS (SELECT *, coalesce(list_stddev_pop(ls), 0) AS sd, (length(t) - length(replace(t, ',', '')) + length(t) - length(replace(t, ';', '')) + length(t) - length(replace(t, '—', ''))) / greatest(1, len(ws))::DOUBLE AS rate FROM a)
+SELECT doc_id, round(CASE WHEN len(ls) = 0 THEN 0 ELSE {_clamp(f"0.55::DOUBLE * {_clamp('(8.0::DOUBLE - sd) / 8.0::DOUBLE')} + 0.20::DOUBLE * {_clamp('(0.04::DOUBLE - rate) / 0.04::DOUBLE')} + 0.25::DOUBLE * {_clamp('(0.62::DOUBLE - (' + sql_mattr('ws') + ')) / 0.30::DOUBLE')}")} END, 6)::DOUBLE AS style FROM b"""
+QUERIES = {"ai_report": ai_report, "ai_report_small": ai_report_small, "ai_report_repeats": ai_report_repeats, "ai_windows": ai_windows, "near_windows": near_windows, "ai_evidence": ai_evidence, "ai_evidence_repeats": ai_evidence_repeats, "vocabulary": vocabulary, "style_scores": style_scores, "repeated_paragraphs": repeated_paragraphs}
 ORACLES = {
     "ai_report": sql_report(_D, DetectorConfig()),
     "ai_report_small": sql_report(_D, SMALL),
     "ai_report_repeats": sql_report(_EN, DetectorConfig()),
     "ai_windows": f"WITH {sql_signals(_D, SMALL)} SELECT {_ROUNDED} FROM sig",
     "near_windows": f"WITH {sql_signals(_D, SMALL)} SELECT doc_id, w, round(jaccard, 6) AS jaccard, other FROM ne",
+    "ai_evidence": sql_evidence(_D, SMALL),
+    "ai_evidence_repeats": sql_evidence(_EN, DetectorConfig()),
     "vocabulary": f"WITH d AS (SELECT doc_id, {sql_detector('text')} AS ws FROM {_D} WHERE lower(coalesce(lang, '')) IN ('', 'en')) SELECT doc_id, round({sql_mattr('ws')}, 6)::DOUBLE AS mattr, round(CASE WHEN len(ws) = 0 THEN 0 ELSE 0.75::DOUBLE + 0.25::DOUBLE * {_clamp('(0.62::DOUBLE - (' + sql_mattr('ws') + ')) / 0.30::DOUBLE')} END, 6)::DOUBLE AS style, round({sql_polish('ws', ('the', 'of'), ('of the', 'in the'))}, 6)::DOUBLE AS polish FROM d",
+    "style_scores": SQL_STYLE,
     "repeated_paragraphs": f"WITH {sql_signals(_EN, DetectorConfig())} SELECT doc_id, (p - 1)::INT AS p, ps AS start_word, (ps + n)::INT AS end_word, h AS hash FROM par WHERE n >= 40",
 }

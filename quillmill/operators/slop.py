@@ -40,9 +40,12 @@ def share(words: Column, lexicon: tuple[str, ...]) -> Column:
     return F.when(n > 0, F.size(F.filter(words, lambda w: w.isin(*lexicon))) / F.greatest(n, F.lit(1))).otherwise(F.lit(0.0))
 
 
-def common_trigrams(found: Column) -> Column:
+def common_trigrams(words: Column) -> Column:
     """Share of a text's trigrams that are among the common ones."""
-    return F.when(F.size(found) > 0, F.size(F.filter(found, lambda g: g.isin(*TRIGRAMS))) / F.greatest(F.size(found), F.lit(1))).otherwise(F.lit(0.0))
+    known = F.array(*[T.gram_hash([F.lit(w) for w in g.split()]) for g in TRIGRAMS])
+    found = T.gram_hashes(words, 3)
+    n = F.size(words) - 2
+    return F.when(n > 0, F.size(F.filter(found, lambda g: F.array_contains(known, g))) / F.greatest(n, F.lit(1))).otherwise(F.lit(0.0))
 
 
 def repeated_share(ordered: Column) -> Column:
@@ -99,14 +102,13 @@ def slop(rows: DataFrame, bad_words=BAD_WORDS, dramatic=DRAMATIC, phrase: int =
     rows = rows.select("doc_id", "text", T.prose_words(t).alias("words"), F.transform(T.split_sentences(t), T.prose_words).alias("sentences"))
     rows = rows.withColumn("lengths", F.filter(F.transform("sentences", lambda s: F.size(s).cast("double")), lambda n: n > 0))
     rows = rows.withColumn("drama", F.transform(F.filter("sentences", lambda s: F.size(s) >= 4), lambda s: share(s, dramatic)))
-    rows = rows.withColumn("phrases", F.array_sort(F.transform(T.grams(w, phrase), lambda g: F.xxhash64(g)))).withColumn("titles", heading_titles(t))
-    rows = rows.withColumn("trigrams", F.transform(T.grams(w, 3), lambda g: F.array_join(g, " ")))
+    rows = rows.withColumn("phrases", F.sort_array(T.gram_hashes(w, phrase))).withColumn("titles", heading_titles(t))
     sd, mean = T.sd_and_mean(F.col("lengths"))
     drama_sd, drama = T.sd_and_mean(F.col("drama"))
     low = F.lower(t)
     expansion = sum((T.substring_count(low, m) for m in EXPANSION), F.lit(0)) + repeated_titles(F.col("titles"))
     rows = rows.select(
-        "doc_id", F.size(w).alias("n_words"), F.size("sentences").alias("n_sentences"), sd.alias("sentence_sd"), mean.alias("sentence_mean"), share(w, bad_words).alias("bad_word_density"), common_trigrams(F.col("trigrams")).alias("trigram_share"), repeated_blocks(t).alias("r"),
+        "doc_id", F.size(w).alias("n_words"), F.size("sentences").alias("n_sentences"), sd.alias("sentence_sd"), mean.alias("sentence_mean"), share(w, bad_words).alias("bad_word_density"), common_trigrams(w).alias("trigram_share"), repeated_blocks(t).alias("r"),
         repeated_share(F.col("phrases")).alias("phrase_coverage"), drama.alias("drama_mean"), drama_sd.alias("drama_sd"), expansion.alias("expansion_markers"), sum((T.substring_count(low, m) for m in OPTIMISATION), F.lit(0)).alias("optimisation_markers"),
     )
     n = F.col("n_words")
@@ -132,10 +134,11 @@ def slop_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeating(rows: DataFrame) -> DataFrame:
-    """Texts that repeat: a block three times, headings twice, markers and drama put in."""
+    """Texts that repeat: a block three times, headings twice, markers and drama put in; in two documents of three the block stands once."""
     t = F.col("text")
-    made = F.concat(F.lit("Chapter 1: The Long Road Home\n"), t, F.lit("\n\n"), t, F.lit("\n \n"), t, F.lit("\n\nChapter 2 - The long road home\nThe revised version shows blood and fear in the dark abyss. Efficiency, compliance: one of the many tapestry. At the same time it was a delve.\nChapter 3\nThe long road home"))
-    return rows.where("doc_id % 3 = 0").select("doc_id", made.alias("text"))
+    block = F.when(F.col("doc_id") % 3 == 0, F.concat(t, F.lit("\n\n"), t, F.lit("\n \n"), t)).otherwise(t)
+    made = F.concat(F.lit("Chapter 1: The Long Road Home\n"), block, F.lit("\n\nChapter 2 - The long road home\nThe revised version shows blood and fear in the dark abyss. Efficiency, compliance: one of the many tapestry. At the same time it was a delve.\nChapter 3\nThe long road home"))
+    return rows.select("doc_id", made.alias("text"))
 
 
 def slop_report_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +189,7 @@ o AS (SELECT doc_id, n_words, n_sentences, round(sd, 6) AS sentence_sd, round(me
 SELECT {columns} FROM o"""
 
 
-_REPEATING = f"""(SELECT doc_id, 'Chapter 1: The Long Road Home' || chr(10) || text || chr(10) || chr(10) || text || chr(10) || ' ' || chr(10) || text || chr(10) || chr(10) || 'Chapter 2 - The long road home' || chr(10) || 'The revised version shows blood and fear in the dark abyss. Efficiency, compliance: one of the many tapestry. At the same time it was a delve.' || chr(10) || 'Chapter 3' || chr(10) || 'The long road home' AS text FROM {_D} WHERE doc_id % 3 = 0)"""
+_REPEATING = f"""(SELECT doc_id, 'Chapter 1: The Long Road Home' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || chr(10) || text || chr(10) || ' ' || chr(10) || text ELSE text END || chr(10) || chr(10) || 'Chapter 2 - The long road home' || chr(10) || 'The revised version shows blood and fear in the dark abyss. Efficiency, compliance: one of the many tapestry. At the same time it was a delve.' || chr(10) || 'Chapter 3' || chr(10) || 'The long road home' AS text FROM {_D})"""
 QUERIES = {"slop_sentence_stats": sentence_stats, "slop_report": slop_report, "slop_report_repeats": slop_report_repeats, "slop_report_lexicon": slop_report_lexicon, "slop_report_headed": slop_report_headed}
 ORACLES = {
     "slop_sentence_stats": sql_slop(_D, columns="doc_id, n_words, n_sentences, sentence_mean, sentence_sd, bad_word_density, sentence_sd < 4.0 AS monotone"),

@@ -11,13 +11,20 @@ NUMBERS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirte
 #: A chapter header anywhere in the text, and as a line of its own.
 INLINE = rf"(?i){T.EDGE}(chapter|ch\.)[\t\n\f\r ]+([0-9ivxlcdm]+|{NUMBERS}){T.EDGE}"
 LINE = rf"(?i)^[\t\n\f\r ]*(chapter|ch\.)[\t\n\f\r ]+([0-9ivxlcdm]+|{NUMBERS}){T.EDGE}.*"
+#: Opens a chapter or block; itself taken out of texts first.
 MARK = "\u0001"
 SEGMENT, OVERLAP, CHUNK = 1500, 200, 2500
 VOWEL, CLUSTER = "[aeiouy]", "[bcdfghjklmnpqrstvwxz]{6,}"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """Rows of a table with fewer files than cores, dealt out to all cores: a file of one row group is one task. Larger tables stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,15 +64,14 @@ def chapters(rows: DataFrame) -> DataFrame:
     Three ways, in this order: at headers anywhere in the text if there are three or more; else at header lines, with what
     stands before the first as a chapter; else runs of 2,500 words. All are array expressions on the row.
     """
-    text = F.col("text")
-    pieces = F.split(F.regexp_replace(text, INLINE, MARK + "$0"), MARK)
-    inline = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), T.trimmed)
+    text = F.translate("text", MARK, "")
 
     def titled(piece: Column, i: Column) -> Column:
         head = T.first_words(piece, 8)
         return F.struct(F.when(is_header(head), head).otherwise(F.concat(F.lit("Chapter "), i + 1)).alias("title"), piece.alias("text"))
 
-    numbered = F.transform(inline, titled)
+    pieces = F.split(F.regexp_replace(text, INLINE, MARK + "$0"), MARK)
+    numbered = F.transform(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), T.trimmed), titled)
     lines = F.filter(F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), T.trimmed), lambda x: x != "")
     # a header opens a block; a block without lines vanishes, and its title with it
     marked = F.array_join(F.transform(lines, lambda x: F.when(is_header(x), F.concat(F.lit(MARK), x)).otherwise(x)), "\n")
@@ -74,8 +80,9 @@ def chapters(rows: DataFrame) -> DataFrame:
     by_line = F.transform(blocks, lambda b, i: F.struct(F.when(b["title"] == "", F.concat(F.lit("Chapter "), i + 1)).otherwise(b["title"]).alias("title"), b["text"].alias("text")))
     words = T.fields(text)
     chunked = F.transform(T.starts(F.size(words), CHUNK, CHUNK), lambda s, i: F.struct(F.concat(F.lit("Chapter "), i + 1).alias("title"), F.array_join(F.slice(words, s + 1, F.lit(CHUNK)), " ").alias("text")))
-    rows = rows.select("doc_id", numbered.alias("inline"), F.size(pieces).alias("n"), by_line.alias("lines"), text)
-    chosen = F.when(F.col("n") >= 4, F.col("inline")).when(F.size("lines") > 0, F.col("lines")).otherwise(chunked)
+    # headers are counted first, and only the way that is taken is built; a text without blocks by lines has none but white space
+    by_lines = T.let(by_line, lambda found: F.when(F.size(found) > 0, found).otherwise(chunked))
+    chosen = F.when(F.regexp_count(text, F.lit(INLINE)) >= 3, numbered).otherwise(by_lines)
     return rows.select("doc_id", F.posexplode_outer(chosen).alias("chapter", "c")).select("doc_id", (F.col("chapter") + 1).alias("chapter"), "c.title", "c.text")
 
 

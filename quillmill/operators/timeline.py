@@ -61,7 +61,7 @@ def marker_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manuscript_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chaps = storied(spark, sf_dir).where("doc_id % 3 > 0 OR chapter % 3 > 0")
+    chaps = storied(spark, sf_dir)
     return timeline(chaps, chapter_summaries(chaps))
 
 
@@ -72,7 +72,7 @@ ORACLES = {
     "marker_events": rf"""WITH t AS (SELECT doc_id || '-' || chapter AS doc_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM {STORIED}), m AS (SELECT *, regexp_split_to_array(text, '{_SQLM}') AS gaps, regexp_extract_all(text, '{_SQLM}') AS ms FROM t),
 e AS (SELECT doc_id, text, i, ms[i] AS marker, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::INT AS s FROM (SELECT *, unnest(range(1, least(15, len(ms)) + 1)) AS i FROM m))
 SELECT doc_id, (i - 1)::INT AS ord, marker AS time_marker, regexp_replace(substr(text, greatest(0, s - 80) + 1, least(length(text), s + length(marker) + 120) - greatest(0, s - 80)), '\s+', ' ', 'g') AS event FROM e""",
-    "manuscript_timeline": f"""WITH {_EVENTS}, c AS (SELECT * FROM ev WHERE doc_id % 3 > 0 OR chapter % 3 > 0), x AS (SELECT *, regexp_extract_all(text, '{_SQLM}') AS ms FROM c),
+    "manuscript_timeline": f"""WITH {_EVENTS}, c AS (SELECT * FROM ev), x AS (SELECT *, regexp_extract_all(text, '{_SQLM}') AS ms FROM c),
 mk AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chapter, i) AS ord, ms[i] AS time_marker, 'Ch ' || chapter || ' ' || title || ': ' || {sql_first('text', 16)} AS event FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM x)),
 rs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chapter) AS ord FROM c WHERE doc_id NOT IN (SELECT doc_id FROM mk))
 SELECT doc_id, ord::INT AS ord, time_marker, event FROM mk WHERE ord <= 40 UNION ALL SELECT doc_id, ord::INT, 'Chapter ' || chapter, events[1] FROM rs WHERE ord <= 12""",

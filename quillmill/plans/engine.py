@@ -31,7 +31,7 @@ def analyze(manuscripts: DataFrame, config: DetectorConfig = DetectorConfig(), p
     scored = genre.scores(chaps)
     return {
         "chapters": chaps, "segments": text.segments(manuscripts), "metrics": metrics, "summaries": found, "characters": characters.dictionary(chaps), "genres": genre.rolled_up(scored), "genre_reasons": genre.reasons(scored),
-        "slop": slop_, "windows": signals, "ai": ai, "contradictions": conflicts, "issues": issues, "timeline": line, "beats": structure.beats(chaps, found, metrics, line), "language": lang, "scores": scoring.composite(ai, slop_, lang, issues),
+        "slop": slop_, "windows": signals, "evidence": detector.window_evidence(manuscripts, signals, config), "ai": ai, "contradictions": conflicts, "issues": issues, "timeline": line, "beats": structure.beats(chaps, found, metrics, line), "language": lang, "scores": scoring.composite(ai, slop_, lang, issues),
     }
 
 
@@ -48,7 +48,7 @@ def report(manuscripts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     for name in ("slop", "ai", "language", "scores"):
         t = tables[name]
         rows = rows.join(t.select("doc_id", F.struct(*[c for c in t.columns if c != "doc_id"]).alias(name)), "doc_id", "left")
-    for name, order in (("metrics", ["chapter"]), ("summaries", ["chapter"]), ("characters", ["name"]), ("genres", ["rank"]), ("issues", ["issue_id"]), ("timeline", ["ord"]), ("beats", ["beat"])):
+    for name, order in (("evidence", ["w", "ord"]), ("metrics", ["chapter"]), ("summaries", ["chapter"]), ("characters", ["name"]), ("genres", ["rank"]), ("issues", ["issue_id"]), ("timeline", ["ord"]), ("beats", ["beat"])):
         rows = rows.join(nested(name, *order), "doc_id", "left")
     return rows
 

@@ -70,7 +70,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = event_lines(spark, sf_dir)
-    return merged(lines.where("event_id % 2 = 0"), lines.where("event_id % 3 = 0")).select(*KEYS)
+    return merged(lines.where("event_id % 2 = 0 OR event_id % 3 = 0"), lines.where("event_id % 2 > 0 OR event_id % 3 = 0")).select(*KEYS)  # all events, some in both
 
 
 def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def log_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 _L = "(SELECT event_id, user_id, strftime(ts, '%H:%M') AS time, CASE WHEN event_id % 7 = 0 THEN 'RISK' ELSE 'INFO' END AS level, event_type AS stage, 'user ' || (user_id % 10) AS message, coalesce(props[1:4], '') AS detail FROM events)"
 QUERIES = {"log_merged": log_merged, "log_search": log_search, "log_tail": log_tail, "log_recent": log_recent, "log_session": log_session}
 ORACLES = {
-    "log_merged": f"SELECT DISTINCT time, level, stage, message, detail FROM {_L} WHERE event_id % 2 = 0 OR event_id % 3 = 0",
+    "log_merged": f"SELECT DISTINCT time, level, stage, message, detail FROM {_L}",
     "log_search": f"SELECT * FROM {_L} WHERE level = 'RISK' AND contains(lower(concat_ws(' ', message, detail, stage, level)), 'user 1')",
     "log_tail": f"SELECT * FROM {_L} ORDER BY event_id DESC LIMIT 250",
     "log_recent": f"SELECT event_id, user_id, stage FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM (SELECT *, lag(stage) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM {_L}) WHERE b IS NULL OR b <> stage) WHERE r <= 8",
