@@ -94,14 +94,17 @@ def window_overlap(rows: DataFrame, size: int, stride: int, n: int = 10) -> Data
     Only documents of three windows have such pairs, so others send nothing through the shuffle. A class of windows with equal
     n-grams is known by its key; of its windows the first four are enough, for at most three lie too near to any one.
     """
-    begins = T.starts(F.size("words"), size, stride)
-    far = rows.select("doc_id", F.size("words").alias("total"), begins.alias("begins"), T.gram_hashes(F.col("words"), n).alias("all")).where(F.size("begins") >= 3)
-    held = F.transform("begins", lambda b: F.sort_array(F.array_distinct(F.slice("all", b + 1, F.greatest(F.least(F.lit(size), F.col("total") - b) - n + 1, F.lit(0))))))
-    far = far.select("doc_id", held.alias("held")).withColumn("keys", F.transform("held", lambda h: F.xxhash64(h)))
-    placed = far.select("doc_id", F.posexplode_outer(F.arrays_zip("keys", F.transform("held", lambda h: F.size(h)).alias("sizes"))).alias("w", "x")).select("doc_id", "w", F.col("x.keys").alias("key"), F.col("x.sizes").alias("size")).where("size > 0")
+    # what a lambda names must be bound by let(): the optimiser writes a column's expression into it, to be evaluated for each element
+    whole = F.struct(F.size("words").alias("total"), T.gram_hashes(F.col("words"), n).alias("all"))
+    own = lambda d, b: F.slice(d["all"], b + 1, F.greatest(F.least(F.lit(size), d["total"] - b) - n + 1, F.lit(0)))
+    none = F.array().cast("array<array<bigint>>")
+    held = T.let(whole, lambda d: F.when(d["total"] > size + stride, F.transform(T.starts(d["total"], size, stride), lambda b: F.sort_array(F.array_distinct(own(d, b))))).otherwise(none))
+    keyed = T.let(held, lambda h: F.struct(h.alias("held"), F.transform(h, lambda x: F.xxhash64(x)).alias("keys")))
+    sized = T.let(held, lambda h: F.transform(h, lambda x: F.struct(F.xxhash64(x).alias("key"), F.size(x).alias("size"))))
+    placed = rows.select("doc_id", F.posexplode_outer(sized).alias("w", "x")).select("doc_id", "w", "x.key", "x.size").where("size > 0")
+    firsts = T.let(keyed, lambda f: F.filter(F.transform(f["held"], lambda h, i: F.struct(f["keys"][i].alias("key"), h.alias("grams"), i.alias("i"))), lambda x: F.array_position(f["keys"], x["key"]) == x["i"] + 1))
+    grams = rows.select("doc_id", F.explode_outer(firsts).alias("x")).select("doc_id", "x.key", F.explode_outer("x.grams").alias("gram")).where("gram IS NOT NULL")
     classes = placed.groupBy("doc_id", "key").agg(F.first("size").alias("size"), F.slice(F.sort_array(F.collect_list("w")), 1, 4).alias("firsts"))
-    firsts = F.filter(F.transform("held", lambda h, i: F.struct(F.col("keys")[i].alias("key"), h.alias("grams"), i.alias("i"))), lambda x: F.array_position("keys", x["key"]) == x["i"] + 1)
-    grams = far.select("doc_id", F.explode_outer(firsts).alias("x")).select("doc_id", "x.key", F.explode_outer("x.grams").alias("gram")).where("gram IS NOT NULL")
     shared = grams.groupBy("doc_id", "gram").agg(F.sort_array(F.collect_list("key")).alias("keys")).where("size(keys) > 1").groupBy("doc_id", "keys").agg(F.count("*").alias("n"))
     pairs = shared.select("doc_id", "n", "keys", F.explode("keys").alias("key")).select("doc_id", "n", "key", F.explode("keys").alias("other_key")).where("key <> other_key")
     both = pairs.groupBy("doc_id", "key", "other_key").agg(F.sum("n").alias("both"))
