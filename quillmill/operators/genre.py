@@ -63,9 +63,28 @@ def reason(genres: Column, chapter: Column) -> Column:
     return F.format_string("Heuristic fallback for chapter %d (top genre=%s %s).", chapter, genres[0]["name"], percent(genres[0]["score"]))
 
 
+def decided(chaps: DataFrame, answers: DataFrame, provider: str = "provider") -> DataFrame:
+    """Scored chapters + provider and reasoning, with a model's genres where it gave any.
+
+    answers(doc_id, chapter, answer, error): answer is a JSON object with genre_scores and reasoning; without one, or with no
+    score above zero, the keywords' genres stand, and the reason says what failed.
+    """
+    given = F.from_json("answer", "genre_scores map<string,double>, reasoning string")
+    told = answers.select("doc_id", "chapter", given.alias("a"), "error")
+    told = told.select("doc_id", "chapter", F.col("a.genre_scores").alias("_given"), F.col("a.reasoning").alias("_told"), F.col("error").alias("_error"))
+    rows = chaps.join(told, ["doc_id", "chapter"], "left")
+    some = F.coalesce(F.exists(F.array(*map(F.lit, ORDER)), lambda g: F.coalesce(F.try_element_at("_given", g), F.lit(0.0)) > 0), F.lit(False))
+    genres = F.when(some, filled(F.col("_given"))).otherwise(F.col("genres"))
+    failed = F.when(F.col("_error").isNotNull(), F.concat(F.lit(" Provider unavailable: "), "_error")).otherwise("")
+    own = F.when(F.coalesce(T.trimmed(F.col("_told")), F.lit("")) != "", T.trimmed(F.col("_told"))).otherwise(F.concat(F.lit("Model classification favored "), genres[0]["name"], F.lit(" from sampled chapter windows.")))
+    why = F.when(some, own).otherwise(F.concat(reason(F.col("genres"), F.col("chapter")), failed))
+    return rows.select(*[c for c in chaps.columns if c != "genres"], genres.alias("genres"), F.when(some, provider).otherwise("heuristic").alias("provider"), why.alias("reasoning"))
+
+
 def reasons(chaps: DataFrame, size: int = REASON_BYTES) -> DataFrame:
     """doc_id, reasoning: the chapters' reasons in order, cut to `size` bytes."""
-    lines = chaps.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chapter", reason(F.col("genres"), F.col("chapter")).alias("line")))).alias("x"))
+    line = F.col("reasoning") if "reasoning" in chaps.columns else reason(F.col("genres"), F.col("chapter"))
+    lines = chaps.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chapter", line.alias("line")))).alias("x"))
     return lines.select("doc_id", F.decode(F.substring(F.encode(F.array_join("x.line", "\n"), "UTF-8"), 1, size), "UTF-8").alias("reasoning"))
 
 

@@ -16,6 +16,7 @@ BEATS = (("Catalyst", 0.10, 0.12), ("Midpoint", 0.45, 0.55), ("All is Lost", 0.7
 STRUCTURES = {"Save the Cat": 0.55, "Three Act": 0.30, "Fichtean Curve": 0.10, "Hero's Journey": 0.05}
 LEAST = 0.001
 NO_TEXT = "Insufficient chapter text in beat window."
+FALLBACK = "Heuristic fallback from chapter-position windows."
 
 
 def chapters_in(n: Column, low: Column, high: Column) -> tuple[Column, Column]:
@@ -63,6 +64,36 @@ def structure_probabilities(given: Column | None = None) -> Column:
     return normalised([F.when(value(n) > 0, value(n)).otherwise(F.lit(LEAST)) for n in STRUCTURES], tuple(STRUCTURES))
 
 
+ANSWER = "selected_structure string, reasoning string, structure_probabilities map<string,double>, beats array<struct<name:string,start_chapter:int,end_chapter:int,is_beat:boolean,reasoning:string>>"
+
+
+def decided(chaps: DataFrame, answers: DataFrame | None = None, provider: str = "provider") -> DataFrame:
+    """doc_id, provider, selected, probabilities, reasoning: a model's view of each manuscript with chapters, or the fixed one.
+
+    answers(doc_id, answer, error): answer is a JSON object as in ANSWER; a failed one leaves its error in the reason.
+    """
+    rows = chaps.select("doc_id").distinct()
+    fixed = structure_probabilities()
+    if answers is None:
+        return rows.select("doc_id", F.lit("heuristic").alias("provider"), F.lit(next(iter(STRUCTURES))).alias("selected"), fixed.alias("probabilities"), F.lit(FALLBACK).alias("reasoning"))
+    told = answers.select("doc_id", F.from_json("answer", ANSWER).alias("a"), F.col("answer").isNotNull().alias("given"), "error")
+    rows = rows.join(told, "doc_id", "left").withColumn("given", F.coalesce("given", F.lit(False)))
+    theirs = structure_probabilities(F.coalesce("a.structure_probabilities", F.create_map().cast("map<string,double>")))
+    filled_in = lambda c, default: F.when(F.coalesce(T.trimmed(F.col(c)), F.lit("")) != "", T.trimmed(F.col(c))).otherwise(default)
+    rows = rows.withColumn("probabilities", F.when(F.col("given"), theirs).otherwise(fixed))
+    failed = F.concat(F.lit(FALLBACK), F.when(F.col("error").isNotNull(), F.concat(F.lit(" Provider unavailable: "), "error")).otherwise(""))
+    selected = F.when(F.col("given"), filled_in("a.selected_structure", F.col("probabilities")[0]["name"])).otherwise(next(iter(STRUCTURES)))
+    why = F.when(F.col("given"), filled_in("a.reasoning", F.lit("The model chose the structure by what happens in each chapter."))).otherwise(failed)
+    return rows.select("doc_id", F.when(F.col("given"), provider).otherwise("heuristic").alias("provider"), selected.alias("selected"), "probabilities", why.alias("reasoning"))
+
+
+def overlaid(own: DataFrame, answers: DataFrame, chaps: DataFrame) -> DataFrame:
+    """Beats, with a model's in place of a manuscript's own where it named any."""
+    told = answers.select("doc_id", F.posexplode(F.from_json("answer", ANSWER)["beats"]).alias("beat", "b")).select("doc_id", "beat", "b.*")
+    given = provider_beats(told.withColumn("is_beat", F.coalesce("is_beat", F.lit(False))), chaps)
+    return own.join(given.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(given)
+
+
 def provider_beats(given: DataFrame, chaps: DataFrame) -> DataFrame:
     """A provider's beats(doc_id, beat, name, start_chapter, end_chapter, is_beat, reasoning), held to the chapters there are."""
     rows = given.join(chaps.groupBy("doc_id").agg(F.count("*").cast("int").alias("n")), "doc_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DetectorConfig
+from ..functions import providers
 from ..functions import text as T
 from ..operators import characters, detector, forensics, genre, language, scoring, slop, structure, text, timeline
 from ..operators.text import docs
@@ -13,12 +16,13 @@ from ..operators.text import docs
 EMPTY = {"title": "No Manuscript Loaded", "status": "IDLE", "age": "Unknown"}
 
 
-def analyze(manuscripts: DataFrame, config: DetectorConfig = DetectorConfig(), providers: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def analyze(manuscripts: DataFrame, config: DetectorConfig = DetectorConfig(), given: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """manuscripts(doc_id, title, lang, text) -> lazy tables by name.
 
-    Chapters feed the chapter tables; slop, ai and language depend on the text alone. providers: tables lt, lm, tool, safety.
+    Chapters feed the chapter tables; slop, ai and language depend on the text alone. given: tables lt and lm (scores of
+    windows), tool and safety (scores of texts), genre and plot (answers, see ask_genres and ask_plots).
     """
-    p = providers or {}
+    p = given or {}
     chaps = text.chapters(manuscripts)
     found = characters.chapter_summaries(chaps)
     metrics = structure.chapter_metrics(chaps)
@@ -29,9 +33,13 @@ def analyze(manuscripts: DataFrame, config: DetectorConfig = DetectorConfig(), p
     ai = detector.document_report(manuscripts, signals, config)
     lang = language.overlaid(language.language(manuscripts), p.get("tool"), p.get("safety"))
     scored = genre.scores(chaps)
+    if "genre" in p:
+        scored = genre.decided(scored, p["genre"])
+    own_beats = structure.beats(chaps, found, metrics, line)
+    named = scored if "provider" in scored.columns else scored.withColumn("provider", F.lit("heuristic"))
     return {
-        "chapters": chaps, "segments": text.segments(manuscripts), "metrics": metrics, "summaries": found, "characters": characters.dictionary(chaps), "genres": genre.rolled_up(scored), "genre_reasons": genre.reasons(scored),
-        "slop": slop_, "windows": signals, "evidence": detector.window_evidence(manuscripts, signals, config), "ai": ai, "contradictions": conflicts, "issues": issues, "timeline": line, "beats": structure.beats(chaps, found, metrics, line), "language": lang, "scores": scoring.composite(ai, slop_, lang, issues),
+        "chapters": chaps, "segments": text.segments(manuscripts), "metrics": metrics, "summaries": found, "characters": characters.dictionary(chaps), "genres": genre.rolled_up(scored), "genre_reasons": genre.reasons(scored), "genre_providers": genre.dominant(named.select("doc_id", "provider")), "structure": structure.decided(chaps, p.get("plot")),
+        "slop": slop_, "windows": signals, "evidence": detector.window_evidence(manuscripts, signals, config), "ai": ai, "contradictions": conflicts, "issues": issues, "timeline": line, "beats": structure.overlaid(own_beats, p["plot"], chaps) if "plot" in p else own_beats, "language": lang, "scores": scoring.composite(ai, slop_, lang, issues),
     }
 
 
@@ -45,7 +53,7 @@ def report(manuscripts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 
     rows = manuscripts.select("doc_id", "title", T.fields(F.col("text")).alias("w")).select("doc_id", "title", F.size("w").alias("word_count"))
     rows = rows.join(tables["segments"].groupBy("doc_id").agg(F.count("*").cast("int").alias("n_segments")), "doc_id", "left")
-    for name in ("slop", "ai", "language", "scores"):
+    for name in ("slop", "ai", "language", "scores", "structure"):
         t = tables[name]
         rows = rows.join(t.select("doc_id", F.struct(*[c for c in t.columns if c != "doc_id"]).alias(name)), "doc_id", "left")
     for name, order in (("evidence", ["w", "ord"]), ("metrics", ["chapter"]), ("summaries", ["chapter"]), ("characters", ["name"]), ("genres", ["rank"]), ("issues", ["issue_id"]), ("timeline", ["ord"]), ("beats", ["beat"])):
@@ -69,6 +77,18 @@ def prompt_plots(metrics: DataFrame, summaries: DataFrame, line: DataFrame) -> D
     return chapters.join(anchors, "doc_id", "left").select("doc_id", F.concat(head, F.lit("Timeline:\n"), F.coalesce(F.array_join("a.t", "\n"), F.lit("")), F.lit("\nChapters:\n"), F.array_join("c.t", "\n")).alias("prompt"))
 
 
+def ask_genres(chaps: DataFrame, model: Callable[[str], str] | None, seconds: float | None = 120.0) -> DataFrame:
+    """The table genre of analyze(): a model's answer on a sample of each chapter; three failed chapters in a row end a manuscript's asking."""
+    prompt = providers.genre_prompt(text.genre_sample(F.col("text")), genre.ORDER)
+    return providers.ask(chaps.select("doc_id", "chapter", prompt.alias("prompt")), ["doc_id", "chapter"], "prompt", model, failures=3, seconds=seconds)
+
+
+def ask_plots(tables: dict[str, DataFrame], model: Callable[[str], str] | None, seconds: float | None = 120.0) -> DataFrame:
+    """The table plot of analyze(): a model's answer on each manuscript's chapters, from the tables of an analysis without it."""
+    prompts = prompt_plots(tables["metrics"], tables["summaries"], tables["timeline"])
+    return providers.ask(prompts, ["doc_id"], "prompt", model, tries=1, seconds=seconds)
+
+
 def manuscript_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested report of every document, as JSON."""
     rows = docs(spark, sf_dir).withColumn("title", F.concat(F.lit("Document "), F.col("doc_id").cast("string")))

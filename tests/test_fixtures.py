@@ -150,3 +150,99 @@ def test_stream_of_new_files(spark, tmp_path):
 def test_normal_forms(spark):
     r = spark.range(1).select(T.normal_text(F.lit(" A\r\nB,  don't!  ")).alias("n"), T.normal_block(F.lit("A-b  Cé!")).alias("b"), T.lines_tidied(F.lit(" a  b \n\n\t\nc")).alias("t")).first()
     assert (r.n, r.b, r.t) == ("a\nb don t!", "a b c", "a b\nc")
+
+
+def test_evidence_of_repeats(spark):
+    part = "the sterile corridor hummed with certainty and fear " * 48
+    rows = frame(spark, f"{part}\n\nchapter break\n\n{part}", words(30))
+    got = detector.window_evidence(rows, detector.window_signals(rows)).orderBy("doc_id", "w", "ord").collect()
+    assert [(r.doc_id, r.w, r.ord, r.summary, r.start_word, r.end_word, r.top) for r in got] == [(0, 0, 1, "exact duplicated paragraph hash", 0, 384, True), (0, 0, 2, "long duplicate span", 0, 384, True)]
+    assert (got[0].other_start, got[0].other_end) == (386, 770)
+    tide = frame(spark, "A slow tide turned under the pale harbor lamps tonight. " * 1500)
+    near = detector.window_evidence(tide, detector.window_signals(tide)).where("w = 0").orderBy("ord").collect()
+    assert [r.summary for r in near] == ["near-duplication with w-002 (jaccard=1.00)", "long duplicate span"] and near[0].other_w == 2 and near[0].other_start == 900
+
+
+def test_model_answers_take_the_place_of_heuristics(spark):
+    rows = frame(spark, "Chapter 1 clue\nDetective work.\nChapter 2 evidence\nMore.\nChapter 3 end\nOver.", "plain text without headers")
+    plain = engine.analyze(rows)
+
+    def model(prompt):
+        if "genre_scores" not in prompt:
+            return '```json\n{"selected_structure": "", "structure_probabilities": {"three act": 3}, "beats": [{"name": "Turn", "start_chapter": 2, "end_chapter": 9, "is_beat": true, "reasoning": ""}]}```'
+        if "More" in prompt:
+            raise ValueError("connection refused")
+        return 'Sure: {"genre_scores": {"Fantasy": 0.9, "Romance": 0.1}, "reasoning": "dragons"}'
+
+    given = {"genre": engine.ask_genres(plain["chapters"], model), "plot": engine.ask_plots(plain, model)}
+    tables = engine.analyze(rows, given=given)
+    top = {(r.doc_id, r.genre): r.rank for r in tables["genres"].collect()}
+    assert top[1, "Fantasy"] == 1 and top[0, "Fantasy"] == 1
+    why = {r.doc_id: r.reasoning for r in tables["genre_reasons"].collect()}
+    assert why[0].split("\n")[0] == "dragons" and "connection refused" in why[0]
+    assert {r.doc_id: r.provider for r in tables["genre_providers"].collect()} == {0: "provider", 1: "provider"}
+    assert {(r.doc_id, r.selected, r.provider) for r in tables["structure"].collect()} == {(0, "Three Act", "provider"), (1, "Three Act", "provider")}
+    assert [(r.name, r.start_chapter, r.end_chapter, r.reasoning) for r in tables["beats"].where("doc_id = 0").collect()] == [("Turn", 2, 3, "Chapter 2 evidence More.")]
+    assert plain["structure"].first().selected == "Save the Cat" and engine.report(rows, tables).count() == 2
+
+
+def test_asking_stops_after_failures_and_timeouts(spark):
+    import time
+
+    rows = spark.createDataFrame([(d, c, "x") for d in (1, 2) for c in range(6)], "doc_id long, chapter int, prompt string").coalesce(1)
+
+    def fails(text):
+        raise ValueError("no such host")
+
+    got = {(r.doc_id, r.chapter): r.error for r in providers.ask(rows, ["doc_id", "chapter"], "prompt", fails, failures=3).collect()}
+    assert all(got[d, c] == ("no such host" if c < 3 else "not asked after failures") for d in (1, 2) for c in range(6))
+    slow = providers.ask(rows.limit(1), ["doc_id", "chapter"], "prompt", lambda t: time.sleep(5), tries=1, seconds=0.2).first()
+    assert slow.error == "timeout after 0.2 s" and scoring_kind(spark, slow.error) == "timeout"
+
+
+def scoring_kind(spark, message):
+    return spark.range(1).select(scoring.tool_error(F.lit(message))).first()[0]
+
+
+def test_http_connectors():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            answer = {"matches": [{}, {}]} if b"language=" in body else {"response": json.loads(body)["prompt"][::-1]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    assert providers.http_model(url, "m")("abc") == "cba"
+    assert providers.http_checker(url)(words(100)) == pytest.approx(1 - 20 / 45)
+    server.shutdown()
+
+
+def test_helpers_of_providers_and_reports(spark, tmp_path):
+    rows = frame(spark, "Chapter 1 clue\nIn 1999 Mary ran.\nChapter 2 evidence\nMore.\nChapter 3 end\nOver.")
+    tables = engine.analyze(rows)
+    prompt = engine.prompt_plots(tables["metrics"], tables["summaries"], tables["timeline"]).first().prompt
+    assert "Chapter 2" in prompt and "1999" in prompt
+    wins = spark.range(100).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("w"))
+    picked = [r.w for r in providers.sampled(wins).orderBy("w").collect()]
+    assert picked == list(range(0, 72, 3)) and [r.w for r in providers.sampled(wins.where("w < 5")).orderBy("w").collect()] == [0, 3, 4]
+    lang = language.language(rows)
+    tool = spark.createDataFrame([(0, 50, 40, 120)], "doc_id long, spelling int, grammar int, readability int")
+    safety = spark.createDataFrame([(0, 10, 20, 30, "")], "doc_id long, profanity int, explicit int, violence int, age string")
+    both, one = language.overlaid(lang, tool, safety).first(), language.overlaid(lang, tool).first()
+    assert (both.spelling, both.grammar, both.readability, both.violence, both.age) == (50, 40, 100, 30, "Unknown") and one.spelling == 50 and one.age == lang.first().age
+    given = spark.createDataFrame([(0, 0, "", 0, 99, True, ""), (0, 1, "End", 7, 2, True, "why")], "doc_id long, beat int, name string, start_chapter int, end_chapter int, is_beat boolean, reasoning string")
+    got = structure.provider_beats(given, tables["chapters"]).orderBy("beat").collect()
+    assert [(r.name, r.start_chapter, r.end_chapter) for r in got] == [("Beat", 1, 3), ("End", 2, 2)] and got[1].reasoning == "why" and got[0].reasoning.startswith("Chapter 1")
+    empty = engine.empty_report(spark).first()
+    assert (empty.title, empty.status, empty.word_count) == ("No Manuscript Loaded", "IDLE", 0)
