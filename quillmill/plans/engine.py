@@ -11,7 +11,7 @@ from ..config import DetectorConfig
 from ..functions import providers
 from ..functions import text as T
 from ..operators import characters, detector, forensics, genre, language, scoring, slop, structure, text, timeline
-from ..operators.text import docs
+from ..operators.text import _D, docs, sql_fields
 
 EMPTY = {"title": "No Manuscript Loaded", "status": "IDLE", "age": "Unknown"}
 
@@ -96,5 +96,20 @@ def manuscript_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("doc_id", "word_count", F.to_json(F.struct(*[c for c in full.columns if c != "doc_id"])).alias("report"))
 
 
-QUERIES = {"manuscript_reports": manuscript_reports}
-ORACLES: dict[str, str] = {}
+def report_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single values of the nested report, taken out of it again."""
+    rows = docs(spark, sf_dir).withColumn("title", F.lit("T"))
+    full = report(rows, analyze(rows))
+    c = F.col
+    return full.select(
+        "doc_id", "word_count", F.coalesce("n_segments", F.lit(0)).alias("n_segments"), c("slop.score").alias("slop_score"), c("slop.n_sentences").alias("n_sentences"), F.round("ai.p_ai_doc", 6).alias("p_ai_doc"), c("ai.n_windows").alias("n_windows"),
+        c("ai.likely_ai").alias("likely_ai"), c("language.spelling").alias("spelling"), c("language.grammar").alias("grammar"), c("structure.selected").alias("structure"), F.size("beats").alias("n_beats"),
+    )
+
+
+QUERIES = {"manuscript_reports": manuscript_reports, "report_scalars": report_scalars}
+ORACLES = {
+    "report_scalars": f"""WITH w AS (SELECT doc_id, len({sql_fields('text')})::INT AS n FROM {_D}), s AS ({slop.sql_slop(_D)}), a AS ({detector.sql_report(_D, DetectorConfig())}), l AS ({language.sql_language(_D)})
+SELECT w.doc_id, n AS word_count, CASE WHEN n = 0 THEN 0 WHEN n <= 1500 THEN 1 ELSE 1 + ceil((n - 1500) / 1300.0)::INT END::INT AS n_segments, s.score AS slop_score, s.n_sentences, a.p_ai_doc, a.n_windows, a.likely_ai, l.spelling, l.grammar, 'Save the Cat' AS structure, 3 AS n_beats
+FROM w JOIN s USING (doc_id) JOIN a USING (doc_id) JOIN l USING (doc_id)"""
+}

@@ -105,10 +105,25 @@ def _sql_noise(x: str) -> str:
     return x
 
 
+_W = T.WIDE
+_HEAD = r"(?i)^#*[ \t]*chapter[ \t]+([0-9ivxlcdm]+)[ \t]*[:\-]?[ \t]*(.*)$"
+SQL_HEADERS = rf"""
+WITH b AS (SELECT doc_id, string_agg('Chapter ' || chapter || ': Untitled' || chr(10) || chr(10) || CASE WHEN chapter % 2 = 0 THEN 'Chapter ' || chapter || ': The day ' || chapter || chr(10) ELSE '' END || text || chr(10) || 'Chapter ' || chapter || ' - Again' || chr(10), chr(10) ORDER BY chapter) AS t FROM {TURNS} GROUP BY doc_id),
+l AS (SELECT doc_id, (i - 1)::INT AS pos, regexp_replace(ls[i], '^{_W}+|{_W}+\z', '', 'g') AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS ls, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM b)),
+p AS (SELECT *, regexp_extract(line, '{_HEAD}', 1) AS number, regexp_replace(regexp_extract(line, '{_HEAD}', 2), '^{_W}+|{_W}+\z', '', 'g') AS title FROM l),
+h AS (SELECT doc_id, pos, number, title, lower(title) IN ('untitled', 'untitled chapter', 'unknown', 'tbd', '', 'chapter ' || lower(number), 'ch ' || lower(number), 'ch. ' || lower(number)) AS generic FROM p WHERE number <> ''),
+k AS (SELECT h.* FROM h WHERE NOT (generic AND EXISTS (SELECT 1 FROM h x WHERE x.doc_id = h.doc_id AND x.pos > h.pos AND x.pos < h.pos + 40 AND NOT x.generic AND lower(x.number) = lower(h.number)
+  AND NOT EXISTS (SELECT 1 FROM h y WHERE y.doc_id = h.doc_id AND y.pos > h.pos AND y.pos < x.pos AND lower(y.number) <> lower(h.number))))),
+u AS (SELECT *, lag(lower(number)) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM k),
+s AS (SELECT doc_id, pos, number, title, generic, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), 2147483647) AS til FROM u WHERE prev IS NULL OR prev <> lower(number)),
+w AS (SELECT doc_id, pos AS wp, regexp_extract_all(regexp_replace(regexp_split_to_array(line, '[.!?]')[1], '^[ \-:\t]+|[ \-:\t]+$', '', 'g'), '[A-Za-z0-9'']+') AS ws FROM p WHERE number = ''),
+d AS (SELECT s.doc_id, s.pos, arg_min(array_to_string(ws[1:8], ' '), wp) AS t FROM s JOIN w ON w.doc_id = s.doc_id AND wp > s.pos AND wp < til AND len(ws) >= 3 WHERE generic GROUP BY s.doc_id, s.pos)
+SELECT s.doc_id, s.pos, number, CASE WHEN generic THEN coalesce(upper(d.t[1:1]) || d.t[2:], 'Chapter ' || number) ELSE title END AS title FROM s LEFT JOIN d ON d.doc_id = s.doc_id AND d.pos = s.pos"""
 _blob = "'" + BLOB.replace("\n", "' || chr(10) || '") + "'"
 QUERIES = {"corpus_scrubbed": corpus_scrubbed, "corpus_headers": corpus_headers, "slug_titles": slugs, "assembled_books": assembled_books}
 ORACLES = {
     "corpus_scrubbed": f"SELECT doc_id, chapter, md5({_sql_noise('text || ' + _blob + ' || text')}) AS text FROM {TURNS}",
     "slug_titles": "WITH s AS (SELECT page_id, trim(replace(regexp_extract(url, '://([^/?#.]*)', 1), '-', ' ')) AS w FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'T' || page_id WHEN w = '' THEN 'Untitled' ELSE upper(w[1:1]) || w[2:] END AS title FROM s",
+    "corpus_headers": SQL_HEADERS,
     "assembled_books": f"SELECT doc_id, md5('Book ' || doc_id || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY chapter)) AS text FROM {TURNS} GROUP BY doc_id",
 }
