@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..operators.text import _D, docs
@@ -69,6 +70,14 @@ def save_tables(entities: DataFrame, contradictions: DataFrame, database: str |
         table.write.mode("overwrite").format("parquet").saveAsTable(prefix + name)
 
 
+def ensure_tables(spark: SparkSession, entities: StructType, contradictions: StructType, database: str | None = None) -> None:
+    """Both tables, empty, where they are not there yet; what is there stays."""
+    prefix = f"{database}." if database else ""
+    for name, schema in (("entities", entities), ("contradictions", contradictions)):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({columns}) USING parquet")
+
+
 def count_rows(spark: SparkSession, table: str) -> int:
     return spark.table(table).count()
 

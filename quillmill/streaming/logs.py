@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,6 +56,22 @@ def clamp_progress(percent: int) -> int:
     return max(0, min(100, percent))
 
 
+class Trace:
+    """What a run tells while it goes on: each step to `notify`(percent, stage, detail), if there is one, and the last TRACES as rows."""
+
+    def __init__(self, notify: Callable[[int, str, str], None] | None = None):
+        self.notify, self.entries = notify, deque(maxlen=TRACES)
+
+    def __call__(self, percent: int, stage: str, detail: str = "") -> None:
+        self.entries.append((time.strftime("%H:%M:%S"), "INFO", stage, f"{clamp_progress(percent)} %", detail))
+        if self.notify:
+            self.notify(clamp_progress(percent), stage, detail)
+
+    def lines(self, spark: SparkSession) -> DataFrame:
+        """The entries as log lines."""
+        return spark.createDataFrame(list(self.entries), ", ".join(f"{k} string" for k in KEYS))
+
+
 def watch(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame, int], None]):
     """Extension: new text files in a folder become manuscripts(doc_id, title, lang, text), batch by batch; started, not awaited."""
     files = spark.readStream.format("text").option("wholetext", True).load(folder)

@@ -246,3 +246,42 @@ def test_helpers_of_providers_and_reports(spark, tmp_path):
     assert [(r.name, r.start_chapter, r.end_chapter) for r in got] == [("Beat", 1, 3), ("End", 2, 2)] and got[1].reasoning == "why" and got[0].reasoning.startswith("Chapter 1")
     empty = engine.empty_report(spark).first()
     assert (empty.title, empty.status, empty.word_count) == ("No Manuscript Loaded", "IDLE", 0)
+
+
+def test_saved_tables_and_traces(spark, tmp_path):
+    told = []
+    trace = logs.Trace(lambda percent, stage, detail: told.append((percent, stage)))
+    rows = frame(spark, "Chapter 1 a\nx.\nChapter 2 b\ny.\nChapter 3 c\nz.")
+    tables = engine.analyze(rows)
+    saved = engine.save({k: tables[k] for k in ("chapters", "slop")}, str(tmp_path), trace)
+    assert saved["chapters"].count() == 3 and saved["slop"].first().n_words == tables["slop"].first().n_words
+    assert told == [(0, "chapters"), (50, "slop"), (100, "done")] and trace.lines(spark).count() == 3
+    for i in range(500):
+        trace(i, "more")
+    assert len(trace.entries) == logs.TRACES and told[-1][0] == 100
+
+
+def test_tables_are_made_once(spark):
+    kinds = (spark.createDataFrame([], "entity_id string, name string").schema, spark.createDataFrame([], "entity_id string, severity string").schema)
+    workspace.ensure_tables(spark, *kinds)
+    spark.createDataFrame([("a", "b")], kinds[0]).write.mode("append").format("parquet").saveAsTable("entities")
+    workspace.ensure_tables(spark, *kinds)
+    assert workspace.count_rows(spark, "entities") == 1 and workspace.count_rows(spark, "contradictions") == 0
+    spark.sql("DROP TABLE entities")
+    spark.sql("DROP TABLE contradictions")
+
+
+def test_chapter_files_snapshots_and_streams(spark, tmp_path):
+    folder = tmp_path / "books" / "tide_chapters"
+    folder.mkdir(parents=True)
+    for i in (1, 2):
+        (folder / f"chapter_00{i}.txt").write_text(f"text {i}")
+    assert [(r.book, r.chapter, r.text) for r in ingest.read_chapters(spark, str(tmp_path / "books")).orderBy("chapter").collect()] == [("tide", 1, "text 1"), ("tide", 2, "text 2")]
+    path = workspace.save_snapshot(spark.createDataFrame([(1, "x")], "doc_id long, title string"), str(tmp_path), "20260101-000000", "Run 7", "Save As")
+    assert path.endswith("20260101-000000_run-7_save-as") and spark.read.json(path).count() == 1
+    line = lambda s: ("2026-01-01 00:00:00", "t", "INFO", "s", s, "")
+    spark.createDataFrame([line("a"), line("a"), line("b")], "ts string, time string, level string, stage string, message string, detail string").selectExpr("cast(ts AS timestamp) AS ts", "time", "level", "stage", "message", "detail").write.parquet(str(tmp_path / "lines"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "lines")).schema).parquet(str(tmp_path / "lines"))
+    query = logs.merged_stream(stream).writeStream.format("memory").queryName("merged_lines").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert sorted(r.message for r in spark.table("merged_lines").collect()) == ["a", "b"]
