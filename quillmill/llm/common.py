@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,20 +43,46 @@ def tidy() -> None:
         trim(0)
 
 
+#: Paths that are still there, by path, with what it takes to remove them.
+_scratch: dict[str, tuple] = {}
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    path = shared_dir(df.sparkSession)
+    """Write `df` as Parquet into the shared folder and read it back: lineage ends there, and lost executors cost nothing.
+
+    The table is removed by discard(), or when the driver's Python ends.
+    """
+    path = scratch(df.sparkSession)
     df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.scratch = path
     return table
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new shared_dir() whose files go when the driver's Python ends."""
+    path = shared_dir(spark)
+    _scratch[path] = (spark._jvm, spark._jsc.hadoopConfiguration())
+    return path
+
+
+def _remove(path: str, jvm, conf) -> None:
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
 def discard(table: DataFrame) -> None:
     """Remove the files of a written() table that nothing will read again."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(table.scratch, *_scratch.pop(table.scratch))
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, kept in _scratch.items():
+        try:
+            _remove(path, *kept)
+        except (Py4JError, OSError):  # the JVM has ended before
+            return
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

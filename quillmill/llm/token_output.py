@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import documents, partitions, shared_dir
+from .common import documents, partitions, scratch
 from .tokens import SLICE_BYTES, encoder, slices
 
 VOCABULARY, END_ID, FRAME_IDS = "byte_bpe_50k.json", 0, 4_000_000
@@ -104,7 +104,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark)
+    path = scratch(spark)
     write_ids(documents(spark, sf_dir), path, public_tokenizers.path(VOCABULARY))
     return read_ids(spark, path, with_ids=False)
 
