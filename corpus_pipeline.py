@@ -1,7 +1,12 @@
 """The corpus pipeline: raw documents to packed windows of token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its result is written as Parquet and read
-again. All but the last return the columns of documents.
+again, and removed once the next one is written. All but the last return the columns of documents, further ones too, whatever
+their names.
+
+Defined cases: null and empty texts have no words and fail the quality rules; very long texts: as any other; of repeated rows, and
+of near copies, one stays; null doc_id: a row like others; null source: a source of its own; ties: by doc_id, then by the hash of
+the text; empty table: no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import mixing, near_dedup, packing, pii, quality
-from quillmill.llm.common import documents, written
+from quillmill.llm.common import discard, documents, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,5 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if hasattr(before, "scratch"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
