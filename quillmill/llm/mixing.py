@@ -8,6 +8,9 @@ target. Serving copies by finish time keeps every source at its share, and the t
 No source is a task of its own. A source's line is cut into `2 ** bucket_bits` buckets by hash, sums per (source, bucket) are
 pre-aggregated, and only these small sums are put in order per source; rows are ordered per (source, bucket).
 
+`targets` puts a row per source in order in one task: sources are few against documents, and a row is three numbers. All is lazy but
+the table of sizes that op7 writes first.
+
 Defined cases: null source: a source of its own, last in order; null or empty text: size 0, never taken; empty table: no rows;
 rows with the same doc_id are rows of their own, in order of size; very long texts: as any other, cut by words where the budget
 ends. Further columns are carried: `schedule` puts its own in the place of columns of the same names, `mixture` keeps those of the

@@ -17,8 +17,11 @@
    and are compared on full sets alone.
 6. Components of the confirmed links are the groups.
 
+Everything up to the components is made by jobs at once, for each step's size decides how the next is dealt; the join of labels is lazy.
+
 Defined cases: fewer than five words: one shingle of them all; no words or null text: empty set, linked with nothing; null doc_id:
-takes part, but names a component only if all are null; repeated rows: same class; empty table: no rows.
+takes part, but names a component only if all are null; repeated rows: same class; very long texts: as any other; empty table: no
+rows; `deduplicate` carries further columns, whatever their names.
 """
 
 from __future__ import annotations

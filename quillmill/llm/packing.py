@@ -7,8 +7,10 @@ shuffled, and only the last window has padding.
 
 The order of documents is that of the input's splits and rows, and is pinned by the table that the first pass writes.
 
-Defined cases: null or empty text: the end id alone; null or repeated doc_id: rows are packed one by one; empty table: no
-pieces; further columns are not carried.
+The first pass is a job at once, the second is lazy.
+
+Defined cases: null or empty text: the end id alone; null or repeated doc_id: rows are packed one by one; very long texts: as many
+pieces as they need; empty table: no pieces; further columns are not carried.
 """
 
 from __future__ import annotations

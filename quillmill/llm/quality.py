@@ -11,6 +11,8 @@ of its words, is depleted and rejected.
 The host of a document is its source. Counts are pre-aggregated; lines travel as (host, hash), once to be counted and once to
 meet the frequent ones, which are few: a broadcast up to `BROADCAST_LINES` of them (16 MB), a shuffled join beyond.
 
+Measures and frequent lines are made by jobs at once, the verdicts are lazy.
+
 Defined cases: null or empty text: no words, fails the base rules; null source: a host of its own; repeated rows: a row each;
 lines without a word: never counted or removed; very long texts: as any other; empty table: no rows; further columns are carried
 by `clean`, whatever their names.
