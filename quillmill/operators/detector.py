@@ -54,12 +54,23 @@ def style_of_text(t: Column) -> Column:
 
 
 def polish(words: Column, intensifiers=INTENSIFIERS, frames=FRAMES) -> Column:
-    """Intensifiers per 1,000 words and stock phrases per 1,000 sentences; a window is one sentence."""
-    n = F.size(words)
-    dense = F.size(F.filter(words, lambda w: w.isin(*intensifiers))) / F.greatest(n, F.lit(1)) * 1000.0
-    joined = F.array_join(words, " ")
-    hits = sum((T.count_all(joined, T.EDGE + f + T.EDGE) for f in frames), F.lit(0))
-    return F.when(n == 0, F.lit(0.0)).otherwise(T.clamp(0.6 * T.clamp(dense / 22.0) + 0.4 * T.clamp(hits * 1000.0 / 45.0)))
+    """Intensifiers per 1,000 words and stock phrases per 1,000 sentences; a window is one sentence, its words hold letters and digits only."""
+
+    def score(ws: Column) -> Column:
+        n = F.size(ws)
+        dense = F.size(F.filter(ws, lambda w: w.isin(*intensifiers))) / F.greatest(n, F.lit(1)) * 1000.0
+        hits = sum((F.size(F.filter(ws, lambda w, i: _follow(ws, w, i, f.split()))) for f in frames), F.lit(0))
+        return F.when(n == 0, F.lit(0.0)).otherwise(T.clamp(0.6 * T.clamp(dense / 22.0) + 0.4 * T.clamp(hits * 1000.0 / 45.0)))
+
+    return T.let(words, score)
+
+
+def _follow(words: Column, word: Column, i: Column, phrase: list[str]) -> Column:
+    """Whether a phrase begins at place i."""
+    there = word == phrase[0]
+    for k, p in enumerate(phrase[1:], 1):
+        there = there & F.coalesce(F.get(words, i + k) == p, F.lit(False))
+    return there
 
 
 def paragraphs(rows: DataFrame, least: int = PARAGRAPH) -> DataFrame:
@@ -95,14 +106,18 @@ def window_overlap(rows: DataFrame, size: int, stride: int, n: int = 10) -> Data
     n-grams is known by its key; of its windows the first four are enough, for at most three lie too near to any one.
     """
     # what a lambda names must be bound by let(): the optimiser writes a column's expression into it, to be evaluated for each element
-    whole = F.struct(F.size("words").alias("total"), T.gram_hashes(F.col("words"), n).alias("all"))
-    own = lambda d, b: F.slice(d["all"], b + 1, F.greatest(F.least(F.lit(size), d["total"] - b) - n + 1, F.lit(0)))
-    none = F.array().cast("array<array<bigint>>")
-    held = T.let(whole, lambda d: F.when(d["total"] > size + stride, F.transform(T.starts(d["total"], size, stride), lambda b: F.sort_array(F.array_distinct(own(d, b))))).otherwise(none))
-    keyed = T.let(held, lambda h: F.struct(h.alias("held"), F.transform(h, lambda x: F.xxhash64(x)).alias("keys")))
-    sized = T.let(held, lambda h: F.transform(h, lambda x: F.struct(F.xxhash64(x).alias("key"), F.size(x).alias("size"))))
+    whole = F.when(F.size("words") > size + stride, F.struct(F.size("words").alias("total"), T.gram_hashes(F.col("words"), n).alias("all")))
+    own = lambda d, b: F.sort_array(F.array_distinct(F.slice(d["all"], b + 1, F.greatest(F.least(F.lit(size), d["total"] - b) - n + 1, F.lit(0)))))
+    each = lambda d, f: F.transform(T.starts(d["total"], size, stride), lambda b: T.let(own(d, b), f))
+    sized = T.let(whole, lambda d: F.when(d.isNotNull(), each(d, lambda h: F.struct(F.xxhash64(h).alias("key"), F.size(h).alias("size")))))
     placed = rows.select("doc_id", F.posexplode_outer(sized).alias("w", "x")).select("doc_id", "w", "x.key", "x.size").where("size > 0")
-    firsts = T.let(keyed, lambda f: F.filter(F.transform(f["held"], lambda h, i: F.struct(f["keys"][i].alias("key"), h.alias("grams"), i.alias("i"))), lambda x: F.array_position(f["keys"], x["key"]) == x["i"] + 1))
+    if 2 * stride > size - n:  # windows two apart have no place in common, so what they share stands twice in the text
+        twice = lambda d: T.let(F.sort_array(d["all"]), lambda o: F.array_distinct(F.filter(o, lambda x, i: x == F.get(o, i + 1))))
+        held = lambda d: T.let(twice(d), lambda t: each(d, lambda h: F.struct(F.xxhash64(h).alias("key"), F.array_intersect(h, t).alias("grams"))))
+    else:
+        held = lambda d: each(d, lambda h: F.struct(F.xxhash64(h).alias("key"), h.alias("grams")))
+    first = lambda h: F.filter(h, lambda x, i: (F.size(x["grams"]) > 0) & (F.array_position(h["key"], x["key"]) == i + 1))
+    firsts = T.let(whole, lambda d: F.when(d.isNotNull(), T.let(held(d), first)))
     grams = rows.select("doc_id", F.explode_outer(firsts).alias("x")).select("doc_id", "x.key", F.explode_outer("x.grams").alias("gram")).where("gram IS NOT NULL")
     classes = placed.groupBy("doc_id", "key").agg(F.first("size").alias("size"), F.slice(F.sort_array(F.collect_list("w")), 1, 4).alias("firsts"))
     shared = grams.groupBy("doc_id", "gram").agg(F.sort_array(F.collect_list("key")).alias("keys")).where("size(keys) > 1").groupBy("doc_id", "keys").agg(F.count("*").alias("n"))
