@@ -6,8 +6,10 @@ part, frame, first row in the part, doc_ids and counts of its documents, and the
 frames in any order; where each begins follows from the counts of ids in the frames before it, a table as small as the number
 of frames.
 
+write_ids is a job at once; read_ids is lazy.
+
 Defined cases: null or empty text: the end id alone; null doc_id: first in order; repeated rows: a record each, in order of
-text; empty table: no frames; further columns are left out of the files.
+text; very long texts: a frame of their own; empty table: no frames; further columns are left out of the files.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def frames(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(row, kinds)], names=["part", "frame", "n_ids", "doc_ids", "counts", "blocks"])
 
         for batch in batches:
-            for some in slices(batch, size=2 * SLICE_BYTES):
+            for some in slices(batch, size=8 * SLICE_BYTES):
                 v, o = with_end(*encoder(vocabulary).ids(some.column("text")), end_id)
                 ids.append(some.column("doc_id").to_pylist())
                 values.append(v)

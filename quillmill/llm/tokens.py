@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are encoded in one go, and rows at most; chunks to a call.
-SLICE_BYTES, SLICE_ROWS, CALL = 8 << 20, 16000, 50
+#: Bytes of text that are encoded in one go, and rows at most; chunks to a call. A worker needs about twenty times a slice's bytes.
+SLICE_BYTES, SLICE_ROWS, CALL = 2 << 20, 16000, 50
 #: Texts that are encoded whole, for RE2: long runs of white space, runs of two at the end, white space beyond ASCII.
 WHOLE = r"\x00|[\t-\r ]{3}|[\t-\r ]{2}\z|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Letters that stay as they are under normalisation, and are lowered alike everywhere; punctuation is one piece of its own.
@@ -60,12 +60,12 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.tokenizer, self.bare):
-            t.encode_special_tokens = True
-        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         size = self.tokenizer.get_vocab_size()
         assert size <= 1 << 16
         self.keeps_space = self._one(" a") != self._one("a")
