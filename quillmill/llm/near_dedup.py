@@ -41,6 +41,8 @@ from .components import components
 #: PERCENT is the limit of op4, STAGE_PERCENT that of the pipeline's stage; all functions take either.
 SHINGLE, PERCENT, STAGE_PERCENT = 5, 85, 80
 COORDINATES, TREES, LEVELS, MEET, SMALL = 64, 12, 3, 1.2325, 256
+#: Sets that a set below COORDINATES shingles can be linked with at 80 percent have no more than SHORT.
+SHORT = 100 * (COORDINATES - 1) // 80
 BLOCK, ANCHORS, NODE_BLOCK, BROADCAST_MEMBERS, BROADCAST_NODES = 1000, 4, 20_000, 2_000_000, 100_000
 U = np.uint64
 MASK48 = U((1 << 48) - 1)
@@ -112,8 +114,12 @@ def text_key() -> Column:
     return F.xxhash64(text_or_empty())
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text_key, n_shingles, sid (class of equal sets; null if empty), sig, hashes."""
+def sets(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text_key, n_shingles, sid (class of equal sets; null if empty), sig, hashes.
+
+    Hashes are kept for sets of up to `SHORT` shingles only, unless the whole ones are asked for: they are the bulk, and needed
+    again for few documents, whose texts are then read once more.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +127,8 @@ def sets(docs: DataFrame) -> DataFrame:
                 some = batch.slice(at, 1000)
                 found = [shingles(t) for t in some.column("text").to_pylist()]
                 raw = [pack(h) if len(h) else None for h in found]
-                columns = [some.column("doc_id").cast(pa.int64()), some.column("text_key"), pa.array([len(h) for h in found], pa.int64()), pa.array([r and xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], pa.int64()), pa.array([signature(h).tobytes() if len(h) else None for h in found], pa.binary()), pa.array(raw, pa.binary())]
+                kept = [r if r and (whole or len(h) <= SHORT) else None for r, h in zip(raw, found)]
+                columns = [some.column("doc_id").cast(pa.int64()), some.column("text_key"), pa.array([len(h) for h in found], pa.int64()), pa.array([r and xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw], pa.int64()), pa.array([signature(h).tobytes() if len(h) else None for h in found], pa.binary()), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "sid", "sig", "hashes"])
         tidy()
 
@@ -316,6 +323,7 @@ def short_edges(table: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "token"])
 
     least = 100 * (COORDINATES - 1) // percent
+    assert least <= SHORT, "hashes of longer sets are not kept"
     own = table.where(F.col("sid").isNotNull() & (F.col("n_shingles") <= least)).select("sid", "hashes").mapInArrow(task, "sid long, n long, token long")
     own = written(own.distinct())
     held = own.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
@@ -372,8 +380,8 @@ def confirmed(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return members.groupBy(*keys).applyInPandas(group, "a long, b long")
 
 
-def links(table: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """sets() rows -> confirmed links (a, b) between classes that join each component."""
+def links(table: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """sets() rows, and the documents they are of -> confirmed links (a, b) between classes that join each component."""
     classes = table.where("sid IS NOT NULL").groupBy("sid").agg(F.first("sig").alias("sig"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("least"))
     classes = written(classes)
     met = written(shared_nodes(nodes(classes, percent), NODE_BLOCK))
@@ -397,8 +405,11 @@ def links(table: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = placed.join(classes.select("sid", "least"), "sid").select("sid", F.col("least").alias("doc_key"), "cluster", "block", "blocks")
     n_wanted = clusters.count()
     wanted = F.broadcast(wanted) if n_wanted <= BROADCAST_MEMBERS else wanted
-    full = table.where("sid IS NOT NULL").select("sid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_key"), "sig", "hashes")
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    asked = docs.select("doc_id", "text").withColumn("doc_key", key).join(wanted.select("doc_key").distinct() if n_wanted > BROADCAST_MEMBERS else F.broadcast(wanted.select("doc_key").distinct()), "doc_key", "left_semi")
+    full = sets(asked, whole=True).where("sid IS NOT NULL").select("sid", key.alias("doc_key"), "sig", "hashes")
     members = written(full.join(wanted, ["sid", "doc_key"]).dropDuplicates(["sid"]).withColumn("outside", F.lit(None).cast("boolean")))
+    discard(edges)
 
     large = members.where("blocks > 1")
     anchors = large.where(F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(BLOCK)) < ANCHORS)  # about ANCHORS to a block's worth, spread over all blocks below
@@ -425,13 +436,13 @@ def links(table: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text_key, n_shingles, component_id, kept, sid, root: one row per document."""
-    return grouped(written(sets(docs)), percent)
+    return grouped(written(sets(docs)), docs, percent)
 
 
-def grouped(table: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The same from a written sets() table."""
+def grouped(table: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The same from a written sets() table of the documents."""
     classes = table.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    roots = components(links(table, percent)).withColumnRenamed("node", "sid")
+    roots = components(links(table, docs, percent)).withColumnRenamed("node", "sid")
     own = classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = own.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = own.select("sid", "root").join(named, "root").select("sid", "root", "component_id")
@@ -446,7 +457,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A row is known by doc_id and text; of a surviving row that is repeated one stays. Which rows stay is written, and the sets, the bulk of what this leaves in the shared folder, are removed at once.
     """
     table = written(sets(docs))
-    marks = grouped(table, percent)
+    marks = grouped(table, docs, percent)
     rows = marks.where("sid IS NOT NULL").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("times"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("times"))
     named = rows.groupBy("root").agg(F.min(first).alias("s")).select(F.col("s.doc_id").alias("_stay_id"), F.col("s.text_key").alias("_stay_key"), F.col("s.times").alias("_times"))

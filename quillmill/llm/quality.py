@@ -117,18 +117,20 @@ def host():
 def frequent_lines(table: DataFrame, docs: DataFrame | None = None, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(host, hash) of the lines in more than min_documents distinct documents of their host; without `docs` every distinct text is one."""
     real = F.array_distinct(F.filter("line_hash", lambda h: h != 0))
-    lines = table.select("host", "text_key", F.explode(real).alias("hash")).distinct()
+    lines = table.select("host", "text_key", F.explode(real).alias("hash"))
 
     def above(rows: DataFrame) -> DataFrame:
         return rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > min_documents).select("host", "hash")
 
-    suspects = above(lines)
-    if docs is None:
+    # rows first, which are pre-aggregated; only lines above the limit by rows are then counted by distinct texts
+    often = written(above(lines))
+    n = often.count()
+    held = written(lines.join(F.broadcast(often) if n <= BROADCAST_LINES else often, ["host", "hash"]).distinct())
+    discard(often)
+    suspects = written(above(held))
+    if docs is None or not (n := suspects.count()):
         return suspects
-    suspects = written(suspects)
-    if not (n := suspects.count()):
-        return suspects
-    held = written(lines.join(F.broadcast(suspects) if n <= BROADCAST_LINES else suspects, ["host", "hash"]))
+    held = held.join(F.broadcast(suspects) if n <= BROADCAST_LINES else suspects, ["host", "hash"])
     originals = held.join(copies(table, held, docs), "text_key").select("host", "hash", "original").distinct()
     return above(originals)
 
@@ -139,8 +141,9 @@ def copies(table: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
     rows = written(table.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.min("doc_id").alias("row_id")))
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_LINES else rows
     texts = docs.select("doc_id", "text", text_key().alias("text_key")).join(rows, "text_key").where(F.col("doc_id").eqNullSafe(F.col("row_id")))
-    sets = written(near_dedup.sets(texts.select(F.col("text_key").alias("doc_id"), "text")))
-    groups = written(near_dedup.grouped(sets, near_dedup.STAGE_PERCENT).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("original")).distinct())
+    texts = texts.select(F.col("text_key").alias("doc_id"), "text")
+    sets = written(near_dedup.sets(texts))
+    groups = written(near_dedup.grouped(sets, texts, near_dedup.STAGE_PERCENT).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("original")).distinct())
     discard(sets)
     return groups
 
