@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, resampling, sharding, token_output, urls
+from . import ann, exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, resampling, sharding, spelling, token_output, urls
 
-MODULES = [token_output, packing, licenses, near_dedup, pii, sharding, mixing, urls, ann, quality, exact_dedup, resampling]
+MODULES = [token_output, packing, licenses, near_dedup, pii, sharding, mixing, urls, ann, quality, exact_dedup, resampling, spelling]
 
 
 def queries() -> dict:
