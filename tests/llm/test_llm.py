@@ -300,7 +300,7 @@ def test_nearest_neighbours(spark):
         d = np.sqrt(((x.astype("f8") - x[q].astype("f8")) ** 2).sum(1))
         want = [i for i in np.lexsort((np.arange(1500), d)) if i != q][:10]
         own = sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == q)
-        assert [k for k, *_ in own] == list(range(1, 11)) and all(abs(d[i] - s) < 1e-9 for _, i, s in own)
+        assert [k for k, *_ in own] == list(range(1, 14)) and all(abs(d[i] - s) < 1e-9 for _, i, s in own)
         hits += len({i for _, i, _ in own} & set(want))
         if q == 200:
             assert [i for _, i, _ in own] == want
@@ -369,5 +369,5 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
 
 def test_registry_has_one_query_per_operator():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
