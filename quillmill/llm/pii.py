@@ -42,14 +42,14 @@ PATTERNS = {
 CONTEXT, SAMPLE, PRECISION, SEED = 24, 6000, 0.95, 7
 #: Share of real ones among what the generators propose in ordinary texts; made cases are half real, so false ones weigh more.
 PRIOR = 0.2
-#: kind -> (substrings of which a text holds one where the kind can occur, generator); an empty one asks for a digit
+#: kind -> (substrings of which a text, lowered, holds one where the kind can occur, generator); an empty one asks for a digit
 CANDIDATES = {
     "account": (("",), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "address": (("dot",), rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++ ?[\[(]?at[\])]? ?[A-Za-z0-9-]{{1,63}} ?[\[(]?dot[\])]? ?[a-z]{{2,10}}(?![A-Za-z])"),
+    "address": (("dot",), rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++ ?[\[(]?(?i:at)[\])]? ?[A-Za-z0-9-]{{1,63}} ?[\[(]?(?i:dot)[\])]? ?[A-Za-z]{{2,10}}(?![A-Za-z])"),
     "hardware": ((":",), r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])"),
-    "ipv6": ((":",), r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Fa-f:])"),
+    "ipv6": ((":",), r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})?)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Fa-f:])"),
     "national": (("",), r"(?<![A-Za-z0-9+])[(]?0?[0-9]{2,4}[)]?[ .-][0-9]{3,4}[ .-]?[0-9]{3,5}(?![A-Za-z0-9])"),
-    "password": (("pass", "Pass", "PASS", "pwd", "PWD"), r"(?<=[=:\" ])(?<=(?i:pass(?:word|wd|phrase)|pwd)[\"]?[ ]{0,2}[=:][ ]{0,2}[\"]?)[^\s\",;<>=:]{6,}+"),
+    "password": (("pass", "pwd", "secret"), r"(?<=[=:\" ])(?<=(?i:pass(?:word|wd|phrase|code)?|pwd|secret)[\"]?[ ]{0,2}[=:][ ]{0,2}[\"]?)[^\s\",;<>=:]{6,}+"),
     "secret": ((), r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_])"),
     "social": (("-",), r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
 }
@@ -60,7 +60,7 @@ CUES = {
     "hardware": "mac|hwaddr|ether|device",
     "ipv6": "ip|address|host|inet|from",
     "national": "phone|tel|call|mobile|fax|cell|contact",
-    "password": "pass|pwd",
+    "password": "pass|pwd|secret",
     "secret": "token|secret|key|password|passwd|pwd|api|bearer|auth|credential",
     "social": "ssn|social|security|taxpayer",
 }
@@ -87,7 +87,7 @@ def _case(r: random.Random, kind: str, real: bool) -> tuple[str, str, str]:
     elif kind == "hardware":
         value, told = (":".join(hexes(2) for _ in range(6)) if real else ":".join(d(2) for _ in range(6))), r.random() < (0.7 if real else 0.05)
     elif kind == "ipv6":
-        value = r.choice([":".join(hexes(4) for _ in range(8)), ":".join(hexes(r.randint(1, 4)) for _ in range(r.randint(4, 8)))]) if real else r.choice([":".join(d(2) for _ in range(4)), ":".join(d(r.randint(1, 4)) for _ in range(5))])
+        value = r.choice([":".join(hexes(4) for _ in range(8)), ":".join(hexes(r.randint(1, 4)) for _ in range(r.randint(4, 8))), "fe80::" + hexes(r.randint(1, 4)), ":".join(hexes(4) for _ in range(2)) + "::" + ":".join(hexes(4) for _ in range(r.randint(1, 3)))]) if real else r.choice([hexes(1, "abcdef") + "::", "::" + hexes(r.randint(1, 2), "abcdef"),":".join(d(2) for _ in range(4)), ":".join(d(r.randint(1, 4)) for _ in range(5))])
         told = r.random() < (0.6 if real else 0.05)
     elif kind == "national":
         value = r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(3)} {d(4)}"]) if real else r.choice([f"{d(4)}-{d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{d(4)}.{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(4)} {d(4)}"])
@@ -102,7 +102,7 @@ def _case(r: random.Random, kind: str, real: bool) -> tuple[str, str, str]:
     else:
         value, told = f"{d(3)}-{d(2)}-{d(4)}", r.random() < (0.9 if real else 0.005)
     if kind == "password":
-        return words(3) + " " + r.choice(["password", "passwd", "pwd"]) + r.choice([": ", "=", " = ", ':"', '="']), value, r.choice([" ", ",", '"', "\n"]) + words(1)
+        return words(3) + " " + r.choice(["password", "passwd", "pwd", "Password", "Pwd", "pass", "secret"]) + r.choice([": ", "=", " = ", ':"', '="']), value, r.choice([" ", ",", '"', "\n"]) + words(1)
     joint = r.choice([": ", " = ", '="', " ", "=", " is "]) if told else " "
     return words(3) + " " + (cue if told else "") + joint, value, r.choice([" ", ".", ",", '"', "\n"]) + words(1)
 
@@ -150,12 +150,12 @@ def calibrated(odds: np.ndarray, truth: np.ndarray) -> float:
 # --- expressions ----------------------------------------------------------------------------------------------------------
 
 
-def _matches(gates: tuple[str, ...], pattern: str) -> str:
-    """Spans of a pattern in the body, looked for only where one of the gates' substrings is there."""
+def _matches(gates: tuple[str, ...], pattern: str, text: str = "_pii_body") -> str:
+    """Spans of a pattern in the body, looked for only where `text`, the body or its lowered form, holds one of the gates' substrings."""
     found = matches("_pii_body", f"r'{pattern}'", CONTEXT)
     if not gates:
         return found
-    there = " or ".join(f"contains(_pii_body, '{g}')" if g else "_pii_digit" for g in gates)
+    there = " or ".join(f"contains({text}, '{g}')" if g else "_pii_digit" for g in gates)
     return f"if({there}, {found}, cast(array() as array<struct<start:int,stop:int,value:string,before:string,after:string>>))"
 
 
@@ -193,7 +193,7 @@ def _candidates(kind: str, order: int) -> str:
         "touches": "int(right(s.before, 1) rlike '[0-9A-Za-z]' or s.after rlike '[0-9A-Za-z]')",
     }
     shape = ", ".join(f"'{n}', double({values[n]})" for n in FEATURES)
-    return f"transform({_matches(*CANDIDATES[kind])}, s -> named_struct('start', s.start, 'place', {order}, 'stop', s.stop, 'name', '{kind}', 'f', named_struct({shape})))"
+    return f"transform({_matches(*CANDIDATES[kind], '_pii_low')}, s -> named_struct('start', s.start, 'place', {order}, 'stop', s.stop, 'name', '{kind}', 'f', named_struct({shape})))"
 
 
 SPAN = "struct<start:int,place:int,stop:int,kind:string>"
@@ -202,7 +202,7 @@ SPAN = "struct<start:int,place:int,stop:int,kind:string>"
 def _found(docs: DataFrame) -> DataFrame:
     """docs + _pii_base and _pii_chosen: arrays of spans (start, place of the kind, stop, kind), in order of start, then kind."""
     trees, limits = model()
-    rows = docs.withColumn("_pii_body", text_or_empty()).withColumn("_pii_digit", F.col("_pii_body").rlike("[0-9]"))
+    rows = docs.withColumn("_pii_body", text_or_empty()).withColumn("_pii_digit", F.col("_pii_body").rlike("[0-9]")).withColumn("_pii_low", F.lower("_pii_body"))
     for kind, (gates, pattern) in PATTERNS.items():
         rows = rows.withColumn(f"_pii_{kind}", F.expr(_matches(gates, pattern)))
     rows = rows.withColumn("_pii_base", F.expr(f"array_sort(concat({', '.join(_spans(k, i) for i, k in enumerate(BASE))}))"))

@@ -5,6 +5,8 @@ ids wherever they stand. Texts are cut there, a slice's distinct chunks are enco
 gathered by chunk number. Chunks of plain letters, with or without a run of punctuation behind them, need no normaliser and no
 splitting by regular expression: they go to a tokenizer of the same vocabulary without these, many to a call. All other chunks go
 to the full tokenizer. Texts in which runs of white space could make a piece reach over a cut are encoded whole.
+The vocabulary's added tokens (`<|endoftext|>` and the like) are one id each where a text holds them, as the library has it: a text
+is cut around them first. So a text can hold the end id that separates documents; counts, not ids, tell where documents end.
 
 Nothing is remembered between slices, so a worker holds one slice and its ids.
 """
@@ -12,7 +14,8 @@ Nothing is remembered between slices, so a worker holds one slice and its ids.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +66,10 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # added tokens stand for themselves wherever a text holds them; what stands between is encoded on its own
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        assert not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.around = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         size = self.tokenizer.get_vocab_size()
@@ -138,6 +144,20 @@ class Encoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's ids begin and the last ends); null is an empty text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        values, offsets = self._between(texts)
+        holds = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        return self._with(values, offsets, np.flatnonzero(holds), lambda i: self._around(texts[i].as_py())) if holds.any() else (values, offsets)
+
+    def _around(self, text: str) -> np.ndarray:
+        """The ids of a text that holds added tokens."""
+        pieces = self.around.split(text)
+        values, offsets = self._between(pa.array(pieces[::2], pa.large_string()))
+        return np.insert(values, offsets[1:-1], [self.added[t] for t in pieces[1::2]]).astype("<u2")
+
+    def _between(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids() of texts without added tokens."""
         if self.keeps_space:
             whole = pc.match_substring_regex(texts, WHOLE)
             cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n")
@@ -155,11 +175,13 @@ class Encoder:
         at = np.arange(ends[-1], dtype=kind) + np.repeat((first[codes] - ends[:-1]).astype(kind), per_chunk)
         values, offsets = table[at], ends[bounds - bounds[0]]
         if whole is not None and pc.any(whole).as_py():
-            values, offsets = self._with_whole(texts, whole.to_numpy(zero_copy_only=False), values, offsets)
+            rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+            values, offsets = self._with(values, offsets, rows, lambda i: np.array(self._one(texts[i].as_py()), dtype="<u2"))
         return values, offsets
 
-    def _with_whole(self, texts: pa.Array, whole: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _with(self, values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, ids: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """values and offsets with other ids for some rows."""
         parts = [values[a:b] for a, b in zip(offsets, offsets[1:])]
-        for i in np.flatnonzero(whole):
-            parts[i] = np.array(self._one(texts[int(i)].as_py()), dtype="<u2")
+        for i in rows.tolist():
+            parts[i] = ids(i)
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
