@@ -1,16 +1,16 @@
 """An adaptive context-mixing range coder for token ids, many blocks in step.
 
-A frame holds the ids of whole documents, cut into blocks of equal length. Each block is coded on its own: it starts with a
-fresh model and a fresh coder and carries a CRC-32 of its ids, so one damaged block harms no other. For an id, three predictions
-share the coder's interval of 2**24:
+A frame holds the ids of whole documents, cut into blocks of equal length. Each block is coded on its own: it starts with a fresh coder
+and a model reset to the frame's header, and carries a CRC-32 of its ids, so one damaged block harms no other. Three predictions are mixed:
 
-* order 2: the id that last followed the two ids before it;
-* order 1: the id that last followed the id before it;
-* order 0: classes of ids by adaptive counts, even within a class (lower ids, which merges made earlier, have smaller classes).
+* order 0: the distribution of all ids of the frame, from the header (frequencies of 2**16 in all);
+* order 1: the id that followed the id before it when the block last saw that; at first the frame's most frequent one, from the header;
+* order 2: the id that followed the two ids before it.
 
-The interval is dealt out in 256 slots: the shares of orders 2 and 1 follow how often each has lately been right in the block, the
-classes share the rest by their counts. Shares are dealt anew after 8, 16 and 32 ids and then every `REBUILD`. The coder keeps 64
-bits and gives out 32 at a time; where the upper 32 are not settled it narrows the interval instead of carrying.
+A guess of order 1 or 2 has a confidence, which rises when it is right and halves when it is wrong; a guess of low confidence is then
+replaced. Each block learns, for every confidence of either order, how often such guesses are right: these are the weights.
+An id is coded in one step, out of an interval of 2**26: in 1,024 shares, the guesses' by their weights, the rest order 0's.
+The coder keeps 64 bits and gives out 32 at a time; where the upper 32 are not settled it narrows the interval instead of carrying.
 
 All blocks of a frame take one step at once, as lanes of NumPy arrays: a step codes one id of every block.
 """
@@ -23,83 +23,114 @@ import zlib
 import numpy as np
 
 U = np.uint64
-HALF, SHARE_BITS, SLOT_BITS, SLOTS = U(32), U(24), U(16), 256
+HALF, SHARE_BITS, TOTAL_BITS = U(32), 10, 16
+SHARES, TOTAL = 1 << SHARE_BITS, 1 << TOTAL_BITS
+ALL_BITS = U(SHARE_BITS + TOTAL_BITS)
 LOW_MASK = U((1 << 32) - 1)
-MAGIC = b"QMR2"
-#: 16 classes of 64 ids, 12 of 256, 30 of 2,048: 65,536 ids.
-CLASS_BITS = np.array([6] * 16 + [8] * 12 + [11] * 30, dtype=np.uint64)
-CLASSES = len(CLASS_BITS)
-#: A lane's cells are its classes and the guesses of orders 1 and 2, which begin at no id.
-GUESS1, GUESS2, CELLS = CLASSES, CLASSES + 1, CLASSES + 2
-CELL_FROM = np.concatenate([[0], np.cumsum(1 << CLASS_BITS.astype(np.int64))[:-1], [0, 0]]).astype(np.uint64)
-CELL_SHIFT = np.concatenate([SLOT_BITS - CLASS_BITS, [SLOT_BITS, SLOT_BITS]])
-CLASS_OF = np.repeat(np.arange(CLASSES, dtype=np.int64), 1 << CLASS_BITS.astype(np.int64))
-REBUILD, EARLY, CONTEXT_BITS = 64, (8, 16, 32), 8
+MAGIC = b"QMR3"
+HEAD = "<QIII"
+#: Slots of a block's contexts, confidences, the weights they begin with (of 2**16), and how fast these are learned.
+SLOT_BITS, LEVELS, RATE = 8, 8, 5
+FIRST_WEIGHTS = np.array([6000, 13000, 26000, 36000, 42000, 47000, 52000, 58000], dtype=np.int32)
+#: The confidence after a guess was wrong, then after it was right, by the one before; a guess of 0 or 1 that is wrong is replaced.
+NEXT = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], dtype=np.int32)
+
+
+class Prior:
+    """Order 0 of a frame, and the most frequent successor of each id."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, after: np.ndarray):
+        """Distinct ids in order, their shares of TOTAL, their successors."""
+        self.ids, self.counts = ids, counts
+        ends = np.cumsum(counts)
+        begins = np.zeros(TOTAL, dtype=np.uint64)
+        widths = np.zeros(TOTAL, dtype=np.uint64)
+        begins[ids], widths[ids] = ends - counts, counts
+        self.part = (begins << HALF) | widths
+        self.owner = np.repeat(ids.astype(np.uint16), counts)
+        self.after = np.zeros(TOTAL, dtype=np.int32)
+        self.after[ids] = after
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> "Prior":
+        n = np.bincount(ids, minlength=TOTAL)
+        held = np.flatnonzero(n)
+        counts = np.maximum(1, n[held] * (TOTAL - len(held)) // len(ids))
+        counts[np.argmax(counts)] += TOTAL - counts.sum()
+        pairs, times = np.unique(ids[:-1].astype(np.int64) << 16 | ids[1:], return_counts=True)
+        order = np.lexsort((-times, pairs >> 16))
+        pairs = pairs[order]
+        best = np.concatenate([[True], pairs[1:] >> 16 != pairs[:-1] >> 16])[: len(pairs)]
+        after = np.zeros(TOTAL, dtype=np.int64)
+        after[pairs[best] >> 16] = pairs[best] & 0xFFFF
+        return cls(held, counts, after[held])
+
+    def to_bytes(self) -> bytes:
+        columns = [np.diff(self.ids, prepend=0), self.counts - 1, self.after[self.ids]]
+        return zlib.compress(b"".join(c.astype("<u2").tobytes() for c in columns), 6)
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> "Prior":
+        gaps, counts, after = np.frombuffer(zlib.decompress(raw), dtype="<u2").reshape(3, -1).astype(np.int64)
+        return cls(np.cumsum(gaps), counts + 1, after)
 
 
 class Model:
-    """Predictions and their shares for `lanes` blocks."""
-
-    def __init__(self, lanes: int):
-        self.row_cells = np.arange(lanes) * CELLS
-        self.base = np.arange(lanes, dtype=np.uint64) << U(CONTEXT_BITS)
-        self.after1 = np.zeros(lanes << CONTEXT_BITS, dtype=np.uint16)  # the last id after each context
-        self.after2 = np.zeros(lanes << CONTEXT_BITS, dtype=np.uint16)
+    """Guesses and their weights for `lanes` blocks."""
+
+    def __init__(self, lanes: int, prior: Prior):
+        self.prior, self.lanes = prior, lanes
+        self.base = np.arange(lanes, dtype=np.uint64) << U(SLOT_BITS)
+        # guess << 3 | confidence, of order 1 and order 2; a confidence of 0 is no guess of the block's own
+        self.slots = [np.zeros(lanes << SLOT_BITS, dtype=np.int32) for _ in range(2)]
+        self.weights = [np.tile(FIRST_WEIGHTS, lanes) for _ in range(2)]
+        self.lane_levels = np.arange(lanes) * LEVELS
+        self.at = [self.base.view(np.int64)] * 2
         self.hash = np.zeros(lanes, dtype=np.uint64)
-        self.at1 = self.at2 = self.base.view(np.int64)
-        self.hit1, self.hit2 = np.full(lanes, 1 << 13, dtype=np.int64), np.full(lanes, 1 << 13, dtype=np.int64)  # of 65,536
-        self.right1, self.right2 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-        self.counts = np.ones((lanes, CLASSES), dtype=np.int64)
-        self.seen = np.zeros((REBUILD, lanes), dtype=np.int64)
-        self.steps = self.dealt = 0
-        self.deal()
-
-    def deal(self) -> None:
-        """Slots for the guesses and, by counts, for the classes; every cell keeps one at least."""
-        part2 = 1 + (self.hit2 * 150 >> 16)
-        part1 = 1 + ((SLOTS - 80 - part2) * self.hit1 >> 17)
-        total = self.counts.sum(axis=1)
-        rest = SLOTS - part1 - part2
-        width = np.empty((len(total), CELLS), dtype=np.int64)
-        own = width[:, :CLASSES]
-        own[:] = 1 + self.counts * (rest - CLASSES)[:, None] // total[:, None]
-        own[np.arange(len(own)), self.counts.argmax(axis=1)] += rest - own.sum(axis=1)
-        width[:, GUESS1], width[:, GUESS2] = part1, part2
-        self.width = width
-        start = (np.cumsum(width, axis=1) - width).astype(np.uint64) << SLOT_BITS
-        self.parts = ((start << HALF) | (width.astype(np.uint64) << CELL_SHIFT)).ravel()  # where a cell starts, and an id's part of it
-
-    def owners(self) -> np.ndarray:
-        """The cell of each slot, for decoding."""
-        return np.repeat(np.tile(np.arange(CELLS, dtype=np.uint8), len(self.width)), self.width.ravel())
-
-    def guesses(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.after1.take(self.at1, mode="clip"), self.after2.take(self.at2, mode="clip")
-
-    def learn(self, ids: np.ndarray, plain: np.ndarray, cells: np.ndarray, by1: np.ndarray, by2: np.ndarray) -> bool:
-        """ids as uint64 and as uint16, cells by class, lanes that a guess got right; True if shares have been dealt anew."""
-        self.after1[self.at1] = plain
-        self.after2[self.at2] = plain
-        self.right1[by1] += 1
-        self.right2[by2] += 1
-        new = ids * U(0x9E3779B97F4A7C15)
-        self.at1 = ((new >> U(64 - CONTEXT_BITS)) | self.base).view(np.int64)
-        self.at2 = ((((new ^ (self.hash >> U(7))) * U(0xC2B2AE3D27D4EB4F)) >> U(64 - CONTEXT_BITS)) | self.base).view(np.int64)
-        self.hash = new
-        self.seen[self.steps - self.dealt] = cells
-        self.steps += 1
-        if self.steps % REBUILD and self.steps not in EARLY:
-            return False
-        n, lanes = self.steps - self.dealt, len(self.hash)
-        self.hit1 += ((self.right1 << 16) // n - self.hit1) >> 1
-        self.hit2 += ((self.right2 << 16) // n - self.hit2) >> 1
-        self.right1[:], self.right2[:] = 0, 0
-        self.counts += 8 * np.bincount(self.seen[:n].ravel(), minlength=lanes * CELLS).reshape(lanes, CELLS)[:, :CLASSES]
-        self.counts[self.counts.sum(axis=1) > 2048] >>= 1
-        self.counts |= 1
-        self.dealt = self.steps
-        self.deal()
-        return True
+        self.last = np.zeros(lanes, dtype=np.int64)
+
+    def guess(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(guess of order 1, its shares, guess of order 2, its shares); no shares: not asked."""
+        held1, held2 = (s.take(a, mode="clip") for s, a in zip(self.slots, self.at))
+        level1, level2 = held1 & 7, held2 & 7
+        one, two = held1 >> 3, held2 >> 3
+        new = np.flatnonzero(level1 == 0)
+        one[new] = self.prior.after.take(self.last[new], mode="clip")
+        self.level, self.guesses = (level1, level2), (one, two)
+        self.row = (self.lane_levels + level1, self.lane_levels + level2)
+        rate1, rate2 = self.rate = tuple(w.take(r, mode="clip") for w, r in zip(self.weights, self.row))
+        asked2 = level2 > 0
+        share2 = ((rate2 >> 6) + (1 - (rate2 >> 11))) * asked2
+        self.asked1 = (one != two) | ~asked2
+        share1 = ((rate1 * (SHARES - 16 - share2) >> 16) + 1) * self.asked1
+        return one, share1, two, share2
+
+    def learn(self, ids: np.ndarray, right1: np.ndarray, right2: np.ndarray) -> None:
+        """ids as int64; lanes whose guess of order 1 or 2 is right."""
+        small = ids.astype(np.int32)
+        for k, right in ((0, right1), (1, right2)):
+            step = (right.astype(np.int32) << 16) - self.rate[k] >> RATE
+            if k == 0:  # learned where order 2 has not settled it; order 2 without a guess learns a weight that nothing uses
+                step *= self.asked1 & ~right2
+            self.weights[k][self.row[k]] = self.rate[k] + step
+            level = self.level[k]
+            kept = np.where(level < 2, small, self.guesses[k]) << 3
+            kept |= NEXT.take(level + (right.view(np.int8) << 3), mode="clip")
+            self.slots[k][self.at[k]] = kept
+        new = ids.view(np.uint64) * U(0x9E3779B97F4A7C15)
+        top = U(64 - SLOT_BITS)
+        self.at = [((new >> top) | self.base).view(np.int64), ((((new ^ (self.hash >> U(7))) * U(0xC2B2AE3D27D4EB4F)) >> top) | self.base).view(np.int64)]
+        self.hash, self.last = new, ids
+
+    def part(self, ids: np.ndarray, share1: np.ndarray, share2: np.ndarray, by1: np.ndarray, by2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of each id's part of the interval; by1, by2: lanes where a guess codes it."""
+        own = self.prior.part.take(ids, mode="clip")
+        both = (share1 + share2).astype(np.uint64)
+        rest = U(SHARES) - both
+        start, width = (both << U(TOTAL_BITS)) + (own >> HALF) * rest, (own & LOW_MASK) * rest
+        start[by2], width[by2] = 0, share2[by2] << TOTAL_BITS
+        start[by1], width[by1] = share2[by1] << TOTAL_BITS, share1[by1] << TOTAL_BITS
+        return start, width
 
 
 def _settled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
@@ -110,114 +141,104 @@ def _settled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
     return due
 
 
-def _encode_lanes(grid: np.ndarray) -> list[bytes]:
+def _encode_lanes(grid: np.ndarray, prior: Prior) -> list[bytes]:
     """grid: blocks x ids."""
     lanes, steps = grid.shape
-    m, low, rng = Model(lanes), np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+    m, low, rng = Model(lanes, prior), np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     words = steps + 4
     out, pos = np.zeros(lanes * words, dtype="<u4"), np.arange(lanes) * words
     for plain in np.ascontiguousarray(grid.T):
-        ids = plain.astype(np.uint64)
-        classes = CLASS_OF.take(ids.view(np.int64), mode="clip")
-        guess1, guess2 = m.guesses()
-        right2 = guess2 == plain
-        by1, by2 = np.flatnonzero((guess1 == plain) & ~right2), np.flatnonzero(right2)
-        cells = m.row_cells + classes
-        coded, off = cells, ids - CELL_FROM.take(classes, mode="clip")
-        if len(by1) or len(by2):
-            coded = cells.copy()  # `cells` counts for order 0
-            coded[by1], coded[by2] = m.row_cells[by1] + GUESS1, m.row_cells[by2] + GUESS2
-            off[by1] = off[by2] = 0
-        parts = m.parts.take(coded, mode="clip")
-        freq = parts & LOW_MASK
-        off *= freq
-        off += parts >> HALF
-        rng >>= SHARE_BITS
-        off *= rng
-        low += off
-        rng *= freq
+        ids = plain.astype(np.int64)
+        one, share1, two, share2 = m.guess()
+        right1, right2 = one == ids, two == ids
+        right2 &= share2 > 0
+        by2 = np.flatnonzero(right2)
+        by1 = np.flatnonzero(right1 & m.asked1 & ~right2)
+        start, width = m.part(ids, share1, share2, by1, by2)
+        rng >>= ALL_BITS
+        low += start * rng
+        rng *= width
         due = _settled(low, rng)
         a, p = low[due], pos[due]
         out[p] = a >> HALF
         pos[due] = p + 1
         low[due] = a << HALF
-        m.learn(ids, plain, cells, by1, by2)
+        m.learn(ids, right1, right2)
     for shift in (HALF, U(0)):
         out[pos] = (low >> shift) & LOW_MASK
         pos += 1
     return [out[i * words : pos[i]].tobytes() for i in range(lanes)]
 
 
-def _decode_lanes(blocks: list[bytes], steps: int) -> np.ndarray:
+def _decode_lanes(blocks: list[bytes], steps: int, prior: Prior) -> np.ndarray:
     lanes = len(blocks)
     ends = np.cumsum([len(b) // 4 for b in blocks])
     source = np.concatenate([np.frombuffer(b"".join(b[: len(b) // 4 * 4] for b in blocks), dtype="<u4").astype(np.uint64), np.zeros(8, dtype=np.uint64)])
     pos = np.concatenate([[0], ends[:-1]])
-    m, low, rng = Model(lanes), np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+    m, low, rng = Model(lanes, prior), np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     code, pos = (source.take(pos, mode="clip") << HALF) | source.take(pos + 1, mode="clip"), pos + 2
-    row_slots, owner = np.arange(lanes, dtype=np.uint64) * U(SLOTS), m.owners()
     grid = np.zeros((steps, lanes), dtype="<u2")
     for step in range(steps):
-        guess1, guess2 = m.guesses()
-        rng >>= SHARE_BITS
-        t = np.minimum((code - low) // rng, U((1 << 24) - 1))
-        cell = owner.take(((t >> SLOT_BITS) + row_slots).view(np.int64), mode="clip").astype(np.int64)
-        coded = m.row_cells + cell
-        parts = m.parts.take(coded, mode="clip")
-        freq, start = parts & LOW_MASK, parts >> HALF
-        off = (t - start) // freq
-        ids = off + CELL_FROM.take(cell, mode="clip")
-        by1, by2 = np.flatnonzero(cell == GUESS1), np.flatnonzero(cell == GUESS2)
-        ids[by1], ids[by2] = guess1[by1], guess2[by2]
-        off *= freq
-        off += start
-        off *= rng
-        low += off
-        rng *= freq
+        one, share1, two, share2 = m.guess()
+        both = share1 + share2
+        rng >>= ALL_BITS
+        t = np.minimum((code - low) // rng, U((1 << int(ALL_BITS)) - 1)).view(np.int64)
+        share = t >> TOTAL_BITS
+        by2, by1 = np.flatnonzero(share < share2), np.flatnonzero((share >= share2) & (share < both))
+        ids = prior.owner.take((t - (both.astype(np.int64) << TOTAL_BITS)) // (SHARES - both), mode="clip").astype(np.int64)
+        ids[by2], ids[by1] = two[by2], one[by1]
+        start, width = m.part(ids, share1, share2, by1, by2)
+        low += start * rng
+        rng *= width
         due = _settled(low, rng)
         low[due] <<= HALF
         p = pos[due]
         code[due] = (code[due] << HALF) | source.take(p, mode="clip")  # damaged blocks may ask for more
         pos[due] = p + 1
         grid[step] = ids
-        if m.learn(ids, grid[step], m.row_cells + CLASS_OF.take(ids.view(np.int64), mode="clip"), by1, by2):
-            owner = m.owners()
+        m.learn(ids, one == ids, (two == ids) & (share2 > 0))
     return np.ascontiguousarray(grid.T)
 
 
 def block_length(n: int) -> int:
-    """Ids to a block: about 2,048 blocks a frame, of 512 to 4,096 ids."""
-    return int(min(4096, max(512, -(-n // 2048))))
+    """Ids to a block: about 2,048 blocks a frame, of 2,048 to 4,096 ids."""
+    return int(min(4096, max(2048, -(-n // 2048))))
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """A frame: magic, number of ids, block length, then (length, crc) of each block, then the blocks."""
+    """A frame: magic, number of ids, block length, length and crc of the prior, the prior, then (length, crc) of each block, then the blocks."""
     n = len(ids)
     if not n:
-        return MAGIC + struct.pack("<QI", 0, 1)
-    size = block_length(n)
-    grid = np.zeros(-(-n // size) * size, dtype="<u2")
+        return MAGIC + struct.pack(HEAD, 0, 1, 0, 0)
+    size = min(block_length(n), n)
+    grid = np.full(-(-n // size) * size, ids[-1], dtype="<u2")
     grid[:n] = ids
     grid = grid.reshape(-1, size)
-    blocks = _encode_lanes(grid)
+    prior = Prior.of(grid.ravel())
+    blocks = _encode_lanes(grid, prior)
     heads = [struct.pack("<II", len(b), zlib.crc32(g.tobytes())) for b, g in zip(blocks, grid)]
-    return b"".join([MAGIC, struct.pack("<QI", n, size), *heads, *blocks])
+    told = prior.to_bytes()
+    return b"".join([MAGIC, struct.pack(HEAD, n, size, len(told), zlib.crc32(told)), told, *heads, *blocks])
 
 
 def decode(frame: bytes) -> np.ndarray:
-    """The ids of a frame; ValueError names the first block whose checksum fails."""
+    """The ids of a frame; ValueError names what is damaged, the prior or the first block whose checksum fails."""
     if frame[:4] != MAGIC:
         raise ValueError("not a frame of ids")
-    n, size = struct.unpack_from("<QI", frame, 4)
+    n, size, told, crc = struct.unpack_from(HEAD, frame, 4)
+    if not n:
+        return np.zeros(0, dtype="<u2")
+    at = 4 + struct.calcsize(HEAD)
+    if zlib.crc32(frame[at : at + told]) != crc:
+        raise ValueError("the prior is damaged")
+    prior, at = Prior.from_bytes(frame[at : at + told]), at + told
     count = -(-n // size)
-    heads = [struct.unpack_from("<II", frame, 16 + 8 * i) for i in range(count)]
-    at, blocks = 16 + 8 * count, []
+    heads = [struct.unpack_from("<II", frame, at + 8 * i) for i in range(count)]
+    at, blocks = at + 8 * count, []
     for length, _ in heads:
         blocks.append(frame[at : at + length])
         at += length
-    if not count:
-        return np.zeros(0, dtype="<u2")
-    grid = _decode_lanes(blocks, size)
+    grid = _decode_lanes(blocks, size, prior)
     for i, (_, crc) in enumerate(heads):
         if zlib.crc32(grid[i].tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")

@@ -1,15 +1,17 @@
 """The methods of the training-data operators against plain versions, their limits, and clashing column names."""
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmill.llm import ann, boosting, licenses, mixing, near_dedup, packing, pii, quality, sharding, tokens, urls
+from quillmill.llm import ann, boosting, licenses, mixing, near_dedup, packing, pii, quality, range_coder, sharding, tokens, urls
 from quillmill.llm.common import scanned
 
 from test_llm import SCHEMA, TEXTS, base_spans, encode, near_texts, plain_quality, reach, rows, shingle_set
@@ -326,3 +328,31 @@ def test_encoder_on_chunks_of_every_kind():
 
 def test_rows_of_the_fixture_are_all_read(spark):
     assert len(rows()) == len(TEXTS) + 1
+
+
+# --- the coder ------------------------------------------------------------------------------------------------------------
+
+
+def test_coded_ids_take_less_than_their_entropy_and_zlib():
+    """Real ids: below the order-0 entropy and below zlib; random ids: no more than their entropy and the header."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").combine_chunks()
+    ids, _ = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json")).ids(texts)
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    entropy, bits = -(share * np.log2(share)).sum(), len(range_coder.encode(ids)) * 8 / len(ids)
+    assert bits < entropy - 0.1 and bits < len(zlib.compress(ids.tobytes(), 6)) * 8 / len(ids) - 0.5, (bits, entropy)
+    noise = np.random.default_rng(4).integers(0, 256, 200_000).astype("<u2")
+    assert len(range_coder.encode(noise)) * 8 / len(noise) < 8.3
+
+
+def test_a_damaged_block_or_header_is_named():
+    ids = (np.random.default_rng(6).zipf(1.2, 9000) % 50_000).astype("<u2")
+    frame = range_coder.encode(ids)
+    with pytest.raises(ValueError, match="prior is damaged"):
+        range_coder.decode(frame[:60] + bytes([frame[60] ^ 1]) + frame[61:])
+    with pytest.raises(ValueError, match="block 4 is damaged"):
+        range_coder.decode(frame[:-9] + bytes([frame[-9] ^ 1]) + frame[-8:])
+    with pytest.raises(ValueError, match="not a frame"):
+        range_coder.decode(b"QMR2" + frame[4:])
+    assert (range_coder.decode(frame) == ids).all() and (range_coder.decode(range_coder.encode(ids[:1])) == ids[:1]).all()
