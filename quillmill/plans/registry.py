@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..operators import characters, detector, forensics, genre, language, scoring, slop, structure, text, timeline
-from ..sources import corpus, workspace
+from ..sources import corpus, ingest, workspace
 from ..streaming import logs
 from . import engine
 
-MODULES = [text, slop, detector, language, genre, characters, forensics, timeline, structure, scoring, logs, workspace, corpus, engine]
+MODULES = [text, slop, detector, language, genre, characters, forensics, timeline, structure, scoring, logs, workspace, corpus, ingest, engine]
 
 
 def queries() -> dict[str, Callable]:
