@@ -8,8 +8,9 @@ and a model reset to the frame's header, and carries a CRC-32 of its ids, so one
 * order 2: the id that followed the two ids before it.
 
 A guess of order 1 or 2 has a confidence, which rises when it is right and halves when it is wrong; a guess of low confidence is then
-replaced. Each block learns, for every confidence of either order, how often such guesses are right: these are the weights.
-An id is coded in one step, out of an interval of 2**26: in 1,024 shares, the guesses' by their weights, the rest order 0's.
+replaced. The guess is order 2's where that has proved itself, else order 1's. Each block learns, for every confidence of either order,
+how often such guesses are right: these are the weights. An id is coded in one step, out of an interval of 2**26: in 1,024 shares, the
+guess's by its weight, the rest order 0's.
 The coder keeps 64 bits and gives out 32 at a time; where the upper 32 are not settled it narrows the interval instead of carrying.
 
 All blocks of a frame take one step at once, as lanes of NumPy arrays: a step codes one id of every block.
@@ -29,11 +30,10 @@ ALL_BITS = U(SHARE_BITS + TOTAL_BITS)
 LOW_MASK = U((1 << 32) - 1)
 MAGIC = b"QMR3"
 HEAD = "<QIII"
-#: Slots of a block's contexts, confidences, the weights they begin with (of 2**16), and how fast these are learned.
+#: Slots of a block's contexts, confidences, the weights they begin with (of 2**16; order 1's, then order 2's), and how fast these are learned.
 SLOT_BITS, LEVELS, RATE = 8, 8, 5
-FIRST_WEIGHTS = np.array([6000, 13000, 26000, 36000, 42000, 47000, 52000, 58000], dtype=np.int32)
-#: The confidence after a guess was wrong, then after it was right, by the one before; a guess of 0 or 1 that is wrong is replaced.
-NEXT = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], dtype=np.int32)
+FIRST_WEIGHTS = np.array([10000, 10000, 15000, 22000, 30000, 36000, 42000, 48000, 10000, 15000, 32000, 42000, 48000, 52000, 55000, 60000], dtype=np.int32)
+RISE = np.array([1, 1, 1, 1, 1, 1, 1, 0], dtype=np.int32)
 
 
 class Prior:
@@ -57,13 +57,16 @@ class Prior:
         held = np.flatnonzero(n)
         counts = np.maximum(1, n[held] * (TOTAL - len(held)) // len(ids))
         counts[np.argmax(counts)] += TOTAL - counts.sum()
-        pairs, times = np.unique(ids[:-1].astype(np.int64) << 16 | ids[1:], return_counts=True)
-        order = np.lexsort((-times, pairs >> 16))
-        pairs = pairs[order]
-        best = np.concatenate([[True], pairs[1:] >> 16 != pairs[:-1] >> 16])[: len(pairs)]
-        after = np.zeros(TOTAL, dtype=np.int64)
-        after[pairs[best] >> 16] = pairs[best] & 0xFFFF
-        return cls(held, counts, after[held])
+        place = np.zeros(TOTAL, dtype=np.int64)
+        place[held] = np.arange(len(held))
+        kind = np.int32 if len(held) ** 2 < 1 << 31 else np.int64
+        dense = place[ids].astype(kind)
+        pairs, times = np.unique(dense[:-1] * kind(len(held)) + dense[1:], return_counts=True)
+        pairs = pairs.astype(np.int64)[np.lexsort((-times, pairs // kind(len(held))))]
+        first = np.flatnonzero(np.diff(pairs // len(held), prepend=-1))
+        after = np.zeros(len(held), dtype=np.int64)
+        after[pairs[first] // len(held)] = held[pairs[first] % len(held)]
+        return cls(held, counts, after)
 
     def to_bytes(self) -> bytes:
         columns = [np.diff(self.ids, prepend=0), self.counts - 1, self.after[self.ids]]
@@ -79,57 +82,48 @@ class Model:
     """Guesses and their weights for `lanes` blocks."""
 
     def __init__(self, lanes: int, prior: Prior):
-        self.prior, self.lanes = prior, lanes
+        self.prior = prior
         self.base = np.arange(lanes, dtype=np.uint64) << U(SLOT_BITS)
         # guess << 3 | confidence, of order 1 and order 2; a confidence of 0 is no guess of the block's own
-        self.slots = [np.zeros(lanes << SLOT_BITS, dtype=np.int32) for _ in range(2)]
-        self.weights = [np.tile(FIRST_WEIGHTS, lanes) for _ in range(2)]
-        self.lane_levels = np.arange(lanes) * LEVELS
-        self.at = [self.base.view(np.int64)] * 2
-        self.hash = np.zeros(lanes, dtype=np.uint64)
-        self.last = np.zeros(lanes, dtype=np.int64)
-
-    def guess(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(guess of order 1, its shares, guess of order 2, its shares); no shares: not asked."""
-        held1, held2 = (s.take(a, mode="clip") for s, a in zip(self.slots, self.at))
-        level1, level2 = held1 & 7, held2 & 7
-        one, two = held1 >> 3, held2 >> 3
-        new = np.flatnonzero(level1 == 0)
-        one[new] = self.prior.after.take(self.last[new], mode="clip")
-        self.level, self.guesses = (level1, level2), (one, two)
-        self.row = (self.lane_levels + level1, self.lane_levels + level2)
-        rate1, rate2 = self.rate = tuple(w.take(r, mode="clip") for w, r in zip(self.weights, self.row))
-        asked2 = level2 > 0
-        share2 = ((rate2 >> 6) + (1 - (rate2 >> 11))) * asked2
-        self.asked1 = (one != two) | ~asked2
-        share1 = ((rate1 * (SHARES - 16 - share2) >> 16) + 1) * self.asked1
-        return one, share1, two, share2
-
-    def learn(self, ids: np.ndarray, right1: np.ndarray, right2: np.ndarray) -> None:
-        """ids as int64; lanes whose guess of order 1 or 2 is right."""
-        small = ids.astype(np.int32)
-        for k, right in ((0, right1), (1, right2)):
-            step = (right.astype(np.int32) << 16) - self.rate[k] >> RATE
-            if k == 0:  # learned where order 2 has not settled it; order 2 without a guess learns a weight that nothing uses
-                step *= self.asked1 & ~right2
-            self.weights[k][self.row[k]] = self.rate[k] + step
-            level = self.level[k]
-            kept = np.where(level < 2, small, self.guesses[k]) << 3
-            kept |= NEXT.take(level + (right.view(np.int8) << 3), mode="clip")
-            self.slots[k][self.at[k]] = kept
+        self.slots1, self.slots2 = np.zeros(lanes << SLOT_BITS, dtype=np.int32), np.zeros(lanes << SLOT_BITS, dtype=np.int32)
+        self.at1 = self.at2 = self.base.view(np.int64)
+        self.weights, self.lane = np.tile(FIRST_WEIGHTS, lanes), np.arange(lanes) * len(FIRST_WEIGHTS)
+        self.hash, self.last = np.zeros(lanes, dtype=np.uint64), np.zeros(lanes, dtype=np.int64)
+
+    def guess(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the guess, its shares of SHARES): order 2's where it has a confidence of 2 or more, else order 1's."""
+        self.held1, self.held2 = self.slots1.take(self.at1, mode="clip"), self.slots2.take(self.at2, mode="clip")
+        self.level1, self.level2 = self.held1 & 7, self.held2 & 7
+        second = self.level2 > 1
+        guess = np.where(second, self.held2, self.held1) >> 3
+        level = np.where(second, self.level2 + LEVELS, self.level1)
+        new = np.flatnonzero(level == 0)
+        guess[new] = self.prior.after.take(self.last.take(new), mode="clip")
+        self.row = self.lane + level
+        self.rate = self.weights.take(self.row, mode="clip")
+        return guess, (self.rate * (SHARES - 24) >> 16) + 1
+
+    def learn(self, ids: np.ndarray, right: np.ndarray) -> None:
+        """ids as int64; lanes whose guess is right."""
+        self.weights[self.row] = self.rate + ((right.astype(np.int32) << 16) - self.rate >> RATE)
+        fresh = (ids << 3 | 1).astype(np.int32)
+        for slots, at, held, level in ((self.slots1, self.at1, self.held1, self.level1), (self.slots2, self.at2, self.held2, self.level2)):
+            same = (held ^ fresh) < 8
+            slots[at] = np.where(same, held + RISE.take(level, mode="clip"), np.where(level < 2, fresh, held - (level >> 1)))
         new = ids.view(np.uint64) * U(0x9E3779B97F4A7C15)
         top = U(64 - SLOT_BITS)
-        self.at = [((new >> top) | self.base).view(np.int64), ((((new ^ (self.hash >> U(7))) * U(0xC2B2AE3D27D4EB4F)) >> top) | self.base).view(np.int64)]
+        self.at1 = ((new >> top) | self.base).view(np.int64)
+        self.at2 = ((((new ^ (self.hash >> U(7))) * U(0xC2B2AE3D27D4EB4F)) >> top) | self.base).view(np.int64)
         self.hash, self.last = new, ids
 
-    def part(self, ids: np.ndarray, share1: np.ndarray, share2: np.ndarray, by1: np.ndarray, by2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, width) of each id's part of the interval; by1, by2: lanes where a guess codes it."""
+    def part(self, ids: np.ndarray, share: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of each id's part of the interval; by: lanes where the guess codes it."""
         own = self.prior.part.take(ids, mode="clip")
-        both = (share1 + share2).astype(np.uint64)
-        rest = U(SHARES) - both
-        start, width = (both << U(TOTAL_BITS)) + (own >> HALF) * rest, (own & LOW_MASK) * rest
-        start[by2], width[by2] = 0, share2[by2] << TOTAL_BITS
-        start[by1], width[by1] = share2[by1] << TOTAL_BITS, share1[by1] << TOTAL_BITS
+        wide = share.astype(np.uint64)
+        rest = U(SHARES) - wide
+        wide <<= U(TOTAL_BITS)
+        start, width = wide + (own >> HALF) * rest, (own & LOW_MASK) * rest
+        start[by], width[by] = 0, wide[by]
         return start, width
 
 
@@ -149,12 +143,9 @@ def _encode_lanes(grid: np.ndarray, prior: Prior) -> list[bytes]:
     out, pos = np.zeros(lanes * words, dtype="<u4"), np.arange(lanes) * words
     for plain in np.ascontiguousarray(grid.T):
         ids = plain.astype(np.int64)
-        one, share1, two, share2 = m.guess()
-        right1, right2 = one == ids, two == ids
-        right2 &= share2 > 0
-        by2 = np.flatnonzero(right2)
-        by1 = np.flatnonzero(right1 & m.asked1 & ~right2)
-        start, width = m.part(ids, share1, share2, by1, by2)
+        guess, share = m.guess()
+        right = guess == ids
+        start, width = m.part(ids, share, np.flatnonzero(right))
         rng >>= ALL_BITS
         low += start * rng
         rng *= width
@@ -163,7 +154,7 @@ def _encode_lanes(grid: np.ndarray, prior: Prior) -> list[bytes]:
         out[p] = a >> HALF
         pos[due] = p + 1
         low[due] = a << HALF
-        m.learn(ids, right1, right2)
+        m.learn(ids, right)
     for shift in (HALF, U(0)):
         out[pos] = (low >> shift) & LOW_MASK
         pos += 1
@@ -179,15 +170,14 @@ def _decode_lanes(blocks: list[bytes], steps: int, prior: Prior) -> np.ndarray:
     code, pos = (source.take(pos, mode="clip") << HALF) | source.take(pos + 1, mode="clip"), pos + 2
     grid = np.zeros((steps, lanes), dtype="<u2")
     for step in range(steps):
-        one, share1, two, share2 = m.guess()
-        both = share1 + share2
+        guess, share = m.guess()
         rng >>= ALL_BITS
         t = np.minimum((code - low) // rng, U((1 << int(ALL_BITS)) - 1)).view(np.int64)
-        share = t >> TOTAL_BITS
-        by2, by1 = np.flatnonzero(share < share2), np.flatnonzero((share >= share2) & (share < both))
-        ids = prior.owner.take((t - (both.astype(np.int64) << TOTAL_BITS)) // (SHARES - both), mode="clip").astype(np.int64)
-        ids[by2], ids[by1] = two[by2], one[by1]
-        start, width = m.part(ids, share1, share2, by1, by2)
+        by = np.flatnonzero(t >> TOTAL_BITS < share)
+        # the quotient is far from the next whole number if it is none, so floats give it exactly
+        ids = prior.owner.take(((t - (share.astype(np.int64) << TOTAL_BITS)) / (SHARES - share)).astype(np.int64), mode="clip").astype(np.int64)
+        ids[by] = guess[by]
+        start, width = m.part(ids, share, by)
         low += start * rng
         rng *= width
         due = _settled(low, rng)
@@ -196,13 +186,13 @@ def _decode_lanes(blocks: list[bytes], steps: int, prior: Prior) -> np.ndarray:
         code[due] = (code[due] << HALF) | source.take(p, mode="clip")  # damaged blocks may ask for more
         pos[due] = p + 1
         grid[step] = ids
-        m.learn(ids, one == ids, (two == ids) & (share2 > 0))
+        m.learn(ids, guess == ids)
     return np.ascontiguousarray(grid.T)
 
 
 def block_length(n: int) -> int:
-    """Ids to a block: about 2,048 blocks a frame, of 2,048 to 4,096 ids."""
-    return int(min(4096, max(2048, -(-n // 2048))))
+    """Ids to a block: about 4,096 blocks a frame, of 1,024 to 4,096 ids."""
+    return int(min(4096, max(1024, -(-n // 4096))))
 
 
 def encode(ids: np.ndarray) -> bytes:

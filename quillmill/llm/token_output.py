@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import documents, partitions, scratch
+from .common import documents, partitions, scratch, tidy
 from .tokens import SLICE_BYTES, encoder, slices
 
 VOCABULARY, END_ID, FRAME_IDS = "byte_bpe_50k.json", 0, 4_000_000
@@ -62,6 +62,8 @@ def frames(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
                     ids, values, counts, held, number = [], [], [], 0, number + 1
         if held:
             yield frame()
+        ids, values, counts = [], [], []
+        tidy()
 
     # ranges of doc_id alone, for the keys sampled to find them go to the driver; equal ids are in one range and then in order of text
     ranged = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -98,6 +100,8 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                     columns.append(pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), wide.astype(np.int32)).cast(pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                del values, wide, columns
+        tidy()
 
     schema = "part int, frame int, doc_id long, inner long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     rows = files.mapInArrow(task, schema)

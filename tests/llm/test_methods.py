@@ -351,7 +351,7 @@ def test_a_damaged_block_or_header_is_named():
     frame = range_coder.encode(ids)
     with pytest.raises(ValueError, match="prior is damaged"):
         range_coder.decode(frame[:60] + bytes([frame[60] ^ 1]) + frame[61:])
-    with pytest.raises(ValueError, match="block 4 is damaged"):
+    with pytest.raises(ValueError, match=f"block {(len(ids) - 1) // range_coder.block_length(len(ids))} is damaged"):
         range_coder.decode(frame[:-9] + bytes([frame[-9] ^ 1]) + frame[-8:])
     with pytest.raises(ValueError, match="not a frame"):
         range_coder.decode(b"QMR2" + frame[4:])
