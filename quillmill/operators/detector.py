@@ -1,7 +1,7 @@
 """The machine-drafted-prose detector: windows of words, five signals per window, one report per document.
 
 Windows are rows; a window's own signals are projections of it. Two signals look beyond a window: paragraphs that stand twice
-in a document, met by an interval join within the document, and near-duplicate windows, met through shared n-grams. Windows with
+in a document, brought to the windows that they touch by the windows' arithmetic, and near-duplicate windows, met through shared n-grams. Windows with
 equal n-grams are one class and n-grams that stand in the same classes are counted together, so a passage that repeats all through
 a text costs little more than once. Both signals join back on (doc_id, w); what they found is also given as rows of evidence.
 """
@@ -74,24 +74,32 @@ def _follow(words: Column, word: Column, i: Column, phrase: list[str]) -> Column
 
 
 def paragraphs(rows: DataFrame, least: int = PARAGRAPH) -> DataFrame:
-    """rows(doc_id, normal) -> doc_id, p, start_word, end_word, hash of the paragraphs of `least` words or more."""
+    """rows(doc_id, normal) -> doc_id, p, start_word, end_word, hash of the paragraphs of `least` words or more, and total, the document's words."""
     parts = F.transform(F.split(F.regexp_replace("normal", r"\n{3,}", "\n\n"), "\n\n"), lambda p: T.find_all(p, "[a-z0-9']+"))
     sized = F.transform(parts, lambda p: F.struct(F.size(p).alias("n"), F.sha1(F.array_join(p, " ")).alias("hash")))
     cut = rows.select("doc_id", F.posexplode_outer(sized).alias("p", "x")).select("doc_id", "p", "x.n", "x.hash")
-    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("p")) - F.col("n")
-    placed = cut.withColumn("start_word", before.cast("int")).where(F.col("n") >= least)
-    return placed.select("doc_id", "p", "start_word", (F.col("start_word") + F.col("n")).cast("int").alias("end_word"), "hash")
+    w = Window.partitionBy("doc_id")
+    placed = cut.withColumn("start_word", (F.sum("n").over(w.orderBy("p")) - F.col("n")).cast("int")).withColumn("total", F.sum("n").over(w).cast("int")).where(F.col("n") >= least)
+    return placed.select("doc_id", "p", "start_word", (F.col("start_word") + F.col("n")).cast("int").alias("end_word"), "hash", "total")
 
 
-def paragraph_places(wins: DataFrame, paras: DataFrame) -> DataFrame:
+def touched(first: Column, end: Column, total: Column, size: int, stride: int) -> Column:
+    """Numbers of the windows of `total` words that a run of words lies in, from the windows' arithmetic; as many as it touches."""
+    count = F.when(total <= size, F.lit(1)).otherwise(F.ceil((total - size) / F.lit(float(stride))).cast("int") + 1)
+    low = F.greatest(F.lit(0), F.floor((first - size) / F.lit(float(stride))).cast("int") + 1)
+    high = F.least(count, F.ceil(end / F.lit(float(stride))).cast("int")) - 1
+    return F.when(low <= high, F.sequence(low, high))
+
+
+def paragraph_places(paras: DataFrame, size: int, stride: int) -> DataFrame:
     """doc_id, w, hash, start, end, other_start, other_end: repeated paragraphs that a window overlaps, at the first place of each; what of it lies in the window, and where the paragraph stands too."""
     same = Window.partitionBy("doc_id", "hash")
     first, second = F.min("start_word").over(same), F.lead("start_word").over(same.orderBy("start_word"))
     many = paras.withColumn("times", F.count("*").over(same)).withColumn("other", F.when(F.col("start_word") == first, second).otherwise(first)).where("times > 1")
-    p = many.select(F.col("doc_id").alias("d"), F.col("start_word").alias("ps"), F.col("end_word").alias("pe"), "hash", "other")
-    met = wins.select("doc_id", "w", "start_word", "end_word").join(p, (F.col("doc_id") == F.col("d")) & (F.col("start_word") < F.col("pe")) & (F.col("ps") < F.col("end_word")))
-    place = F.struct(F.greatest("start_word", "ps").alias("start"), F.least("end_word", "pe").alias("end"), F.col("other").alias("other_start"), (F.col("other") + F.col("pe") - F.col("ps")).alias("other_end"))
-    return met.groupBy("doc_id", "w", "hash").agg(F.min_by(place, "ps").alias("x")).select("doc_id", "w", "hash", "x.*")
+    met = many.select("*", F.explode_outer(touched(F.col("start_word"), F.col("end_word"), F.col("total"), size, stride)).alias("w")).where("w IS NOT NULL")
+    start, end = F.greatest(F.col("w") * stride, "start_word"), F.least(F.col("w") * stride + size, "total", "end_word")
+    place = F.struct(start.alias("start"), end.alias("end"), F.col("other").alias("other_start"), (F.col("other") + F.col("end_word") - F.col("start_word")).alias("other_end"))
+    return met.groupBy("doc_id", "w", "hash").agg(F.min_by(place, "start_word").alias("x")).select("doc_id", "w", "hash", "x.*")
 
 
 def paragraph_hits(places: DataFrame) -> DataFrame:
@@ -144,7 +152,7 @@ def window_signals(rows: DataFrame, c: DetectorConfig = DetectorConfig(), lt: Da
     """
     base = tokenised(rows)
     wins = windows(base, c.window_words, c.window_stride_words)
-    near, exact = window_overlap(base, *_sizes(c), c.ngram), paragraph_hits(paragraph_places(wins, paragraphs(base)))
+    near, exact = window_overlap(base, *_sizes(c), c.ngram), paragraph_hits(paragraph_places(paragraphs(base), *_sizes(c)))
     w = F.col("words")
     own = wins.select("doc_id", "w", "start_word", "end_word", F.size(w).alias("n"), style(w).alias("style"), polish(w).alias("polish"))
     all_ = own.join(exact, ["doc_id", "w"], "left").join(near, ["doc_id", "w"], "left")
@@ -178,7 +186,7 @@ def window_evidence(rows: DataFrame, signals: DataFrame, c: DetectorConfig = Det
     three of a window, and the override's own entry whatever stands before it. rows and signals as in window_signals.
     """
     base = tokenised(rows)
-    places = paragraph_places(windows(base, c.window_words, c.window_stride_words), paragraphs(base))
+    places = paragraph_places(paragraphs(base), *_sizes(c))
     null = lambda kind: F.lit(None).cast(kind)
     exact = places.select("doc_id", "w", F.lit(0).alias("kind"), F.lit("exact duplicated paragraph hash").alias("summary"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), null("int").alias("other_w"), "other_start", "other_end", null("double").alias("score"), "hash")
     size, stride = _sizes(c)
@@ -274,7 +282,7 @@ def style_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs(tokenised(repeating(docs(spark, sf_dir)).withColumn("lang", F.lit("en"))))
+    return paragraphs(tokenised(repeating(docs(spark, sf_dir)).withColumn("lang", F.lit("en")))).drop("total")
 
 
 # --- DuckDB ---------------------------------------------------------------------------------------------------------------

@@ -55,10 +55,13 @@ def headers(lines: DataFrame) -> DataFrame:
     next_better = F.min(better).over(Window.partitionBy("doc_id", "run").orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
     heads = heads.withColumn("skip", F.col("generic") & F.coalesce(next_better < F.col("pos") + AHEAD, F.lit(False))).where("NOT skip")
     heads = heads.withColumn("repeat", F.coalesce(F.lower("number") == F.lag(F.lower("number")).over(w), F.lit(False))).where("NOT repeat")
-    heads = heads.withColumn("until", F.coalesce(F.lead("pos").over(w), F.lit(2**31 - 1)))
     first = F.regexp_replace(F.split("trim", "[.!?]", 2)[0], r"^[ \-:\t]+|[ \-:\t]+$", "")
-    prose = rows.where("number = ''").select(F.col("doc_id").alias("d"), F.col("pos").alias("at"), T.find_all(first, "[A-Za-z0-9']+").alias("words")).where("size(words) >= 3")
-    wanted = heads.where("generic").select("doc_id", "pos", "until").join(prose, (F.col("doc_id") == F.col("d")) & (F.col("at") > F.col("pos")) & (F.col("at") < F.col("until")))
+    prose = rows.where("number = ''").select("doc_id", F.col("pos").alias("at"), T.find_all(first, "[A-Za-z0-9']+").alias("words")).where("size(words) >= 3")
+    # each line belongs to the last header above it: one order of headers and lines, no range to join by
+    mixed = prose.withColumn("head", F.lit(None).cast("int")).withColumn("wants", F.lit(None).cast("boolean")).unionByName(heads.select("doc_id", F.col("pos").alias("at"), F.lit(None).cast("array<string>").alias("words"), F.col("pos").alias("head"), F.col("generic").alias("wants")))
+    above = Window.partitionBy("doc_id").orderBy("at")
+    owned = mixed.select("doc_id", "at", "words", F.last("head", True).over(above).alias("pos"), F.last("wants", True).over(above).alias("wants"))
+    wanted = owned.where("wants AND words IS NOT NULL")
     joined = F.array_join(F.slice("words", 1, TITLE_WORDS), " ")
     derived = wanted.groupBy("doc_id", "pos").agg(F.min_by(F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, F.lit(2), F.length(joined))), "at").alias("derived"))
     out = heads.join(derived, ["doc_id", "pos"], "left")
