@@ -7,13 +7,15 @@
    node and the token, about `width` of its tokens and goes on to a child for each. After `LEVELS` levels the nodes are small:
    classes that differ rarely meet, similar ones meet in some tree with a probability near one.
 3. Nodes are compared exhaustively on signatures; nodes above `SMALL` branch further down first. What looks similar
-   (`looks` of the tokens, about four standard deviations below the limit) forms clusters. A node above `NODE_BLOCK` classes is
-   no task's: all its classes meet its first one, and those that do not look like it meet every class of the node, block by block.
+   (`looks` of the tokens, about four standard deviations below the limit) forms clusters; a node above `NODE_BLOCK` classes, which
+   branching has not thinned out, is one cluster as a whole.
 4. In each cluster full sets confirm links, exactly; pairs already joined by confirmed links are skipped, so a group of copies
-   costs about one comparison each and no group's pairs are ever emitted. A cluster above `BLOCK` classes is dealt to blocks
-   that share a few anchors; afterwards the classes outside its main component, in blocks of their own, meet every block, so no
-   pair goes unseen and no group exceeds two blocks.
-5. Signatures of sets below `COORDINATES` shingles scatter too widely: such classes also join clusters by an exact prefix filter
+   costs about one comparison each and no group's pairs are ever emitted. A cluster above `BLOCK` classes is dealt to smaller blocks
+   that share a few anchors, which joins most of a group of copies; the classes that are outside their cluster's main component
+   then branch on by the rarest tokens of their full sets: those that meet in one of their first tokens (a positional prefix filter,
+   exact for sets of any length) are confirmed on full sets. Many documents of one template that are no copies have their own
+   tokens first, so they never meet, however many they are.
+5. Signatures of sets below `COORDINATES` shingles scatter too widely: such classes also join clusters by the same prefixes
    and are compared on full sets alone.
 6. Components of the confirmed links are the groups.
 
@@ -43,7 +45,8 @@ SHINGLE, PERCENT, STAGE_PERCENT = 5, 85, 80
 COORDINATES, TREES, LEVELS, MEET, SMALL = 64, 12, 3, 1.2325, 256
 #: Sets that a set below COORDINATES shingles can be linked with at 80 percent have no more than SHORT.
 SHORT = 100 * (COORDINATES - 1) // 80
-BLOCK, ANCHORS, NODE_BLOCK, BROADCAST_MEMBERS, BROADCAST_NODES = 1000, 4, 20_000, 2_000_000, 100_000
+#: A cluster above BLOCK classes is dealt to blocks of BLOCK / PARTS.
+BLOCK, PARTS, ANCHORS, NODE_BLOCK, BROADCAST_MEMBERS, BROADCAST_NODES = 1000, 4, 4, 20_000, 500_000, 100_000
 U = np.uint64
 MASK48 = U((1 << 48) - 1)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -204,43 +207,9 @@ def _resemble(a: pa.Array, b: pa.Array, percent: int) -> np.ndarray:
 
 
 def large_nodes(members: DataFrame, percent: int, few: bool = True) -> DataFrame:
-    """members(node, sid, sig) of nodes above NODE_BLOCK -> (a, b): all pairs that look similar are joined, over others or directly.
-
-    Classes that look like the node's first are joined to it, so pairs of these need no look. Each of the others is compared with
-    every class of the node: groups of at most two blocks, as many as pairs of a block of others with a block of all. few: the nodes, a row each, may be broadcast.
-    """
-    spread = F.broadcast if few else lambda df: df
-    firsts = members.groupBy("node").agg(F.min_by("sig", "sid").alias("first_sig"), F.min("sid").alias("first"))
-
-    def against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = pa.array(_resemble(batch.column("sig"), batch.column("first_sig"), percent))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "sid", "sig", "first")] + [near], names=["node", "sid", "sig", "first", "near"])
-
-    met = members.join(spread(firsts), "node").select("node", "sid", "sig", "first", "first_sig")
-    marked = written(met.mapInArrow(against_first, "node long, sid long, sig binary, first long, near boolean"))
-    edges = marked.where("near AND sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
-    sizes = marked.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.expr("int(NOT near)")).alias("others")).where("others > 0")
-    if sizes.isEmpty():
-        return edges
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    sized = marked.join(spread(sizes.select("node", blocks("n").alias("n"), blocks("others").alias("others"))), "node")
-    place = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
-    asking = sized.where("NOT near").withColumn("i", place("others")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    asked = sized.withColumn("j", place("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    groups = asking.withColumn("asks", F.lit(True)).unionByName(asked.withColumn("asks", F.lit(False)))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        asks = frame["asks"].to_numpy()
-        sigs, ids = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(-1, COORDINATES), frame["sid"].to_numpy()
-        own, found = np.flatnonzero(~asks), []
-        for i in np.flatnonzero(asks):
-            near = own[((sigs[own] == sigs[i]).sum(1) >= looks(percent) * COORDINATES) & (ids[own] != ids[i])]
-            found += [(ids[i], ids[j]) for j in near]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return edges.unionByName(groups.select("node", "i", "j", "asks", "sid", "sig").groupBy("node", "i", "j").applyInPandas(compare, "a long, b long"))
+    """members(node, sid, sig) of nodes above NODE_BLOCK -> (a, b): all classes of a node are joined, to its first. few: the nodes, a row each, may be broadcast."""
+    firsts = members.groupBy("node").agg(F.min("sid").alias("a"))
+    return members.join(F.broadcast(firsts) if few else firsts, "node").where("sid <> a").select("a", F.col("sid").alias("b"))
 
 
 def alike(sigs: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -308,29 +277,70 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(task, "a long, b long").distinct()
 
 
-def short_edges(table: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes that share a shingle of their prefixes, to the least of each shingle's; no pair with a set below COORDINATES is missed.
+def tokens_of(table: DataFrame) -> DataFrame:
+    """(sid, hashes) -> (sid, n, token): a row for each shingle, n of them to a set."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                found = [unpack(h) for h in some.column("hashes").to_pylist()]
+                sizes = np.array([len(h) for h in found], dtype=np.int64)
+                token = np.concatenate([np.zeros(0, dtype=np.uint64), *found]).astype(np.int64)
+                columns = [some.column("sid").take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(token)]
+                yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "token"])
+        tidy()
+
+    return table.select("sid", "hashes").mapInArrow(task, "sid long, n long, token long")
+
+
+def prefixes(own: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, token) -> (sid, n, token, place): the first n - ceil(limit * n) + 1 of each set's tokens, the rarest first, places from 1.
+
+    Two sets that reach the limit share one of these, in any order that is the same for all sets. Tokens that no other set has come
+    first and are left out.
+    """
+    held = own.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    w = Window.partitionBy("sid")
+    common = own.join(held, "token").withColumn("place", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("held", "token")))
+    return common.where(F.col("place") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).select("sid", "n", "token", "place")
+
 
-    Sets that reach the limit share a shingle among the n - ceil(limit * n) + 1 first of either, in any fixed order: here the rarest first.
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """prefixes() rows with root and outside -> (a, b): pairs of different roots, one of them outside at least, that may reach the limit; none that does is missed.
+
+    The smaller set of a pair is asked for fewer tokens, for its partner is no smaller; and what stands behind a shared token must
+    be enough for the shingles that the pair needs in common.
     """
+    needed = lambda n: F.ceil(n * percent / (100.0 + percent) - 1e-9)
+    of = lambda df, x: df.select(F.col("token"), *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "place", "root", "outside")])
+    index = rows.where(F.col("place") <= F.col("n") - needed(F.col("n") * 2) + 1)
+    order = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_sid") > F.col("b_sid")))
+    enough = 1 + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= needed(F.col("a_n") + F.col("b_n"))
+    fits = order & (F.col("a_root") != F.col("b_root")) & (F.col("b_n") * 100 >= F.col("a_n") * percent) & enough
+    met = lambda a, b: of(a, "a").join(of(b, "b"), "token").where(fits).select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    return met(rows.where("outside"), index).unionByName(met(rows.where("NOT outside"), index.where("outside"))).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets (sid, hashes) reach the limit."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [unpack(h) for h in batch.column("hashes").to_pylist()]
-            sizes = np.array([len(h) for h in found], dtype=np.int64)
-            token = np.concatenate([np.zeros(0, dtype=np.uint64), *found]).astype(np.int64)
-            columns = [batch.column("sid").take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(token)]
-            yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "token"])
+            good = [similar(unpack(x), unpack(y), percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        tidy()
+
+    one, other = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
 
+
+def short_edges(table: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes that share a shingle of their prefixes, to the least of each shingle's; no pair with a set below COORDINATES is missed."""
     least = 100 * (COORDINATES - 1) // percent
     assert least <= SHORT, "hashes of longer sets are not kept"
-    own = table.where(F.col("sid").isNotNull() & (F.col("n_shingles") <= least)).select("sid", "hashes").mapInArrow(task, "sid long, n long, token long")
-    own = written(own.distinct())
-    held = own.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    common = own.join(held, "token")
-    w = Window.partitionBy("sid")
-    common = common.withColumn("place", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("held", "token")))
-    prefix = written(common.where(F.col("place") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).select("sid", "token"))
+    own = written(tokens_of(table.where(F.col("sid").isNotNull() & (F.col("n_shingles") <= least))).distinct())
+    prefix = written(prefixes(own, percent).select("sid", "token"))
     firsts = prefix.groupBy("token").agg(F.min("sid").alias("a"))
     edges = written(prefix.join(firsts, "token").where("sid <> a").select("a", F.col("sid").alias("b")).distinct())
     discard(own)
@@ -348,14 +358,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def confirm(ids: list[int], hashes: list[np.ndarray], sigs: np.ndarray, percent: int, outside: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Confirmed links that join the rows into their exact components; with `outside`, only pairs with such a row are asked."""
+def confirm(ids: list[int], hashes: list[np.ndarray], sigs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that join the rows into their exact components."""
     n = len(ids)
     label, size, links = np.arange(n), np.array([len(h) for h in hashes]), []
     for i in range(n - 1):
         rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        if outside is not None and not outside[i]:
-            rest = rest[outside[rest]]
         rest = rest[(100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
         if len(rest):  # signatures of short sets scatter too widely to judge by
             short = np.minimum(size[rest], size[i]) < COORDINATES
@@ -368,13 +376,12 @@ def confirm(ids: list[int], hashes: list[np.ndarray], sigs: np.ndarray, percent:
 
 
 def confirmed(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """members(keys, sid, sig, hashes, outside) -> (a, b), group by group; groups are bounded by BLOCK."""
+    """members(keys, sid, sig, hashes) -> (a, b), group by group; groups are bounded by BLOCK."""
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("sid").sort_values("sid")
         sigs = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(-1, COORDINATES)
-        outside = frame["outside"].to_numpy() if frame["outside"].notna().all() else None
-        links = confirm(frame["sid"].tolist(), [unpack(h) for h in frame["hashes"]], sigs, percent, outside)
+        links = confirm(frame["sid"].tolist(), [unpack(h) for h in frame["hashes"]], sigs, percent)
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return members.groupBy(*keys).applyInPandas(group, "a long, b long")
@@ -399,7 +406,7 @@ def links(table: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFram
     discard(met)
     clusters = written(components(edges).select(F.col("node").alias("sid"), F.col("root").alias("cluster")))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sizes = sizes.withColumn("blocks", F.when(F.col("n") > BLOCK, F.ceil(F.col("n") * PARTS / BLOCK)).otherwise(1).cast("int"))
     placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
 
     wanted = placed.join(classes.select("sid", "least"), "sid").select("sid", F.col("least").alias("doc_key"), "cluster", "block", "blocks")
@@ -408,7 +415,7 @@ def links(table: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFram
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     asked = docs.select("doc_id", "text").withColumn("doc_key", key).join(wanted.select("doc_key").distinct() if n_wanted > BROADCAST_MEMBERS else F.broadcast(wanted.select("doc_key").distinct()), "doc_key", "left_semi")
     full = sets(asked, whole=True).where("sid IS NOT NULL").select("sid", key.alias("doc_key"), "sig", "hashes")
-    members = written(full.join(wanted, ["sid", "doc_key"]).dropDuplicates(["sid"]).withColumn("outside", F.lit(None).cast("boolean")))
+    members = written(full.join(wanted, ["sid", "doc_key"]).dropDuplicates(["sid"]))
     discard(edges)
 
     large = members.where("blocks > 1")
@@ -419,18 +426,19 @@ def links(table: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFram
     if large.isEmpty():
         discard(members)
         return found
-    # classes outside their cluster's main component meet every block, a block of them with a block of all
+    # classes outside their cluster's main component meet the others by prefixes of their full sets
     roots = components(found)
-    labelled = large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    labelled = large.select("sid", "cluster").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    labelled = written(labelled)
     counts = labelled.groupBy("cluster", "root").count()
-    main = counts.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("inside"))
-    main = main.select("cluster", "main", F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int").alias("visits")).where("visits > 0")
-    labelled = written(labelled.join(main, "cluster").withColumn("outside", F.col("root") != F.col("main")).drop("root", "main"))
-    visit = F.pmod(F.xxhash64("sid", F.lit(3)), F.col("visits")).cast("int")
-    visitors = labelled.where("outside").withColumn("visit", visit).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # a visitor is itself a row of its block: it is there once, as a visitor, where both are the same
-    hosts = labelled.withColumn("visit", F.explode(F.sequence(F.lit(0), F.col("visits") - 1))).where(~F.col("outside") | (F.col("visit") != visit)).withColumn("outside", F.lit(False))
-    more = confirmed(visitors.unionByName(hosts), ["cluster", "visit", "block"], percent)
+    main = counts.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    placed = labelled.join(main, "cluster").select("sid", "root", (F.col("root") != F.col("main")).alias("outside"))
+    if placed.where("outside").isEmpty():
+        return found
+    prefix = written(prefixes(tokens_of(large), percent).join(placed, "sid"))
+    more = written(verified(prefix_pairs(prefix, percent), large.select("sid", "hashes"), percent))
+    for table in (prefix, labelled, members):
+        discard(table)
     return found.unionByName(more)
 
 

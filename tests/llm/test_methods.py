@@ -356,3 +356,92 @@ def test_a_damaged_block_or_header_is_named():
     with pytest.raises(ValueError, match="not a frame"):
         range_coder.decode(b"QMR2" + frame[4:])
     assert (range_coder.decode(frame) == ids).all() and (range_coder.decode(range_coder.encode(ids[:1])) == ids[:1]).all()
+
+
+# --- families of documents ------------------------------------------------------------------------------------------------
+
+
+def plain_components(texts, percent):
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    return [min(i for i, x in enumerate(label) if x == y) for y in label]
+
+
+def test_documents_of_one_template_never_meet(spark, monkeypatch):
+    """Alike at 78 percent, linked by none: no pair of them is even a candidate, though all are one cluster."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    seen = []
+    pairs = near_dedup.prefix_pairs
+    monkeypatch.setattr(near_dedup, "prefix_pairs", lambda rows, percent: seen.append(pairs(rows, percent).count()) or pairs(rows, percent))
+    base = [f"t{k}" for k in range(180)]
+    texts = [" ".join(base + [f"d{i}x{k}" for k in range(20)]) for i in range(1500)]
+    got = near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).where("NOT kept").count()
+    assert got == 0 and seen == [0]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_families_of_all_degrees_equal_brute_force(spark, monkeypatch, percent):
+    """Templates with 0 to 40 own words, in one place or scattered: all links are found, whatever cluster they are in."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    r = np.random.default_rng(9)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}t{k}" for k in range(150)]
+        for i in range(60):
+            n = int(r.integers(0, 41))
+            if r.random() < 0.5:
+                words = base + [f"o{r.integers(40)}" if r.random() < 0.4 else f"u{family}x{i}x{k}" for k in range(n)]
+            else:
+                words = list(base)
+                for k in r.choice(150, n // 6, replace=False):
+                    words[k] = f"c{r.integers(5)}"
+            texts.append(" ".join(words))
+    got = {x.doc_id: x.component_id for x in near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent).collect()}
+    assert got == dict(enumerate(plain_components(texts, percent)))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_prefix_pairs_miss_no_link(spark, percent):
+    r = np.random.default_rng(percent)
+    sets = {}
+    for i in range(120):
+        own = set(r.integers(0, 60, int(r.integers(2, 30))).tolist())
+        sets[i] = own
+        sets[1000 + i] = {x for x in own if r.random() < 0.93} or own
+    rows = spark.createDataFrame([(s, len(v), t) for s, v in sets.items() for t in v], "sid long, n long, token long")
+    labels = spark.createDataFrame([(s, s, s % 3 > 0) for s in sets], "sid long, root long, outside boolean")
+    found = {frozenset((x.a, x.b)) for x in near_dedup.prefix_pairs(near_dedup.prefixes(rows, percent).join(labels, "sid"), percent).collect()}
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and (a % 3 or b % 3) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert want <= found and len(want) > 30
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("length", [30, 80, 150, 1000])
+def test_recall_at_every_length(spark, length, percent):
+    """Pairs just above the limit, of short and long texts: at least 95 in 100 are linked."""
+    r = np.random.default_rng(length)
+    texts, pairs = [], []
+    for g in range(150):
+        words = [f"g{g}w{k}" for k in range(length)]
+        least, n = None, 0
+        for _ in range(length):  # as many changes as leave it at the limit
+            other = list(words if least is None else least)
+            if length < 60:  # one changed word in the middle would be too many
+                other.append(f"e{r.integers(1 << 30)}")
+            else:
+                other[int(r.integers(0, length))] = f"e{r.integers(1 << 30)}"
+            a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+            if 100 * len(a & b) < percent * len(a | b):
+                break
+            least, n = other, n + 1
+        if least:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join(words), " ".join(least)]
+    found = {x.doc_id: x.component_id for x in near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent).collect()}
+    share = np.mean([found[i] == found[j] for i, j in pairs])
+    print(f"recall at {percent} percent, {length} words: {share:.3f} of {len(pairs)}")
+    assert len(pairs) > 50 and share >= 0.95
