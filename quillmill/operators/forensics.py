@@ -16,6 +16,8 @@ PATTERNS = {
     "age": rf"(?i){E}([A-Z][a-z]+){E}[^.\n]{{0,35}}{E}(?:age|aged){E}[^0-9\n]{{0,10}}([0-9]{{1,3}}){E}",
     "dead": rf"(?i){E}([A-Z][a-z]+){E}[^.\n]{{0,30}}{E}(dead|alive){E}",
 }
+#: Words of which a match holds one.
+GATES = {"eyes": ("eyes",), "age": ("age",), "dead": ("dead", "alive")}
 
 
 def canonical(name: Column, aliases: Column | None = None) -> Column:
@@ -33,8 +35,12 @@ def profiles(chaps: DataFrame) -> DataFrame:
 
 
 def _pairs(t: Column, attr: str, pattern: str) -> Column:
-    values = T.find_all(t, pattern, 2)
-    return F.transform(F.arrays_zip(T.find_all(t, pattern, 1), values), lambda p, i: F.struct(F.lit(attr).alias("attr"), i.alias("pos"), p["0"].alias("name"), p["1"].alias("value")))
+    """(attr, pos, name, value) of every match: the pattern runs once, and only where one of its words is there; a match begins with the name and ends with the value."""
+    there = F.lit(False)
+    for word in GATES[attr]:
+        there = there | F.lower(t).contains(word)
+    found = F.transform(T.find_all(t, pattern), lambda m, i: F.struct(F.lit(attr).alias("attr"), i.alias("pos"), F.regexp_extract(m, "^[A-Za-z]+", 0).alias("name"), F.regexp_extract(m, "[0-9A-Za-z]+$", 0).alias("value")))
+    return F.when(there, found).otherwise(F.array().cast("array<struct<attr:string,pos:int,name:string,value:string>>"))
 
 
 def severity(attr: Column) -> Column:
@@ -97,6 +103,18 @@ def forensic_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plausible(contradictions(profiles(factual(spark, sf_dir))))
 
 
+def aliased(facts: DataFrame) -> DataFrame:
+    """Facts with aliases put in: two names of one person by a common alias, blanks and empty ones."""
+    name = F.col("name")
+    known = F.when(name == "John", F.array(F.lit(" The Captain "), F.lit(""))).when(name == "Mary", F.array(F.lit("the captain"), F.lit("Zoe"))).when(name == "man", F.array(F.lit("  ")))
+    return facts.withColumn("aliases", known)
+
+
+def forensic_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contradictions where names are one person by their aliases."""
+    return contradictions(aliased(profiles(factual(spark, sf_dir))))
+
+
 def forensic_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     chaps = factual(spark, sf_dir)
     short = chaps.where("chapter % 5 <> 0").select("doc_id", "chapter", T.first_words(F.col("text"), 8).alias("summary"))
@@ -114,13 +132,17 @@ _SQLP = {k: p.replace(E, r"\b") for k, p in PATTERNS.items()}
 _one = lambda k: f"SELECT doc_id, chapter, '{k}' AS attr, i AS pos, ns[i] AS name, vs[i] AS value FROM (SELECT doc_id, chapter, ns, vs, unnest(range(1, len(ns) + 1)) AS i FROM (SELECT doc_id, chapter, regexp_extract_all(text, '{_SQLP[k]}', 1) AS ns, regexp_extract_all(text, '{_SQLP[k]}', 2) AS vs FROM {_FACTUAL}))"
 _ign = ", ".join(f"'{w}'" for w in IGNORED)
 _PROFILES = f"pf AS (SELECT doc_id, chapter, name, attr, arg_max(CASE attr WHEN 'age' THEN value WHEN 'dead' THEN (lower(value) = 'dead')::VARCHAR ELSE lower(value) END, pos) AS value FROM ({' UNION ALL '.join(map(_one, PATTERNS))}) WHERE name NOT IN ({_ign}) GROUP BY doc_id, chapter, name, attr)"
-_CON = f"""{_PROFILES}, x AS (SELECT *, lower(name) AS entity, first_value(lower(value)) OVER (PARTITION BY doc_id, lower(name), attr ORDER BY chapter, name, value) AS f FROM pf),
+_CON_OF = f"""{_PROFILES}, x AS (SELECT *, $E AS entity, first_value(lower(value)) OVER (PARTITION BY doc_id, $E, attr ORDER BY chapter, name, value) AS f FROM pf),
 y AS (SELECT *, last_value(CASE WHEN lower(value) = f THEN value END IGNORE NULLS) OVER w AS value_a, last_value(CASE WHEN lower(value) = f THEN chapter END IGNORE NULLS) OVER w AS chapter_a FROM x WINDOW w AS (PARTITION BY doc_id, entity, attr ORDER BY chapter, name, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cn AS (SELECT doc_id, entity, attr, value_a, value AS value_b, chapter_a, chapter AS chapter_b FROM y WHERE lower(value) <> f AND NOT (attr = 'dead' AND value_a = 'false' AND value = 'true' AND chapter > chapter_a))"""
-QUERIES = {"forensic_profiles": forensic_profiles, "forensic_contradictions": forensic_contradictions, "forensic_issues": forensic_issues, "forensic_tables": forensic_tables}
+cn AS (SELECT doc_id, entity, attr, value_a, value AS value_b, chapter_a, chapter AS chapter_b FROM y WHERE lower(value) <> f $P)"""
+_CON = _CON_OF.replace("$E", "lower(name)").replace("$P", "AND NOT (attr = 'dead' AND value_a = 'false' AND value = 'true' AND chapter > chapter_a)")
+_ALIAS = "list_min(list_filter(list_transform(list_concat([name], CASE name WHEN 'John' THEN [' The Captain ', ''] WHEN 'Mary' THEN ['the captain', 'Zoe'] WHEN 'man' THEN ['  '] ELSE [] END), lambda n: lower(trim(n))), lambda n: n <> ''))"
+_TOLD = """CASE WHEN attr IN ('dead', 'alive') THEN 'HIGH' WHEN attr IN ('age', 'name', 'eyes') THEN 'MED' ELSE 'LOW' END AS severity, format('{} changed for {}: "{}" in Ch{} but "{}" in Ch{}', attr, entity, value_a, chapter_a, value_b, chapter_b) AS description"""
+QUERIES = {"forensic_profiles": forensic_profiles, "forensic_contradictions": forensic_contradictions, "forensic_issues": forensic_issues, "forensic_aliases": forensic_aliases, "forensic_tables": forensic_tables}
 ORACLES = {
     "forensic_profiles": f"WITH {_PROFILES} SELECT * FROM pf",
     "forensic_contradictions": f"""WITH {_CON} SELECT *, CASE WHEN attr IN ('dead', 'alive') THEN 'HIGH' WHEN attr IN ('age', 'name', 'eyes') THEN 'MED' ELSE 'LOW' END AS severity, format('{{}} changed for {{}}: "{{}}" in Ch{{}} but "{{}}" in Ch{{}}', attr, entity, value_a, chapter_a, value_b, chapter_b) AS description FROM cn""",
+    "forensic_aliases": f"WITH {_CON_OF.replace('$E', _ALIAS).replace('$P', '')} SELECT *, {_TOLD} FROM cn",
     "forensic_issues": f"WITH {_CON}, sm AS (SELECT doc_id, chapter, array_to_string(list_filter(regexp_split_to_array(text, '{T.WIDE}+'), lambda x: x <> '')[1:8], ' ') AS s FROM {_FACTUAL} WHERE chapter % 5 <> 0) SELECT cn.*, format('issue-{{:03d}}', row_number() OVER (PARTITION BY cn.doc_id ORDER BY entity, attr, chapter_b, value_b)) AS issue_id, coalesce(a.s, '') AS summary_a, coalesce(b.s, '') AS summary_b FROM cn LEFT JOIN sm a ON a.doc_id = cn.doc_id AND a.chapter = chapter_a LEFT JOIN sm b ON b.doc_id = cn.doc_id AND b.chapter = chapter_b",
     "forensic_tables": f"WITH {_CON}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY entity, attr, chapter_b, value_b) AS ord FROM cn), e AS (SELECT doc_id, entity, min(ord) AS first_id, count(*) AS n FROM o GROUP BY doc_id, entity) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_id)::INT AS id, entity AS name, '[]' AS aliases, '{{}}' AS attributes, n, first_id::INT AS first_id FROM e",
 }

@@ -12,7 +12,7 @@ from ..functions import providers
 from ..functions import text as T
 from ..operators import characters, detector, forensics, genre, language, scoring, slop, structure, text, timeline
 from ..operators.text import _D, docs, sql_fields
-from ..streaming.logs import Trace
+from ..streaming.logs import Trace, progress
 
 EMPTY = {"title": "No Manuscript Loaded", "status": "IDLE", "age": "Unknown"}
 
@@ -63,13 +63,13 @@ def report(manuscripts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def save(tables: dict[str, DataFrame], folder: str, trace: Trace | None = None) -> dict[str, DataFrame]:
-    """Each table as Parquet below the folder, read back: what is built on them later does not compute them again. The trace is told of every table."""
+    """Each table as Parquet below the folder, read back: what is built on them later does not compute them again. The trace is told of every table, of the tasks done within each, and of a failure."""
     trace = trace or Trace()
     saved = {}
     for i, (name, table) in enumerate(tables.items()):
-        trace(100 * i // len(tables), name, "writing")
         path = f"{folder.rstrip('/')}/{name}"
-        table.write.mode("overwrite").parquet(path)
+        with progress(table.sparkSession, trace, name, 100 * i // len(tables), 100 * (i + 1) // len(tables)):
+            table.write.mode("overwrite").parquet(path)
         saved[name] = table.sparkSession.read.schema(table.schema).parquet(path)
     trace(100, "done", f"{len(tables)} tables")
     return saved

@@ -76,7 +76,7 @@ def read_files(spark: SparkSession, path: str, lang: str = "en") -> DataFrame:
 
 def read_text(spark: SparkSession, path: str, lang: str = "en") -> DataFrame:
     """Plain-text manuscripts, one per file; the text is kept as it is, so blank lines count as paragraph breaks."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     title = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
     return rows.select(F.xxhash64("path").alias("doc_id"), title.alias("title"), "path", F.lit(lang).alias("lang"), F.col("value").alias("text"))
 
@@ -88,7 +88,7 @@ def excerpt(spark: SparkSession, text: str, lang: str = "en") -> DataFrame:
 
 def read_chapters(spark: SparkSession, path: str) -> DataFrame:
     """A tree of <book>_chapters/chapter_NNN.txt -> book, chapter, text."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "chapter_*.txt").text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="chapter_*.txt")
     where = F.col("_metadata.file_path")
     return rows.select(F.regexp_extract(where, r"([^/]+?)(?:_chapters)?/chapter_[0-9]+\.txt$", 1).alias("book"), F.regexp_extract(where, r"chapter_([0-9]+)\.txt$", 1).cast("int").alias("chapter"), F.col("value").alias("text"))
 

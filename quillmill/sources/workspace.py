@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..operators.text import _D, docs
+from . import transactions
 
 FOLDERS = ("configs", "cache/embeddings", "projects")
 SETTINGS = {"theme": "dark", "default_model": ""}
@@ -58,6 +59,36 @@ def create_project(root: str, title: str, name: str, content: bytes) -> Path:
     return folder
 
 
+def create_projects(manuscripts: DataFrame, root: str) -> DataFrame:
+    """manuscripts(title, name, content) -> project_id, title, source_name, one row per project; any number of projects in one job for each of two writes.
+
+    Sources go to <root>/sources/project_id=<id>, replaced where they are there; of manuscripts with one id the one of the largest name and content
+    is taken. Reports go to <root>/reports/project_id=<id> as JSON, made only where the listing has none. Both are Spark's own partitioned
+    writes, so any file system that it knows will do.
+    """
+    spark = manuscripts.sparkSession
+    named = manuscripts.select(project_id(F.col("title")).alias("project_id"), "title", source_name(F.col("name")).alias("source_name"), "content")
+    best = F.struct("source_name", "title", "content")
+    rows = named.groupBy("project_id").agg(F.max(best).alias("x")).select("project_id", "x.*")
+    rows.repartition("project_id").sortWithinPartitions("project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(f"{root}/sources")
+    made = spark.read.parquet(f"{root}/sources").select(F.col("project_id").cast("string"), "title", "source_name")
+    own = named.select("project_id").distinct()
+    seeds = made.join(own, "project_id", "left_semi").join(reported(spark, root), "project_id", "left_anti")
+    told = seeds.select("project_id", "title", F.lit(None).cast("string").alias("analysis"))
+    told.repartition("project_id").sortWithinPartitions("project_id").write.mode("append").option("ignoreNullFields", False).partitionBy("project_id").json(f"{root}/reports")
+    return made.join(own, "project_id", "left_semi")
+
+
+def reported(spark: SparkSession, root: str) -> DataFrame:
+    """project_id of the projects that have a report, from the listing of the files alone."""
+    none = spark.range(0).select(F.lit("").alias("project_id"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/reports")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return none
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(f"{root}/reports").select("path")
+    return none.unionByName(files.select(F.regexp_extract("path", "project_id=([0-9a-f]{12})/", 1).alias("project_id")).distinct())
+
+
 def save_reports(reports: DataFrame, path: str) -> None:
     """Reports as JSON lines, replacing what is there."""
     reports.write.mode("overwrite").json(path)
@@ -70,6 +101,11 @@ def save_tables(entities: DataFrame, contradictions: DataFrame, database: str |
         table.write.mode("overwrite").format("parquet").saveAsTable(prefix + name)
 
 
+def commit_tables(entities: DataFrame, contradictions: DataFrame, root: str) -> int:
+    """Both tables replaced in one transaction, or neither: see transactions."""
+    return transactions.commit(entities.sparkSession, root, {"entities": entities, "contradictions": contradictions})
+
+
 def ensure_tables(spark: SparkSession, entities: StructType, contradictions: StructType, database: str | None = None) -> None:
     """Both tables, empty, where they are not there yet; what is there stays."""
     prefix = f"{database}." if database else ""

@@ -1,13 +1,19 @@
-"""Log lines: union without repeats, filters, tails and session format, for tables and streams; and the stream of new manuscripts."""
+"""Log lines: union without repeats, filters, tails and session format, for tables and streams; progress of writes and streams; and the stream of new manuscripts."""
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
+from pyspark.sql.types import LongType, StructField, StructType
 
 KEYS = ["time", "level", "stage", "message", "detail"]
 TAIL, RECENT, TRACES = 250, 8, 400
@@ -46,6 +52,77 @@ def without_runs(lines: DataFrame, order: str, by: str, columns: list[str]) -> D
     return lines.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != key)).drop("_b")
 
 
+class _Ring(StatefulProcessor):
+    """Per key: lines that wait for their turn, the last n that had it, and the key columns of the very last one.
+
+    A line waits until the watermark has passed its time, so lines that come out of order within the delay are taken in order.
+    """
+
+    def __init__(self, by: str, schema: StructType, time_column: str, order: str, columns: list[str] | None, n: int):
+        self.by, self.schema, self.time, self.order, self.columns, self.n = by, schema, time_column, order, columns, n
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.ring = handle.getListState("ring", self.schema)
+
+    def _rows(self, state) -> list[tuple]:
+        return [tuple(r) for r in state.get()] if state.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            own = frame[self.schema.names]
+            self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in own.astype(object).itertuples(index=False)])
+            self.handle.registerTimer(int(frame[self.time].max().timestamp() * 1000))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, names = timerValues.getCurrentWatermarkInMs(), self.schema.names
+        at, order = names.index(self.time), names.index(self.order)
+        waiting = self._rows(self.waiting)
+        due = sorted((r for r in waiting if pd.Timestamp(r[at]).timestamp() * 1000 <= passed), key=lambda r: r[order])
+        if not due:
+            yield pd.DataFrame()
+            return
+        ring = self._rows(self.ring)
+        for row in due:
+            same = [names.index(c) for c in self.columns or []]
+            if not ring or not same or any(row[i] != ring[-1][i] for i in same):
+                ring.append(row)
+        ring = ring[-self.n :]
+        self.ring.put(ring)
+        left = [r for r in waiting if pd.Timestamp(r[at]).timestamp() * 1000 > passed]
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        shown = pd.DataFrame(ring, columns=names)
+        shown.insert(0, self.by, key[0])
+        yield shown.assign(version=passed)
+
+    def close(self) -> None:
+        pass
+
+
+def tail_stream(lines: DataFrame, order: str, by: str, n: int = TAIL, columns: list[str] | None = None, time_column: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """A stream's last n lines of each group, without lines equal to the one before in `columns` if these are named: rows of the group's tail and its version.
+
+    A group's tail is given out anew, with a higher version, whenever the watermark lets lines into it: latest() of what was given out is what
+    tail() and without_runs() make of the same lines as a table. Lines later than the delay are left out. State is a ring of n lines a group and
+    the lines within the delay; it needs a state store of the RocksDB kind.
+    """
+    schema = StructType([f for f in lines.schema if f.name != by])
+    out = StructType([lines.schema[by], *schema, StructField("version", LongType())])
+    grouped = lines.withWatermark(time_column, delay).groupBy(by)
+    return grouped.transformWithStateInPandas(_Ring(by, schema, time_column, order, columns, n), out, "Update", "EventTime")
+
+
+def latest(given: DataFrame, by: str) -> DataFrame:
+    """The tails of the highest version of each group, of all that a tail_stream() gave out."""
+    newest = given.groupBy(by).agg(F.max("version").alias("version"))
+    return given.join(newest, [by, "version"], "left_semi").dropDuplicates().drop("version")
+
+
 def session_lines(lines: DataFrame) -> DataFrame:
     """One string per line, as session files hold them."""
     detail = F.when(F.coalesce("detail", F.lit("")) == "", "").otherwise(F.concat(F.lit(" | "), "detail"))
@@ -72,6 +149,70 @@ class Trace:
         return spark.createDataFrame(list(self.entries), ", ".join(f"{k} string" for k in KEYS))
 
 
+@contextmanager
+def progress(spark: SparkSession, trace: Trace, stage: str, low: int = 0, high: int = 100, every: float = 0.2) -> Iterator[None]:
+    """Tell the trace how far the jobs within have come: tasks done of those known, as a percentage from low to high that never falls; and of a failure.
+
+    The jobs run as a group, whose tasks the status tracker counts; stages that adaptive execution adds later count as they come.
+    """
+    context, group, over = spark.sparkContext, uuid.uuid4().hex, threading.Event()
+    reached = [low]
+
+    def look() -> None:
+        tracker = context.statusTracker()
+        while not over.wait(every):
+            stages: dict[int, tuple[int, int]] = {}
+            for job in tracker.getJobIdsForGroup(group):
+                info = tracker.getJobInfo(job)
+                for number in info.stageIds if info else ():
+                    told = tracker.getStageInfo(number)
+                    if told:
+                        stages[number] = (told.numCompletedTasks, told.numTasks)
+            done, known = sum(d for d, _ in stages.values()), sum(n for _, n in stages.values())
+            percent = low + (high - low) * done // (known + 1)
+            if percent > reached[0]:
+                reached[0] = percent
+                trace(percent, stage, f"{done} of {known} tasks")
+
+    trace(low, stage, "begins")
+    context.setJobGroup(group, stage)
+    watcher = threading.Thread(target=look, daemon=True)
+    watcher.start()
+    try:
+        yield
+    except Exception as e:
+        over.set()
+        watcher.join()
+        trace(reached[0], stage, f"failed: {type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}")
+        raise
+    finally:
+        over.set()
+        watcher.join()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    trace(high, stage, "done")
+
+
+class StreamTrace(StreamingQueryListener):
+    """Tells a trace of every batch of the session's streams, and how they end: spark.streams.addListener(StreamTrace(trace))."""
+
+    def __init__(self, trace: Trace):
+        self.trace = trace
+
+    def onQueryStarted(self, event) -> None:
+        self.trace(0, event.name or "stream", "begins")
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.trace(50, p.name or "stream", f"batch {p.batchId}: {p.numInputRows} rows")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.trace(100, "stream", f"failed: {event.exception.splitlines()[0][:200]}" if event.exception else "done")
+
+
 def watch(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame, int], None]):
     """Extension: new text files in a folder become manuscripts(doc_id, title, lang, text), batch by batch; started, not awaited."""
     files = spark.readStream.format("text").option("wholetext", True).load(folder)

@@ -108,11 +108,13 @@ def test_books_take_their_metadata(spark, tmp_path):
         folder = tmp_path / f"{book}_chapters"
         folder.mkdir()
         for i in (1, 2, 10):
-            (folder / f"chapter_{i:03d}.txt").write_text(f"{book} {i}")
+            (folder / f"chapter_{i:03d}.txt").write_text(f"{book} {i}\n\nsecond line {i}")
     (tmp_path / "red_sky.meta.json").write_text('{\n "title": "The Red Sky",\n "genre": "thriller",\n "total_words": 12,\n "other": [1]\n}')
     (tmp_path / "green.meta.json").write_text("{ broken")
     told = {r.book: r for r in ingest.read_metadata(spark, str(tmp_path)).collect()}
     assert told["red_sky"].total_words == 12 and told["green"].title is None
     got = {r.book: r for r in ingest.read_books(spark, str(tmp_path)).collect()}
-    assert (got["red_sky"].title, got["red_sky"].genre, got["red_sky"].text) == ("The Red Sky", "thriller", "red_sky 1\n\nred_sky 2\n\nred_sky 10")
+    assert (got["red_sky"].title, got["red_sky"].genre, got["red_sky"].text) == ("The Red Sky", "thriller", "\n\n".join(f"red_sky {i}\n\nsecond line {i}" for i in (1, 2, 10)))
     assert (got["blue_sea"].title, got["blue_sea"].genre) == ("Blue sea", None)
+    (tmp_path / "plain.txt").write_text("one\n\ntwo\n")
+    assert [r.text for r in ingest.read_text(spark, str(tmp_path / "plain.txt")).collect()] == ["one\n\ntwo\n"]
