@@ -45,6 +45,8 @@ SHINGLE, PERCENT, STAGE_PERCENT = 5, 85, 80
 COORDINATES, TREES, LEVELS, MEET, SMALL = 64, 12, 3, 1.2325, 256
 #: Sets that a set below COORDINATES shingles can be linked with at 80 percent have no more than SHORT.
 SHORT = 100 * (COORDINATES - 1) // 80
+#: Hash buckets of shingles that are counted together, to order them by.
+KINDS = 1 << 20
 #: A cluster above BLOCK classes is dealt to blocks of BLOCK / PARTS.
 BLOCK, PARTS, ANCHORS, NODE_BLOCK, BROADCAST_MEMBERS, BROADCAST_NODES = 1000, 4, 4, 20_000, 500_000, 100_000
 U = np.uint64
@@ -277,33 +279,52 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(task, "a long, b long").distinct()
 
 
-def tokens_of(table: DataFrame) -> DataFrame:
-    """(sid, hashes) -> (sid, n, token): a row for each shingle, n of them to a set."""
+def commonness(table: DataFrame) -> np.ndarray:
+    """How common shingles are: the logarithm of the number of sets in (hashes) that hold one of each of KINDS hash buckets; a byte for each, whatever the table's size."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(KINDS, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                found = [unpack(h) for h in some.column("hashes").to_pylist()]
-                sizes = np.array([len(h) for h in found], dtype=np.int64)
-                token = np.concatenate([np.zeros(0, dtype=np.uint64), *found]).astype(np.int64)
-                columns = [some.column("sid").take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(token)]
-                yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "token"])
+            for raw in batch.column("hashes").to_pylist():
+                total[kind(unpack(raw))] += 1
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["kind", "n"])
         tidy()
 
-    return table.select("sid", "hashes").mapInArrow(task, "sid long, n long, token long")
+    found = table.select("hashes").mapInArrow(task, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n"))
+    rows = found.select(F.col("kind").cast("int"), F.ceil(F.log2("n")).cast("byte").alias("level")).toArrow()  # KINDS rows at most
+    levels = np.zeros(KINDS, dtype=np.uint8)
+    levels[rows.column("kind").to_numpy()] = rows.column("level").to_numpy()
+    return levels
 
 
-def prefixes(own: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, token) -> (sid, n, token, place): the first n - ceil(limit * n) + 1 of each set's tokens, the rarest first, places from 1.
+def kind(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) % U(KINDS)).astype(np.int64)
 
-    Two sets that reach the limit share one of these, in any order that is the same for all sets. Tokens that no other set has come
-    first and are left out.
+
+def prefixes(table: DataFrame, percent: int) -> DataFrame:
+    """(sid, hashes) -> (sid, n, token, place): the first n - ceil(limit * n) + 1 of each set's n shingles, the rarest first, places from 1.
+
+    Two sets that reach the limit share one of these, in any order that is the same for all sets: here by commonness(), then by hash.
     """
-    held = own.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    w = Window.partitionBy("sid")
-    common = own.join(held, "token").withColumn("place", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("held", "token")))
-    return common.where(F.col("place") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).select("sid", "n", "token", "place")
+    levels = commonness(table)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                sizes, firsts = [], []
+                for raw in some.column("hashes").to_pylist():
+                    own = unpack(raw)
+                    sizes.append(len(own))
+                    firsts.append(own[np.argsort(levels[kind(own)], kind="stable")[: len(own) - -(-len(own) * percent // 100) + 1]])
+                held = np.array([len(x) for x in firsts], dtype=np.int64)
+                places = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + 1
+                columns = [some.column("sid").take(pa.array(np.repeat(np.arange(len(held)), held))), pa.array(np.repeat(np.array(sizes, dtype=np.int64), held)), pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *firsts]).astype(np.int64)), pa.array(places)]
+                yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "token", "place"])
+        tidy()
+
+    return table.select("sid", "hashes").mapInArrow(task, "sid long, n long, token long, place long")
 
 
 def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -339,11 +360,9 @@ def short_edges(table: DataFrame, percent: int) -> DataFrame:
     """(a, b): classes that share a shingle of their prefixes, to the least of each shingle's; no pair with a set below COORDINATES is missed."""
     least = 100 * (COORDINATES - 1) // percent
     assert least <= SHORT, "hashes of longer sets are not kept"
-    own = written(tokens_of(table.where(F.col("sid").isNotNull() & (F.col("n_shingles") <= least))).distinct())
-    prefix = written(prefixes(own, percent).select("sid", "token"))
-    firsts = prefix.groupBy("token").agg(F.min("sid").alias("a"))
+    prefix = written(prefixes(table.where(F.col("sid").isNotNull() & (F.col("n_shingles") <= least)), percent).select("sid", "token").distinct())
+    firsts = prefix.groupBy("token").agg(F.min("sid").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     edges = written(prefix.join(firsts, "token").where("sid <> a").select("a", F.col("sid").alias("b")).distinct())
-    discard(own)
     discard(prefix)
     return edges
 
@@ -435,7 +454,7 @@ def links(table: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFram
     placed = labelled.join(main, "cluster").select("sid", "root", (F.col("root") != F.col("main")).alias("outside"))
     if placed.where("outside").isEmpty():
         return found
-    prefix = written(prefixes(tokens_of(large), percent).join(placed, "sid"))
+    prefix = written(prefixes(large, percent).join(placed, "sid"))
     more = written(verified(prefix_pairs(prefix, percent), large.select("sid", "hashes"), percent))
     for table in (prefix, labelled, members):
         discard(table)

@@ -98,8 +98,9 @@ def test_thresholds_keep_their_precision_on_new_cases():
 
 
 def plain_labels(text):
-    words = re.findall(licenses.WORD, text.translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
-    joined, kept = " ".join(words), []
+    low = text.translate(str.maketrans(licenses.UPPER, licenses.LOWER))
+    words = re.findall(licenses.WORD, low)
+    joined, kept = " ".join(re.findall(licenses.WORD, re.sub(licenses.PLUS, r"\1 plus", low))), []
     found = sorted((m.start(), -m.end(), -p, label) for label, k, p, _, r in licenses.rules() if k in words for m in re.finditer(r, joined))
     for start, back, down, label in found:
         if not any(b <= back and d <= down for _, b, d, _ in kept):
@@ -119,6 +120,18 @@ def test_labels_equal_a_plain_resolver(spark):
     assert {"apache-2.0", "gpl-3.0"} <= set(got[texts.index(next(t for t in texts if "version 3" in t and "apache" in t))].split(","))
 
 
+def test_identifiers_later_versions_and_long_names(spark):
+    cases = {
+        "Apache-2.0": "apache-2.0", "code is GPL-2.0-only here": "gpl-2.0", "MIT licensed": "mit", "GPLv3+": "gpl-3.0+", "EUPL v1.2": "eupl-1.2", "LGPL-2.1-or-later": "lgpl-2.1+", "GPL-3.0-or-later": "gpl-3.0+", "MPL-2.0": "mpl-2.0",
+        "GNU General Public License v2 or later": "gpl,gpl-2.0+", "GNU AGPL v3+": "agpl-3.0+", "Lesser General Public License version 2.1": "gpl,lgpl-2.1", "BSD licensed": "bsd", "GPLv2": "gpl-2.0", "3+4 apples from the mit": "", "EPL-2.0 or Apache-2.0": "apache-2.0,epl-2.0",
+        "Neither the name of " + "the very long holder of it all " * 20 + "nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+    }
+    got = {r.text: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert got == cases
+    long = licenses.scan(spark.createDataFrame([(1, "neither the name of x " * 20_000)], "doc_id long, text string")).first()
+    assert long.labels == "" and long.n_words == 100_000
+
+
 def test_a_detection_within_any_kept_one_of_its_rank_goes(spark):
     level = {p: i for i, p in enumerate(licenses.LEVELS)}
     spans = [("A", 0, 100, 50), ("B", 10, 50, 90), ("C", 20, 40, 80), ("D", 60, 70, 50), ("E", 60, 65, 80)]
@@ -412,7 +425,7 @@ def test_prefix_pairs_miss_no_link(spark, percent):
         own = set(r.integers(0, 60, int(r.integers(2, 30))).tolist())
         sets[i] = own
         sets[1000 + i] = {x for x in own if r.random() < 0.93} or own
-    rows = spark.createDataFrame([(s, len(v), t) for s, v in sets.items() for t in v], "sid long, n long, token long")
+    rows = spark.createDataFrame([(s, bytearray(near_dedup.pack(np.array(sorted(v), dtype=np.uint64)))) for s, v in sets.items()], "sid long, hashes binary")
     labels = spark.createDataFrame([(s, s, s % 3 > 0) for s in sets], "sid long, root long, outside boolean")
     found = {frozenset((x.a, x.b)) for x in near_dedup.prefix_pairs(near_dedup.prefixes(rows, percent).join(labels, "sid"), percent).collect()}
     want = {frozenset((a, b)) for a in sets for b in sets if a < b and (a % 3 or b % 3) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
