@@ -20,9 +20,12 @@ from .common import documents, matches, scanned, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PLUS = r"([0-9])\+(?![0-9A-Za-z+])"
 #: Phrase -> label of the base scan: fixed values.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+#: Before a version's number; rules() lets a v stand right before the number too. LATER: what follows a version that may be a later one.
 V = r"(?: v| version)?"
+LATER = r"(?: plus| or(?: at your option)?(?: any)? later(?: version)?)"
 #: (label, keyword, name as a regular expression over words joined by blanks)
 NAMES = (
     ("mit", "license", r"(?:the )?mit(?: x11)? license"),
@@ -36,8 +39,18 @@ NAMES = (
     ("gpl-1.0", "public", rf"(?:gnu )?general public licen[sc]e{V} 1(?: 0)?"),
     ("gpl-2.0", "public", rf"(?:gnu )?general public licen[sc]e{V} 2(?: 0)?(?: only)?"),
     ("gpl-3.0", "public", rf"(?:gnu )?general public licen[sc]e{V} 3(?: 0)?(?: only)?"),
-    ("gpl-2.0+", "public", rf"(?:gnu )?general public licen[sc]e{V} 2(?: 0)? or(?: at your option)? (?:any )?later(?: version)?"),
-    ("gpl-3.0+", "public", rf"(?:gnu )?general public licen[sc]e{V} 3(?: 0)? or(?: at your option)? (?:any )?later(?: version)?"),
+    ("gpl-2.0+", "public", rf"(?:gnu )?general public licen[sc]e{V} 2(?: 0)?{LATER}"),
+    ("gpl-3.0+", "public", rf"(?:gnu )?general public licen[sc]e{V} 3(?: 0)?{LATER}"),
+    ("gpl-2.0+", "gplv2", rf"(?:gnu )?gplv2{LATER}"),
+    ("gpl-3.0+", "gplv3", rf"(?:gnu )?gplv3{LATER}"),
+    ("gpl-2.0+", "gpl", rf"(?:gnu )?gpl{V} 2(?: 0)?{LATER}"),
+    ("gpl-3.0+", "gpl", rf"(?:gnu )?gpl{V} 3(?: 0)?{LATER}"),
+    ("lgpl-2.1+", "lesser", rf"(?:gnu )?lesser general public licen[sc]e{V} 2 1{LATER}"),
+    ("lgpl-3.0+", "lesser", rf"(?:gnu )?lesser general public licen[sc]e{V} 3(?: 0)?{LATER}"),
+    ("lgpl-2.1+", "lgpl", rf"(?:gnu )?lgpl{V} 2 1{LATER}"),
+    ("lgpl-3.0+", "lgpl", rf"(?:gnu )?lgpl{V} 3(?: 0)?{LATER}"),
+    ("agpl-3.0+", "agpl", rf"(?:gnu )?agpl{V} 3(?: 0)?{LATER}"),
+    ("agpl-3.0+", "affero", rf"(?:gnu )?affero general public licen[sc]e{V} 3(?: 0)?{LATER}"),
     ("gpl", "gpl", r"gnu gpl"),
     ("gpl-2.0", "gplv2", r"(?:gnu )?gplv2"),
     ("gpl-3.0", "gplv3", r"(?:gnu )?gplv3"),
@@ -85,7 +98,16 @@ NAMES = (
     ("ofl-1.1", "font", rf"(?:sil )?open font licen[sc]e(?:{V} 1 1)?"),
     ("eupl-1.1", "union", rf"european union public licen[sc]e{V} 1 1"),
     ("eupl-1.2", "union", rf"european union public licen[sc]e{V} 1 2"),
+    ("eupl-1.1", "eupl", rf"eupl{V} 1 1"),
+    ("eupl-1.2", "eupl", rf"eupl{V} 1 2"),
     ("eupl", "eupl", r"eupl"),
+    ("lgpl", "lgpl", r"gnu lgpl"),
+    ("agpl", "agpl", r"gnu agpl"),
+    ("mit", "licensed", r"mit licensed"),
+    ("bsd", "licensed", r"bsd licensed"),
+    ("gpl", "licensed", r"gpl licensed"),
+    ("isc", "licensed", r"isc licensed"),
+    ("apache", "licensed", r"apache licensed"),
     ("cecill-2.1", "cecill", rf"cecill(?:{V} 2 1)?(?: licen[sc]e)?"),
     ("ms-pl", "microsoft", r"microsoft public licen[sc]e"),
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[sc]e"),
@@ -137,7 +159,7 @@ TEXTS = (
     ("mit", "hereby", 85, 0.95, r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("isc", "fee", 85, 0.95, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", 85, 0.9, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", 86, 0.95, r"neither the names? of .{1,80}? nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", "endorse", 86, 0.95, r"neither the names? of (?:(?!neither the names? of ).)+? nor the names of its contributors may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising", 86, 0.95, r"all advertising materials mentioning features or use of this software must display"),
     ("apache-2.0", "compliance", 85, 0.95, r"you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("apache-2.0", "apache", 75, 0.85, r"apache org licenses license 2 0"),
@@ -165,10 +187,15 @@ TEXTS = (
 GRANT = r"(?:licensed|released|distributed|published|available|provided|covered|shared) (?:under|by|according to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 
 
+#: Labels that are identifiers of two words or more with a version, which texts name bare: a name each, `-only` and `-or-later` with it.
+BARE = sorted({label for label, *_ in NAMES if label[-1].isdigit() and "-" in label and not label.startswith("cc-")})
+
+
 def rules() -> list[tuple[str, str, int, float, str]]:
     """(label, keyword, priority, weight, regular expression)."""
     found = []
-    for label, keyword, name in NAMES:
+    bare = [(label, label.split("-")[0], rf"{label.split('-')[0]}{V} {' '.join(label.replace('.', '-').split('-')[1:])}(?: only)?(?: licensed)?") for label in BARE]
+    for label, keyword, name in [(a, k, n.replace(f"{V} ", f"{V} v?")) for a, k, n in (*NAMES, *bare)]:
         found.append((label, "spdx", 90, 1.0, "spdx license identifier " + label.replace(".", " ").replace("-", " ").replace("+", " or later")))
         found.append((label, keyword, 80, 0.9, GRANT + name))
         found.append((label, keyword, 50, 0.6, name))
@@ -202,10 +229,13 @@ def resolved(detections: str) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """docs + n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections."""
     rows = docs.withColumn("_lic_lowered", F.translate(text_or_empty(), UPPER, LOWER))
-    rows = rows.withColumn("_lic_words", F.regexp_extract_all("_lic_lowered", F.lit(WORD), F.lit(0))).drop("_lic_lowered")
+    rows = rows.withColumn("_lic_words", F.regexp_extract_all("_lic_lowered", F.lit(WORD), F.lit(0)))
     rows = rows.withColumn("_lic_present", F.array_intersect("_lic_words", F.array(*map(F.lit, sorted({keyword for _, keyword, *_ in rules()})))))
     rows = rows.withColumn("_lic_n", F.size("_lic_words").cast("long"))
-    rows = rows.withColumn("_lic_words", F.when(F.size("_lic_present") > 0, F.col("_lic_words"))).withColumn("_lic_joined", F.array_join("_lic_words", " "))
+    rows = rows.withColumn("_lic_words", F.when(F.size("_lic_present") > 0, F.col("_lic_words")))
+    # a plus behind a version is a word to the rules, and to nothing else
+    plus = F.regexp_extract_all(F.regexp_replace("_lic_lowered", PLUS, "$1 plus"), F.lit(WORD), F.lit(0))
+    rows = rows.withColumn("_lic_joined", F.when(F.col("_lic_words").isNotNull(), F.array_join(F.when(F.col("_lic_lowered").rlike(PLUS), plus).otherwise(F.col("_lic_words")), " "))).drop("_lic_lowered")
     at = " or ".join("(" + " and ".join(f"get(_lic_words, i + {k}) = '{w}'" for k, w in enumerate(p.split())) + ")" for p, _ in BASE)
     rows = rows.withColumn("_lic_places", F.expr(f"if(array_contains(_lic_present, 'license') and size(_lic_words) > 1, filter(sequence(0, size(_lic_words) - 2), i -> {at}), array())"))
     label = " ".join(f"when get(_lic_words, i) = '{p.split()[0]}' then '{name}'" for p, name in BASE)
