@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DetectorConfig
 from ..functions import text as T
 from .slop import _in, repeating
-from .text import _D, B, docs, sql_detector, sql_normal, sql_trim, windows
+from .text import _D, B, docs, releases, shared, sql_detector, sql_normal, sql_trim, windows
 
 # Fixed values.
 INTENSIFIERS = ("very", "extremely", "utterly", "absolutely", "perfectly", "incredibly", "deeply", "completely", "terrifying", "chilling", "unmistakable", "frantic", "desperate", "inevitable", "unforgiving")
@@ -140,7 +140,9 @@ def window_overlap(rows: DataFrame, size: int, stride: int, n: int = 10) -> Data
 
 
 def tokenised(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, lang, text) -> doc_id, normal, words of the accepted ones."""
+    """rows(doc_id, lang, text) -> doc_id, normal, words of the accepted ones; rows of shared() have these already."""
+    if "words" in rows.columns and "normal" in rows.columns:
+        return rows.where(accepted(F.col("lang"))).select("doc_id", "normal", "words")
     normal = rows.where(accepted(F.col("lang"))).select("doc_id", T.normal_text(F.col("text")).alias("normal"))
     return normal.withColumn("words", T.detector_words(F.col("normal")))
 
@@ -238,33 +240,38 @@ SMALL = DetectorConfig(window_words=100, window_stride_words=50, ngram=5, long_d
 
 
 def ai_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(detect(docs(spark, sf_dir)))
+    rows = shared(docs(spark, sf_dir))
+    return releases(flat(detect(rows)), rows)
 
 
 def ai_report_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(detect(docs(spark, sf_dir), SMALL))
+    rows = shared(docs(spark, sf_dir))
+    return releases(flat(detect(rows, SMALL)), rows)
 
 
 def ai_report_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(detect(repeating(docs(spark, sf_dir)).withColumn("lang", F.lit("en"))))
+    rows = shared(repeating(docs(spark, sf_dir)).withColumn("lang", F.lit("en")))
+    return releases(flat(detect(rows)), rows)
 
 
 def ai_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(window_signals(docs(spark, sf_dir), SMALL)).drop("lt", "lm", "jaccard", "other")
+    rows = shared(docs(spark, sf_dir))
+    return releases(flat(window_signals(rows, SMALL)).drop("lt", "lm", "jaccard", "other"), rows)
 
 
 def near_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return window_overlap(tokenised(docs(spark, sf_dir)), 100, 50, 5).withColumn("jaccard", F.round("jaccard", 6))
+    rows = shared(docs(spark, sf_dir))
+    return releases(window_overlap(tokenised(rows), 100, 50, 5).withColumn("jaccard", F.round("jaccard", 6)), rows)
 
 
 def ai_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs(spark, sf_dir)
-    return _shown(window_evidence(rows, window_signals(rows, SMALL), SMALL))
+    rows = shared(docs(spark, sf_dir))
+    return releases(_shown(window_evidence(rows, window_signals(rows, SMALL), SMALL)), rows)
 
 
 def ai_evidence_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = repeating(docs(spark, sf_dir)).withColumn("lang", F.lit("en"))
-    return _shown(window_evidence(rows, window_signals(rows)))
+    rows = shared(repeating(docs(spark, sf_dir)).withColumn("lang", F.lit("en")))
+    return releases(_shown(window_evidence(rows, window_signals(rows))), rows)
 
 
 def _shown(found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import detector, language, slop
-from .text import _D, docs
+from .text import _D, docs, releases, shared
 
 # Fixed values.
 COMP_TITLES = (("The Silent Patient", "Blockbuster"), ("The Maidens", "Blockbuster"), ("Wrong Place Wrong Time", "Mid-list"), ("Rock Paper Scissors", "Mid-list"), ("Unknown", "Unknown"))
@@ -61,12 +61,13 @@ def evidence_counts(signals: DataFrame, span: int = 250) -> DataFrame:
 
 
 def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs(spark, sf_dir)
-    return composite(detector.detect(rows), slop.slop(rows), language.language(rows))
+    rows = shared(docs(spark, sf_dir))
+    return releases(composite(detector.detect(rows), slop.slop(rows), language.language(rows)), rows)
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence_counts(detector.window_signals(docs(spark, sf_dir), detector.SMALL), detector.SMALL.long_dup_override_words)
+    rows = shared(docs(spark, sf_dir))
+    return releases(evidence_counts(detector.window_signals(rows, detector.SMALL), detector.SMALL.long_dup_override_words), rows)
 
 
 def error_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import weakref
+from collections import deque
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,32 @@ def dealt(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if len(table.inputFiles()) < cores else table
 
 
+#: Shared tables that nothing uses any more.
+_unused: deque[DataFrame] = deque()
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """A table that several others are built on: computed once, in memory and then on disk; a lost executor's part is computed again.
+
+    What releases() has marked is let go here, for a finaliser may run while another call to the JVM is under way.
+    """
+    while _unused:
+        _unused.popleft().unpersist()
+    return table.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, lang, text ...) + the detector's normal and words, kept(): one scan and one pass of tokens for every measure that is built on it."""
+    return kept(rows.withColumn("normal", T.normal_text(F.col("text"))).withColumn("words", T.detector_words(F.col("normal"))))
+
+
+def releases(result, *tables: DataFrame):
+    """result; when it is no longer used its kept() tables are marked to be let go. What was derived from it goes on without them, from the files."""
+    for table in tables:
+        weakref.finalize(result, _unused.append, table).atexit = False
+    return result
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as manuscripts: a turn is a chapter."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")

@@ -17,14 +17,28 @@ from ..streaming.logs import Trace, progress
 EMPTY = {"title": "No Manuscript Loaded", "status": "IDLE", "age": "Unknown"}
 
 
-def analyze(manuscripts: DataFrame, config: DetectorConfig = DetectorConfig(), given: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+class Tables(dict):
+    """Lazy tables by name; the texts with their tokens and the chapters, which they share, are kept as long as this is used, or until release()."""
+
+    def __init__(self, tables: dict[str, DataFrame], *shared: DataFrame):
+        super().__init__(tables)
+        self.shared = shared
+        text.releases(self, *shared)
+
+    def release(self) -> None:
+        for table in self.shared:
+            table.unpersist()
+
+
+def analyze(manuscripts: DataFrame, config: DetectorConfig = DetectorConfig(), given: dict[str, DataFrame] | None = None) -> Tables:
     """manuscripts(doc_id, title, lang, text) -> lazy tables by name.
 
-    Chapters feed the chapter tables; slop, ai and language depend on the text alone. given: tables lt and lm (scores of
+    Texts are read and made into tokens once, chapters split once, for all tables. Chapters feed the chapter tables; slop, ai and language depend on the text alone. given: tables lt and lm (scores of
     windows), tool and safety (scores of texts), genre and plot (answers, see ask_genres and ask_plots).
     """
     p = given or {}
-    chaps = text.chapters(manuscripts)
+    manuscripts = text.shared(manuscripts)
+    chaps = text.kept(text.chapters(manuscripts))
     found = characters.chapter_summaries(chaps)
     metrics = structure.chapter_metrics(chaps)
     line = timeline.timeline(chaps, found)
@@ -38,14 +52,16 @@ def analyze(manuscripts: DataFrame, config: DetectorConfig = DetectorConfig(), g
         scored = genre.decided(scored, p["genre"])
     own_beats = structure.beats(chaps, found, metrics, line)
     named = scored if "provider" in scored.columns else scored.withColumn("provider", F.lit("heuristic"))
-    return {
+    tables = {
         "chapters": chaps, "segments": text.segments(manuscripts), "metrics": metrics, "summaries": found, "characters": characters.dictionary(chaps), "genres": genre.rolled_up(scored), "genre_reasons": genre.reasons(scored), "genre_providers": genre.dominant(named.select("doc_id", "provider")), "structure": structure.decided(chaps, p.get("plot")),
         "slop": slop_, "windows": signals, "evidence": detector.window_evidence(manuscripts, signals, config), "ai": ai, "contradictions": conflicts, "issues": issues, "timeline": line, "beats": structure.overlaid(own_beats, p["plot"], chaps) if "plot" in p else own_beats, "language": lang, "scores": scoring.composite(ai, slop_, lang, issues),
     }
+    return Tables(tables, manuscripts, chaps)
 
 
 def report(manuscripts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """One row per manuscript: its flat results as structs, its rows as sorted arrays."""
+    manuscripts = tables.shared[0] if isinstance(tables, Tables) else manuscripts
 
     def nested(name: str, *order: str) -> DataFrame:
         t = tables[name]
@@ -59,16 +75,18 @@ def report(manuscripts: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         rows = rows.join(t.select("doc_id", F.struct(*[c for c in t.columns if c != "doc_id"]).alias(name)), "doc_id", "left")
     for name, order in (("evidence", ["w", "ord"]), ("metrics", ["chapter"]), ("summaries", ["chapter"]), ("characters", ["name"]), ("genres", ["rank"]), ("issues", ["issue_id"]), ("timeline", ["ord"]), ("beats", ["beat"])):
         rows = rows.join(nested(name, *order), "doc_id", "left")
+    rows.tables = tables  # what they share is kept with the report
     return rows
 
 
-def save(tables: dict[str, DataFrame], folder: str, trace: Trace | None = None) -> dict[str, DataFrame]:
-    """Each table as Parquet below the folder, read back: what is built on them later does not compute them again. The trace is told of every table, of the tasks done within each, and of a failure."""
+def save(tables: dict[str, DataFrame], folder: str, trace: Trace | None = None, every: float | None = None) -> dict[str, DataFrame]:
+    """Each table as Parquet below the folder, read back: what is built on them later does not compute them again. The trace is told of every table, of a failure, and every so many seconds of the tasks done."""
     trace = trace or Trace()
     saved = {}
     for i, (name, table) in enumerate(tables.items()):
+        trace(100 * i // len(tables), name, "writing")
         path = f"{folder.rstrip('/')}/{name}"
-        with progress(table.sparkSession, trace, name, 100 * i // len(tables), 100 * (i + 1) // len(tables)):
+        with progress(table.sparkSession, trace, name, 100 * i // len(tables), 100 * (i + 1) // len(tables), every):
             table.write.mode("overwrite").parquet(path)
         saved[name] = table.sparkSession.read.schema(table.schema).parquet(path)
     trace(100, "done", f"{len(tables)} tables")
@@ -78,7 +96,8 @@ def save(tables: dict[str, DataFrame], folder: str, trace: Trace | None = None)
 def empty_report(spark: SparkSession) -> DataFrame:
     """The report before anything is read: its schema, one row of zeros."""
     none = spark.createDataFrame([(0, EMPTY["title"], "en", "")], "doc_id long, title string, lang string, text string")
-    return report(none, analyze(none)).withColumn("status", F.lit(EMPTY["status"]))
+    full = report(none, analyze(none))
+    return _with(full.withColumn("status", F.lit(EMPTY["status"])), full)
 
 
 def prompt_plots(metrics: DataFrame, summaries: DataFrame, line: DataFrame) -> DataFrame:
@@ -107,7 +126,7 @@ def manuscript_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested report of every document, as JSON."""
     rows = docs(spark, sf_dir).withColumn("title", F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
     full = report(rows, analyze(rows))
-    return full.select("doc_id", "word_count", F.to_json(F.struct(*[c for c in full.columns if c != "doc_id"])).alias("report"))
+    return _with(full.select("doc_id", "word_count", F.to_json(F.struct(*[c for c in full.columns if c != "doc_id"])).alias("report")), full)
 
 
 def report_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +134,17 @@ def report_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).withColumn("title", F.lit("T"))
     full = report(rows, analyze(rows))
     c = F.col
-    return full.select(
+    scalars = full.select(
         "doc_id", "word_count", F.coalesce("n_segments", F.lit(0)).alias("n_segments"), c("slop.score").alias("slop_score"), c("slop.n_sentences").alias("n_sentences"), F.round("ai.p_ai_doc", 6).alias("p_ai_doc"), c("ai.n_windows").alias("n_windows"),
         c("ai.likely_ai").alias("likely_ai"), c("language.spelling").alias("spelling"), c("language.grammar").alias("grammar"), c("structure.selected").alias("structure"), F.size("beats").alias("n_beats"),
     )
+    return _with(scalars, full)
+
+
+def _with(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """rows made of a report, which keep what that keeps."""
+    rows.tables = full.tables
+    return rows
 
 
 QUERIES = {"manuscript_reports": manuscript_reports, "report_scalars": report_scalars}

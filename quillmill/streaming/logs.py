@@ -150,10 +150,10 @@ class Trace:
 
 
 @contextmanager
-def progress(spark: SparkSession, trace: Trace, stage: str, low: int = 0, high: int = 100, every: float = 0.2) -> Iterator[None]:
-    """Tell the trace how far the jobs within have come: tasks done of those known, as a percentage from low to high that never falls; and of a failure.
+def progress(spark: SparkSession, trace: Trace, stage: str, low: int = 0, high: int = 100, every: float | None = 0.2) -> Iterator[None]:
+    """Tell the trace, every so many seconds, how far the jobs within have come: tasks done of those known, as a percentage between low and high that only rises; and of a failure.
 
-    The jobs run as a group, whose tasks the status tracker counts; stages that adaptive execution adds later count as they come.
+    The jobs run as a group, whose tasks the status tracker counts; stages that adaptive execution adds later count as they come. every: None tells of failures alone.
     """
     context, group, over = spark.sparkContext, uuid.uuid4().hex, threading.Event()
     reached = [low]
@@ -174,23 +174,22 @@ def progress(spark: SparkSession, trace: Trace, stage: str, low: int = 0, high:
                 reached[0] = percent
                 trace(percent, stage, f"{done} of {known} tasks")
 
-    trace(low, stage, "begins")
-    context.setJobGroup(group, stage)
-    watcher = threading.Thread(target=look, daemon=True)
-    watcher.start()
+    watcher = threading.Thread(target=look, daemon=True) if every else None
+    if watcher:
+        context.setJobGroup(group, stage)
+        watcher.start()
     try:
         yield
     except Exception as e:
         over.set()
-        watcher.join()
         trace(reached[0], stage, f"failed: {type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}")
         raise
     finally:
         over.set()
-        watcher.join()
-        context.setLocalProperty("spark.jobGroup.id", None)
-        context.setLocalProperty("spark.job.description", None)
-    trace(high, stage, "done")
+        if watcher:
+            watcher.join()
+            context.setLocalProperty("spark.jobGroup.id", None)
+            context.setLocalProperty("spark.job.description", None)
 
 
 class StreamTrace(StreamingQueryListener):

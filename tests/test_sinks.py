@@ -100,7 +100,7 @@ def test_percent_rises_within_one_write(spark, tmp_path):
     told = []
     trace = logs.Trace(lambda percent, stage, detail: told.append((percent, stage, detail)))
     slow = spark.range(0, 24, 1, 24).mapInPandas(lambda frames: (__import__("time").sleep(0.25) or f for f in frames), "id long")
-    engine.save({"slow": slow, "next": spark.range(3)}, str(tmp_path / "t"), trace)
+    engine.save({"slow": slow, "next": spark.range(3)}, str(tmp_path / "t"), trace, every=0.2)
     inside = [p for p, stage, detail in told if stage == "slow" and "tasks" in detail]
     percents = [p for p, *_ in told]
     assert len(set(inside)) >= 2 and all(0 < p < 50 for p in inside) and percents == sorted(percents) and percents[-1] == 100
